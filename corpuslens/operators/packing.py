@@ -66,5 +66,9 @@ def pack(
         *groups,
         batch,
         "chunk",
-        *[F.flatten(F.transform("_pieces", lambda p, a=a: p[a])).alias(a) for a in arrays],
+        *[F.flatten(F.transform("_pieces", _field(a))).alias(a) for a in arrays],
     )
+
+
+def _field(name: str):
+    return lambda piece: piece[name]

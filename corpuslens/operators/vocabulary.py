@@ -99,9 +99,12 @@ def train_vocabulary(counts: DataFrame, size: int, min_count: int = 2) -> list[s
     The driver sees the leading pairs only, and takes all merges of a round that give
     the same result as one at a time. Lineage is cut by a checkpoint every few rounds.
     """
-    ensure_checkpoint_dir(counts.sparkSession)
+    spark = counts.sparkSession
+    ensure_checkpoint_dir(spark)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     joined = F.concat_ws("", F.transform(symbols(F.col("word")), _marked))
-    state = counts.select(joined.alias("word"), "n").checkpoint()
+    # The rounds re-read this table, so spread it over all cores once.
+    state = counts.select(joined.alias("word"), "n").repartition(tasks).checkpoint()
 
     letters = (
         state.select(F.explode(_split(F.col("word"))).alias("s"), "n")
