@@ -175,7 +175,7 @@ def cloze_score(pair: Column, word: Column, v: Column, alpha: float = ALPHA) ->
     return F.coalesce((pair + alpha) / (word + alpha * v), F.lit(1.0))
 
 
-def base_scores(counts: DataFrame, v: Column) -> Column:
+def base_scores(v: Column) -> Column:
     """Score under one model of all corpora."""
     return cloze_score(F.col("left_all"), F.col("left_word_all"), v) * cloze_score(
         F.col("right_all"), F.col("answer_all"), v
