@@ -27,15 +27,13 @@ def unix_newlines(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their newline; a final newline opens no further line."""
-    parts = F.split(unix_newlines(text), "\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    body = F.regexp_replace(unix_newlines(text), r"\n\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 
 def lines_keep_ends(text: Column) -> Column:
     """Lines that keep their own newline."""
-    parts = F.split(unix_newlines(text), "\n")
-    kept = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
-    return F.filter(kept, lambda x: x != "")
+    return F.regexp_extract_all(unix_newlines(text), F.lit(r"[^\n]*\n|[^\n]+"), 0)
 
 
 def is_inked(text: Column) -> Column:

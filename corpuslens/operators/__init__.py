@@ -1,2 +1,6 @@
-"""DataFrame to DataFrame operators. None of them runs an action, apart from the
-vocabulary trainer and the encoder, which bring a table of bounded size to the driver."""
+"""DataFrame to DataFrame operators.
+
+Most are lazy. Cuts, vocabularies and model counts are staged: a job writes them to the
+shared folder once, because they are used several times or because their real size
+decides how they are joined.
+"""

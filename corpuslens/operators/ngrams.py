@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_key
 from ..functions.text import words
+from ..session import stage
 from .ranking import draw_cuts, within
 from .sampling import share
 from .skew import hot_key_join, salted_join
@@ -101,19 +102,21 @@ def context_counts(
     contexts: DataFrame,
     answers: Sequence[str],
     corpus: str,
+    names: Sequence[str],
     n_seeds: int,
 ) -> DataFrame:
     """Counts every model needs to score the answers in the contexts.
 
     ``docs`` has ``corpus``, ``sides`` and ``text``; ``contexts`` has distinct
     (item, left, right, weight). Only words that occur in the contexts are counted:
-    the text is filtered by them before the first shuffle. Returns one row per corpus,
+    the text is filtered by them before the first shuffle. ``names`` lists the registered
+    corpora. Returns one row per corpus,
     context and answer with base and training counts for the left pair (``left_*``),
     the left word (``left_word_*``), the right pair (``right_*``) and the answer
     (``answer_*``); the left or right ones are null where the mask has no neighbour.
     """
     lookups = _lookups(contexts, answers)
-    wanted = lookups.select("w1", "w2").distinct()
+    wanted = stage(lookups.select("w1", "w2").distinct())
     near = word_pairs(docs, [corpus, "sides"]).where(F.col("w2") != END)
     near = near.join(wanted.select("w1").distinct(), "w1", "left_semi")
     answer_list = list(answers)
@@ -122,9 +125,8 @@ def context_counts(
     both = pairs.withColumn("w2", F.explode(F.array(F.col("w2"), F.lit(ANY))))
     both = both.join(wanted, ["w1", "w2"], "left_semi")
     # Every model is asked every question, also about words its corpus lacks.
-    names = docs.groupBy(F.lit(1).alias("_one")).agg(F.collect_set(corpus).alias("_names"))
-    blank = wanted.withColumn("_one", F.lit(1)).join(names, "_one").select(
-        F.explode("_names").alias(corpus),
+    blank = wanted.select(
+        F.explode(F.array(*map(F.lit, names))).alias(corpus),
         "w1",
         "w2",
         F.lit(0).cast("bigint").alias("n"),
@@ -222,20 +224,25 @@ def heldout_perplexity(
     pairs in one task.
     """
     sided = training_sides(df, id_col, corpus, seeds)
-    counts = run_counts(word_pairs(sided, [corpus, "sides"]), [corpus, "w1", "w2"], len(seeds))
+    counts = stage(
+        run_counts(word_pairs(sided, [corpus, "sides"]), [corpus, "w1", "w2"], len(seeds))
+    )
     steps = [(i, e) for i in range(len(seeds)) for e in range(epochs + 1)]
-
-    pairs = counts.where(F.col("w2") != END)
-    base2 = F.sum("n").over(Window.partitionBy("w1", "w2")) - F.col("n")
-    pairs = pairs.withColumn("base", base2)
     test = [F.col("n") - F.col("train")[i] for i in range(len(seeds))]
 
     def log_sum(i: int, e: int, extra: Column) -> Column:
-        return F.sum(test[i] * F.ln(F.col("base") + e * F.col("train")[i] + extra))
+        p = F.ln(F.col("base") + e * F.col("train")[i] + extra)
+        return F.sum(F.when(test[i] > 0, test[i] * p).otherwise(0.0))
 
-    upper = pairs.groupBy(corpus).agg(
-        *[log_sum(i, e, F.lit(ALPHA)).alias(f"_u{i}_{e}") for i, e in steps],
-        *[F.sum(test[i]).alias(f"_n{i}") for i in range(len(seeds))],
+    pairs = counts.where(F.col("w2") != END)
+    base2 = F.sum("n").over(Window.partitionBy("w1", "w2")) - F.col("n")
+    upper = (
+        pairs.withColumn("base", base2)
+        .groupBy(corpus)
+        .agg(
+            *[log_sum(i, e, F.lit(ALPHA)).alias(f"_u{i}_{e}") for i, e in steps],
+            *[F.sum(test[i]).alias(f"_n{i}") for i in range(len(seeds))],
+        )
     )
 
     inner = F.col("w2") != END
@@ -246,10 +253,11 @@ def heldout_perplexity(
         ).alias("train"),
     )
     base1 = F.sum("n").over(Window.partitionBy("w1")) - F.col("n")
-    firsts = firsts.withColumn("base", base1).withColumn("_one", F.lit(1))
     v = counts.agg(F.countDistinct("w1").alias("v")).withColumn("_one", F.lit(1))
     lower = (
-        firsts.join(F.broadcast(v), "_one")
+        firsts.withColumn("base", base1)
+        .withColumn("_one", F.lit(1))
+        .join(F.broadcast(v), "_one")
         .groupBy(corpus)
         .agg(*[log_sum(i, e, ALPHA * F.col("v")).alias(f"_l{i}_{e}") for i, e in steps])
     )

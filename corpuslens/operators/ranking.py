@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_key, hex_slice
+from ..session import stage
 
 POSITION_WIDTH = 1 << 16
-DRAW_DIGITS = 4
+DRAW_DIGITS = 3
 
 
 def position_bucket(id_col: str, width: int = POSITION_WIDTH) -> Column:
@@ -119,6 +120,8 @@ def rank_cuts(
             (F.col("_cut.size") - F.col("_upto") + F.col("_total")).alias("_need"),
         )
     )
+    # A few rows per group: staged, so that the ids are filtered by it without a shuffle.
+    edges = stage(edges)
     in_edge = Window.partitionBy(*groups, "_name").orderBy(key)
     last_taken = (
         keyed.join(edges, [*groups, "_bucket"])
@@ -129,7 +132,7 @@ def rank_cuts(
         *[F.max(F.when(F.col("_name") == name, F.col(key))).alias(f"cut_{name}") for name in cuts]
     )
     sizes = totals.groupBy(*groups).agg(F.max("n").alias("n"))
-    return sizes.join(keys, list(groups), "left")
+    return stage(sizes.join(keys, list(groups), "left"))
 
 
 def draw_cuts(

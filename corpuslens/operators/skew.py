@@ -20,9 +20,10 @@ def salted_join(
 ) -> DataFrame:
     """Join a table with few rows per key, such as one row per corpus and seed.
 
-    Each key of ``small`` is copied ``salts`` times and the rows of ``big`` go to a
-    copy by the hash of ``spread``, so a key with a third of all rows still meets
-    ``salts`` tasks. When Spark measures ``small`` as tiny it broadcasts it instead.
+    A staged ``small`` has a known size, and Spark broadcasts it below its threshold.
+    Above it both sides are shuffled: each key of ``small`` is copied ``salts`` times and
+    the rows of ``big`` go to a copy by the hash of ``spread``, so a key with a third of
+    all rows still meets ``salts`` tasks.
     """
     left = big.withColumn("_salt", _salt(spread, F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

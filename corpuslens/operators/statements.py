@@ -29,20 +29,24 @@ def masked_sentences(df: DataFrame, targets: Sequence[str], sentence: str = "sen
     # Words and what lies between them alternate, so a neighbour word is two pieces away.
     pieces = F.regexp_extract_all(F.col(sentence), F.lit(r"\p{L}+|[^\p{L}]+"), 0)
     wanted = F.array(*map(F.lit, targets))
-    spot = F.col("spot")
-    out = df.withColumn("_pieces", pieces).select("*", F.posexplode("_pieces").alias("spot", "_piece"))
-    out = out.withColumn("target", F.array_position(wanted, F.lower("_piece")).cast("int") - 1)
-    out = out.where(F.col("target") >= 0)
-    left = F.when(spot >= 2, F.lower(F.get(F.col("_pieces"), spot - 2)))
-    right = F.lower(F.get(F.col("_pieces"), spot + 2))
+    found = F.filter(
+        F.transform(
+            "_pieces",
+            lambda piece, i: F.struct(
+                i.alias("spot"),
+                (F.array_position(wanted, F.lower(piece)).cast("int") - 1).alias("target"),
+                F.when(i >= 2, F.lower(F.get(F.col("_pieces"), i - 2))).alias("left"),
+                F.lower(F.get(F.col("_pieces"), i + 2)).alias("right"),
+            ),
+        ),
+        lambda o: o["target"] >= 0,
+    )
+    keep = [c for c in df.columns if c != sentence]
+    out = df.select(*keep, pieces.alias("_pieces")).select(*keep, "_pieces", F.explode(found).alias("_o"))
+    spot = F.col("_o.spot")
     before = F.array_join(F.slice("_pieces", F.lit(1), spot), "")
     after = F.array_join(F.slice("_pieces", spot + 2, F.greatest(F.size("_pieces") - spot - 1, F.lit(0))), "")
-    return (
-        out.withColumn("left", left)
-        .withColumn("right", right)
-        .withColumn("masked", F.concat(before, F.lit(MASK), after))
-        .drop("_pieces", "_piece", sentence)
-    )
+    return out.select(*keep, "_o.*", F.concat(before, F.lit(MASK), after).alias("masked"))
 
 
 def candidate_grid(df: DataFrame, masked: str = "masked") -> DataFrame:

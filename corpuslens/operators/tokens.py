@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,31 +38,44 @@ def longest_match(word: str, vocab: dict[str, int]) -> list[int]:
     return ids
 
 
+def match_batch(rows: pa.ListArray, vocab: dict[str, int]) -> pa.StructArray:
+    """Pieces of a batch of word lists. Each distinct word is matched once; the rest is
+    array arithmetic."""
+    coded = rows.flatten().dictionary_encode()
+    found = [longest_match(w, vocab) for w in coded.dictionary.to_pylist()]
+    counts = np.array([len(f) for f in found], dtype="int64")
+    pieces = np.fromiter((i for f in found for i in f), dtype="int32", count=counts.sum())
+    first = np.cumsum(counts) - counts
+
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    n = counts[code]
+    ends = np.cumsum(n)
+    source = np.repeat(first[code] - (ends - n), n) + np.arange(n.sum())
+    row_ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+    row_starts = np.concatenate([[0], row_ends[:-1]]).astype("int64")
+    place = np.arange(len(code)) - np.repeat(row_starts, row_ends - row_starts)
+    bounds = np.concatenate([[0], ends])[np.concatenate([[0], row_ends]).astype("int64")]
+    offsets = pa.array(bounds.astype("int32"))
+    return pa.StructArray.from_arrays(
+        [
+            pa.ListArray.from_arrays(offsets, pa.array(pieces[source])),
+            pa.ListArray.from_arrays(offsets, pa.array(np.repeat(place, n).astype("int32"))),
+        ],
+        names=["ids", "word_ids"],
+    )
+
+
 def encode(df: DataFrame, vocab: Sequence[str], text: str = "text") -> DataFrame:
     """Add ``ids`` and ``word_ids`` (index of the word each piece comes from).
 
-    The vocabulary is capped when it is trained, which bounds the broadcast. Each
-    worker keeps the pieces of the words it has met, so a word is matched once per
-    worker and the text itself is never shuffled.
+    The vocabulary is capped when it is made, which bounds the broadcast; the text is
+    never shuffled. Missing text has no pieces.
     """
     table = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
 
-    @F.pandas_udf("ids array<int>, word_ids array<int>")
-    def pieces(batch: pd.Series) -> pd.DataFrame:
-        known: dict[str, list[int]] = {}
-        all_ids, all_words = [], []
-        for row in batch:
-            ids: list[int] = []
-            places: list[int] = []
-            for place, word in enumerate(row):
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = longest_match(word, table.value)
-                ids += found
-                places += [place] * len(found)
-            all_ids.append(ids)
-            all_words.append(places)
-        return pd.DataFrame({"ids": all_ids, "word_ids": all_words})
+    @F.arrow_udf("ids array<int>, word_ids array<int>")
+    def pieces(batch: pa.Array) -> pa.Array:
+        return match_batch(batch, table.value)
 
     return (
         df.withColumn("_e", pieces(pre_tokens(F.col(text))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_SEED, RUN_SEEDS
 from ..operators import ngrams, runs, survey
 from . import sql
-from .bindings import ANSWER_WORDS, EPS, documents, questionnaire
+from .bindings import ANSWER_WORDS, EPS, document_ids, documents, questionnaire
 from .catalog import query
 
 EPOCHS = 4
@@ -81,7 +81,7 @@ def cloze_scores(spark, sf_dir):
     asked = questionnaire(spark, sf_dir)
     v = ngrams.vocabulary_size(docs)
     contexts = asked.groupBy("left", "right").agg(F.lit(0).alias("item"), F.count("*").alias("weight"))
-    counts = ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", 1)
+    counts = ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", ["all"], 1)
     counts = counts.withColumn("_one", F.lit(1)).join(F.broadcast(v.withColumn("_one", F.lit(1))), "_one")
     scores = counts.select("left", "right", "idx", ngrams.base_scores(F.col("v")).alias("score"))
     per_context = scores.groupBy("left", "right").agg(
@@ -168,7 +168,8 @@ def model_records(spark, sf_dir, steps) -> DataFrame:
     (run, seed_no, epoch) to score."""
     docs = ngrams.training_sides(corpora(spark, sf_dir), "doc_id", "corpus", RUN_SEEDS)
     contexts = questionnaire(spark, sf_dir).groupBy("item", "left", "right").agg(F.count("*").alias("weight"))
-    counts = ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", len(RUN_SEEDS))
+    names = [r[0] for r in document_ids(spark, sf_dir).select("source").distinct().collect()]
+    counts = ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", names, len(RUN_SEEDS))
     v = ngrams.vocabulary_size(documents(spark, sf_dir)).withColumn("_one", F.lit(1))
     counts = counts.withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one")
     scored = counts.withColumn("_s", F.explode(steps)).select(

@@ -31,8 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in few files. Text work is bound by the CPU, and
+    a file of one row group is one task. A large table has more files than there are
+    cores and is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source")
 
 
 def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +72,12 @@ def script_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each corpus with their position in it: source, doc_id, pos, row_no, text."""
     docs = documents(spark, sf_dir).withColumn("_lines", lines(F.col("text"))).drop("text")
-    placed = running_offset(
-        docs, ["doc_id"], position_bucket("doc_id"), ["source"], F.size("_lines"), out="_first"
-    )
+    # Only the line counts are ordered; the text meets its offset by document.
+    counts = docs.select("source", "doc_id", F.size("_lines").alias("_n"))
+    firsts = running_offset(
+        counts, ["doc_id"], position_bucket("doc_id"), ["source"], F.col("_n"), out="_first"
+    ).select("doc_id", "_first")
+    placed = docs.join(firsts, "doc_id")
     return placed.select("source", "doc_id", "_first", F.posexplode("_lines").alias("pos", "text")).select(
         "source", "doc_id", "pos", (F.col("_first") + F.col("pos")).alias("row_no"), "text"
     )

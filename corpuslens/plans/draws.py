@@ -9,7 +9,7 @@ from ..operators import packing, sampling
 from ..operators.checks import size_check as flag_small
 from ..operators.sampling import share
 from . import sql
-from .bindings import documents, line_rows, sentence_positions, table
+from .bindings import document_ids, documents, line_rows, sentence_positions, table
 from .catalog import query
 
 ITERATOR_ROWS = 10_000
@@ -17,7 +17,7 @@ TRAIN_ROWS, TEST_ROWS = 200, 20  # scaled-down sizes of the fixed split
 
 
 def ids(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", "source")
+    return document_ids(spark, sf_dir)
 
 
 @query(

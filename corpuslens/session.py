@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_local_dir: tempfile.TemporaryDirectory | None = None
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -36,6 +39,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if shared is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="corpuslens-checkpoint-")
+        global _local_dir
+        _local_dir = tempfile.TemporaryDirectory(prefix="corpuslens-")
+        shared = _local_dir.name
     sc.setCheckpointDir(shared)
     return shared
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    It is computed once however often it is used, it survives lost executors, and the
+    planner knows its real size: a small one is broadcast below
+    spark.sql.autoBroadcastJoinThreshold, a large one is not.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
