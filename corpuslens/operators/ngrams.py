@@ -19,6 +19,7 @@ from ..functions.text import words
 from ..session import stage
 from .ranking import draw_cuts, within
 from .sampling import share
+from .rows import explode_rows
 from .skew import hot_key_join, salted_join
 
 ALPHA = 1.0
@@ -38,7 +39,7 @@ def ngram_counts(df: DataFrame, n: int, groups: Sequence[str], text: str = "text
             *[(w if k == 0 else F.get(F.col("_w"), i + k)).alias(name) for k, name in enumerate(names)]
         ),
     )
-    rows = tokens.select(*groups, F.explode(gram).alias("_g")).select(*groups, "_g.*")
+    rows = explode_rows(tokens, groups, gram, "_g").select(*groups, "_g.*")
     return rows.groupBy(*groups, *names).agg(F.count("*").alias("n"))
 
 
@@ -51,7 +52,7 @@ def word_pairs(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFr
             w.alias("w1"), F.coalesce(F.get(F.col("_w"), i + 1), F.lit(END)).alias("w2")
         ),
     )
-    return tokens.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.*")
+    return explode_rows(tokens, keep, pairs, "_p").select(*keep, "_p.*")
 
 
 def training_sides(
@@ -79,9 +80,7 @@ def run_counts(pairs: DataFrame, keys: Sequence[str], n_seeds: int) -> DataFrame
 
 def vocabulary_size(df: DataFrame, text: str = "text") -> DataFrame:
     """One row: the number of distinct words, ``v``."""
-    return df.select(F.explode(words(F.col(text))).alias("_w")).agg(
-        F.countDistinct("_w").alias("v")
-    )
+    return explode_rows(df, [], words(F.col(text)), "_w").agg(F.countDistinct("_w").alias("v"))
 
 
 def adapted_counts(df: DataFrame, id_col: str, corpus: str, seed: int, epochs: int) -> DataFrame:
@@ -267,7 +266,9 @@ def heldout_perplexity(
                 F.lit(seeds[i]).alias("seed"),
                 F.lit(e).alias("epoch"),
                 F.col(f"_n{i}").alias("tokens"),
-                F.exp((F.col(f"_l{i}_{e}") - F.col(f"_u{i}_{e}")) / F.col(f"_n{i}")).alias("perplexity"),
+                F.exp(
+                    F.try_divide(F.col(f"_l{i}_{e}") - F.col(f"_u{i}_{e}"), F.col(f"_n{i}"))
+                ).alias("perplexity"),
             )
             for i, e in steps
         ]

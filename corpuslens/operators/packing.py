@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PACK_BATCH_ROWS
+from .rows import explode_rows
 
 
 def batch_ids(df: DataFrame, row_no: str = "row_no", rows: int = PACK_BATCH_ROWS, out: str = "batch") -> DataFrame:
@@ -37,7 +38,6 @@ def pack(
     placed = (
         df.select(*groups, batch, order, *arrays)
         .withColumn("_n", n)
-        .where(F.col("_n") > 0)
         .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_tot", F.sum("_n").over(in_batch))
     )
@@ -46,10 +46,11 @@ def pack(
     wanted = F.col("chunk") < whole
     if keep_short:
         wanted = wanted | (whole == 0)
-    cut = placed.withColumn(
-        "chunk",
-        F.explode(F.sequence(F.floor(first / chunk_len), F.floor((last - 1) / chunk_len))),
-    ).where(wanted)
+    # A row without tokens gives no chunk number, and so no row.
+    touched = F.when(
+        F.col("_n") > 0, F.sequence(F.floor(first / chunk_len), F.floor((last - 1) / chunk_len))
+    )
+    cut = explode_rows(placed, placed.columns, touched, "chunk").where(wanted)
     start = F.greatest(first, F.col("chunk") * chunk_len)
     stop = F.least(last, (F.col("chunk") + 1) * chunk_len)
     piece = F.struct(

@@ -11,12 +11,13 @@ from ..constants import MASK, STATEMENT_COPIES
 from ..functions.text import fill_mask, sentences
 from .dims import answer_array, form_table
 from .labels import NEGATIVE, POSITIVE
+from .rows import explode_rows, posexplode_rows
 
 
 def sentence_rows(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per sentence, numbered from 0 within its text."""
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+    return posexplode_rows(df, keep, sentences(F.col(text)), "pos", "sentence")
 
 
 def masked_sentences(df: DataFrame, targets: Sequence[str], sentence: str = "sentence") -> DataFrame:
@@ -42,7 +43,7 @@ def masked_sentences(df: DataFrame, targets: Sequence[str], sentence: str = "sen
         lambda o: o["target"] >= 0,
     )
     keep = [c for c in df.columns if c != sentence]
-    out = df.select(*keep, pieces.alias("_pieces")).select(*keep, "_pieces", F.explode(found).alias("_o"))
+    out = explode_rows(df.select(*keep, pieces.alias("_pieces")), [*keep, "_pieces"], found, "_o")
     spot = F.col("_o.spot")
     before = F.array_join(F.slice("_pieces", F.lit(1), spot), "")
     after = F.array_join(F.slice("_pieces", spot + 2, F.greatest(F.size("_pieces") - spot - 1, F.lit(0))), "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SPECIAL_TOKENS, VOCAB_SIZE
 from ..session import ensure_checkpoint_dir
+from .rows import explode_rows
 from .tokens import pre_tokens
 
 # Symbols of a word are kept in one string, each between these two marks, so that a
@@ -18,9 +19,8 @@ _CHECKPOINT_EVERY = 24
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """How often each word of the pre-split text occurs."""
-    return df.select(F.explode(pre_tokens(F.col(text))).alias("word")).groupBy("word").agg(
-        F.count("*").alias("n")
-    )
+    rows = explode_rows(df, [], pre_tokens(F.col(text)), "word")
+    return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def frequent_words(counts: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
@@ -51,7 +51,7 @@ def _count_pairs(split: DataFrame) -> DataFrame:
         lambda s, i: F.struct(s.alias("a"), F.get(F.col("_s"), i + 1).alias("b")),
     )
     return (
-        split.select(F.explode(pairs).alias("_p"), "n")
+        explode_rows(split, ["n"], pairs, "_p")
         .groupBy("_p.a", "_p.b")
         .agg(F.sum("n").alias("n"))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import N_ITEMS
 from ..functions.text import lines, sentences
 from ..operators.ranking import position_bucket, running_offset
+from ..operators.rows import posexplode_rows
 from ..operators.statements import masked_sentences, sentence_rows
 
 # The answer words do not occur in the given texts; these five stand for them.
@@ -78,7 +79,7 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         counts, ["doc_id"], position_bucket("doc_id"), ["source"], F.col("_n"), out="_first"
     ).select("doc_id", "_first")
     placed = docs.join(firsts, "doc_id")
-    return placed.select("source", "doc_id", "_first", F.posexplode("_lines").alias("pos", "text")).select(
+    return posexplode_rows(placed, ["source", "doc_id", "_first"], "_lines", "pos", "text").select(
         "source", "doc_id", "pos", (F.col("_first") + F.col("pos")).alias("row_no"), "text"
     )
 

@@ -9,6 +9,7 @@ from ..constants import RUN_SEEDS, STATEMENT_COPIES
 from ..functions import text as tx
 from ..operators import labels, runs, statements
 from ..operators.checks import union_same_schema
+from ..operators.rows import posexplode_rows
 from ..operators.sampling import share
 from . import sql
 from .bindings import (
@@ -47,7 +48,7 @@ def notnull_text(spark, sf_dir):
 
 
 def _line_positions(spark, sf_dir, line_array):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(line_array).alias("pos", "line"))
+    return posexplode_rows(documents(spark, sf_dir), ["doc_id"], line_array, "pos", "line")
 
 
 @query(
@@ -85,9 +86,8 @@ SELECT conv_id, turn, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS speec
 )
 def strip_speaker(spark, sf_dir):
     spoken = F.transform(tx.nonblank(tx.lines(F.col("text"))), tx.strip_speaker)
-    return script_turns(spark, sf_dir).select(
-        "conv_id", "turn", F.posexplode(spoken).alias("pos", "speech")
-    ).withColumn("pos", F.col("pos").cast("bigint"))
+    rows = posexplode_rows(script_turns(spark, sf_dir), ["conv_id", "turn"], spoken, "pos", "speech")
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(

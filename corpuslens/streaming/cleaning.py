@@ -13,9 +13,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 def stream_documents(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """A folder of files, one document each, read as new files come in."""
     return (
-        spark.readStream.option("wholetext", True)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .text(path)
+        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     )
 
