@@ -22,12 +22,13 @@ _BOUNDARY = "\u0001"
 
 def unix_newlines(text: Column) -> Column:
     """\\r\\n and \\r become \\n, as when a file is opened in text mode."""
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def lines(text: Column) -> Column:
     """Lines without their newline; a final newline opens no further line."""
-    body = F.regexp_replace(unix_newlines(text), r"\n\z", "")
+    unix = unix_newlines(text)
+    body = F.when(F.endswith(unix, F.lit("\n")), F.substring(unix, F.lit(1), F.length(unix) - 1)).otherwise(unix)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 

@@ -72,16 +72,17 @@ def script_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each corpus with their position in it: source, doc_id, pos, row_no, text."""
-    docs = documents(spark, sf_dir).withColumn("_lines", lines(F.col("text"))).drop("text")
+    docs = documents(spark, sf_dir).select("doc_id", "source", lines(F.col("text")).alias("_lines"))
     # Only the line counts are ordered; the text meets its offset by document.
     counts = docs.select("source", "doc_id", F.size("_lines").alias("_n"))
     firsts = running_offset(
         counts, ["doc_id"], position_bucket("doc_id"), ["source"], F.col("_n"), out="_first"
     ).select("doc_id", "_first")
     placed = docs.join(firsts, "doc_id")
-    return posexplode_rows(placed, ["source", "doc_id", "_first"], "_lines", "pos", "text").select(
+    rows = posexplode_rows(placed, ["source", "doc_id", "_first"], "_lines", "pos", "text").select(
         "source", "doc_id", "pos", (F.col("_first") + F.col("pos")).alias("row_no"), "text"
     )
+    return spread(rows, "row_no")
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
