@@ -200,14 +200,14 @@ def sentence_likelihood(
     """``exp`` of the mean log probability of a sentence's pairs under the counts of
     ``docs``. A sentence of fewer than two words has no pair and gives no row."""
     pairs = word_pairs(sentences, ids, text).where(F.col("w2") != END)
-    pairs = pairs.withColumn("pair", F.concat_ws(" ", "w1", "w2"))
+    pairs = stage(pairs.withColumn("pair", F.concat_ws(" ", "w1", "w2")))
     first_words = pairs.select("w1").distinct()
     near = word_pairs(docs, []).where(F.col("w2") != END).join(first_words, "w1", "left_semi")
     pair_counts = near.groupBy("w1", "w2").agg(F.count("*").alias("c2"))
     word_counts = pair_counts.groupBy("w1").agg(F.sum("c2").alias("c1"))
     model = pair_counts.select(F.concat_ws(" ", "w1", "w2").alias("pair"), "c2")
     scored = hot_key_join(pairs, model, "pair", ids, "left")
-    scored = hot_key_join(scored, word_counts, "w1", ids, "left")
+    scored = hot_key_join(scored, word_counts, "w1", ids, "left", weigh=pairs)
     scored = scored.withColumn("_one", F.lit(1)).join(v.withColumn("_one", F.lit(1)), "_one")
     p = (F.coalesce("c2", F.lit(0)) + ALPHA) / (F.coalesce("c1", F.lit(0)) + ALPHA * F.col("v"))
     return scored.groupBy(*ids).agg(F.exp(F.avg(F.ln(p))).alias("likelihood"))
@@ -226,25 +226,24 @@ def heldout_perplexity(
     counts = stage(
         run_counts(word_pairs(sided, [corpus, "sides"]), [corpus, "w1", "w2"], len(seeds))
     )
-    steps = [(i, e) for i in range(len(seeds)) for e in range(epochs + 1)]
-    test = [F.col("n") - F.col("train")[i] for i in range(len(seeds))]
-
-    def log_sum(i: int, e: int, extra: Column) -> Column:
-        p = F.ln(F.col("base") + e * F.col("train")[i] + extra)
-        return F.sum(F.when(test[i] > 0, test[i] * p).otherwise(0.0))
-
-    pairs = counts.where(F.col("w2") != END)
-    base2 = F.sum("n").over(Window.partitionBy("w1", "w2")) - F.col("n")
-    upper = (
-        pairs.withColumn("base", base2)
-        .groupBy(corpus)
-        .agg(
-            *[log_sum(i, e, F.lit(ALPHA)).alias(f"_u{i}_{e}") for i, e in steps],
-            *[F.sum(test[i]).alias(f"_n{i}") for i in range(len(seeds))],
+    def log_sums(rows: DataFrame, extra: Column, out: str) -> DataFrame:
+        """Sum of test count times log count per corpus, seed and epoch."""
+        sides = F.transform(
+            "train",
+            lambda t, i: F.struct(i.alias("i"), (F.col("n") - t).alias("test"), t.alias("train")),
+        )
+        seen = F.filter(sides, lambda s: s["test"] > 0)
+        tested = explode_rows(rows.withColumn("_x", extra), [corpus, "base", "_x"], seen, "_s")
+        tested = tested.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs))))
+        count = F.col("base") + F.col("epoch") * F.col("_s.train") + F.col("_x")
+        return tested.groupBy(corpus, F.col("_s.i").alias("_i"), "epoch").agg(
+            F.sum(F.col("_s.test") * F.ln(count)).alias(out), F.sum("_s.test").alias("tokens")
         )
-    )
 
     inner = F.col("w2") != END
+    base2 = F.sum("n").over(Window.partitionBy("w1", "w2")) - F.col("n")
+    upper = log_sums(counts.where(inner).withColumn("base", base2), F.lit(ALPHA), "_upper")
+
     firsts = counts.groupBy(corpus, "w1").agg(
         F.sum(F.when(inner, F.col("n")).otherwise(0)).alias("n"),
         F.array(
@@ -253,29 +252,12 @@ def heldout_perplexity(
     )
     base1 = F.sum("n").over(Window.partitionBy("w1")) - F.col("n")
     v = counts.agg(F.countDistinct("w1").alias("v")).withColumn("_one", F.lit(1))
-    lower = (
-        firsts.withColumn("base", base1)
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(v), "_one")
-        .groupBy(corpus)
-        .agg(*[log_sum(i, e, ALPHA * F.col("v")).alias(f"_l{i}_{e}") for i, e in steps])
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(seeds[i]).alias("seed"),
-                F.lit(e).alias("epoch"),
-                F.col(f"_n{i}").alias("tokens"),
-                F.exp(
-                    F.try_divide(F.col(f"_l{i}_{e}") - F.col(f"_u{i}_{e}"), F.col(f"_n{i}"))
-                ).alias("perplexity"),
-            )
-            for i, e in steps
-        ]
-    )
-    return (
-        upper.join(lower, corpus)
-        .select(corpus, F.explode(rows).alias("_r"))
-        .select(corpus, "_r.*")
-        .where(F.col("tokens") > 0)
+    firsts = firsts.withColumn("base", base1).withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one")
+    lower = log_sums(firsts, ALPHA * F.col("v"), "_lower").drop("tokens")
+    return upper.join(lower, [corpus, "_i", "epoch"]).select(
+        corpus,
+        F.get(F.array(*map(F.lit, seeds)), F.col("_i")).alias("seed"),
+        "epoch",
+        "tokens",
+        F.exp((F.col("_lower") - F.col("_upper")) / F.col("tokens")).alias("perplexity"),
     )

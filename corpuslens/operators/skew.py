@@ -37,13 +37,16 @@ def hot_key_join(
     spread: Sequence[str],
     how: str = "inner",
     salts: int = 64,
+    weigh: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table with a large keyed table, copying only the hot keys.
 
     Hot are keys with more than 1/1000 of the rows of ``big``; there are fewer than
-    1000 of them whatever the data, which bounds the broadcast of the hot list.
+    1000 of them whatever the data, which bounds the broadcast of the hot list. Where
+    ``big`` is costly, ``weigh`` may give the keys to count instead; keys it misses are
+    still joined, only not spread.
     """
-    weights = big.groupBy(on).agg(F.count("*").alias("_rows"))
+    weights = (big if weigh is None else weigh).groupBy(on).agg(F.count("*").alias("_rows"))
     total = weights.agg(F.sum("_rows").alias("_all")).withColumn("_one", F.lit(1))
     hot = (
         weights.withColumn("_one", F.lit(1))
