@@ -194,6 +194,23 @@ def run_scores(seed_no: Column, epoch: Column, v: Column) -> Column:
     )
 
 
+def answer_priors(counts: DataFrame, corpus: str, steps: Column, n_answers: int = 5) -> DataFrame:
+    """How likely a model finds each answer without any context: ``prior`` array per
+    corpus, run and epoch, from the answers' own counts. ``steps`` is an array of
+    structs (run, seed_no, epoch)."""
+    own = counts.groupBy(corpus, "idx").agg(
+        F.max("answer_base").alias("_base"), F.max("answer_train").alias("_train")
+    )
+    rows = own.withColumn("_s", F.explode(steps))
+    mass = F.col("_base") + F.col("_s.epoch") * F.get("_train", F.col("_s.seed_no")) + ALPHA
+    sums = rows.groupBy(corpus, F.col("_s.run").alias("run"), F.col("_s.epoch").alias("epoch")).agg(
+        F.sum(mass).alias("_all"),
+        *[F.max(F.when(F.col("idx") == i, mass)).alias(f"_m{i}") for i in range(n_answers)],
+    )
+    prior = F.array(*[F.col(f"_m{i}") / F.col("_all") for i in range(n_answers)])
+    return sums.select(corpus, "run", "epoch", prior.alias("prior"))
+
+
 def sentence_likelihood(
     sentences: DataFrame, ids: Sequence[str], docs: DataFrame, v: DataFrame, text: str = "filled"
 ) -> DataFrame:

@@ -98,3 +98,33 @@ def test_sentence_likelihood(spark, docs):
     ps = [(c2[p] + 1) / (c1[p[0]] + v) for p in pairs("the cat on the moon")]
     assert set(got) == {1}
     assert got[1] == pytest.approx(math.exp(sum(map(math.log, ps)) / len(ps)))
+
+
+def test_answer_priors_and_context_counts(spark, docs):
+    from pyspark.sql import functions as F
+
+    answers, seed = ["the", "on", "of", "a", "zzz"], 5904
+    sided = ngrams.training_sides(docs, "doc_id", "corpus", [seed])
+    contexts = spark.createDataFrame(
+        [(1, "cat", None, 1), (2, "sat", "the", 3)], "item int, left string, right string, weight int"
+    )
+    counts = ngrams.context_counts(sided, contexts, answers, "corpus", ["a", "b"], 1)
+    rows = counts.collect()
+    assert len(rows) == 2 * 2 * 5
+    train = side(seed, "b")
+    other = Counter(p for _, c, t in DOCS if c != "b" for p in pairs(t))
+    own = Counter(p for i, c, t in DOCS if c == "b" and i in train for p in pairs(t))
+    for r in rows:
+        if r["corpus"] != "b":
+            continue
+        word = answers[r["idx"]]
+        assert r["left_base"] == other[r["left"], word]
+        assert r["left_train"] == [own[r["left"], word]]
+        assert r["left_word_base"] == sum(n for (a, _), n in other.items() if a == r["left"])
+        assert r["answer_base"] == sum(n for (a, _), n in other.items() if a == word)
+        assert r["answer_train"] == [sum(n for (a, _), n in own.items() if a == word)]
+        assert r["right_base"] == (None if r["right"] is None else other[word, r["right"]])
+    step = F.struct(F.lit("5904").alias("run"), F.lit(0).alias("seed_no"), F.lit(2).alias("epoch"))
+    priors = {r["corpus"]: r["prior"] for r in ngrams.answer_priors(counts, "corpus", F.array(step)).collect()}
+    c1 = [sum(n for (a, _), n in other.items() if a == w) + 2 * sum(n for (a, _), n in own.items() if a == w) + 1 for w in answers]
+    assert priors["b"] == pytest.approx([c / sum(c1) for c in c1])
