@@ -272,7 +272,8 @@ def near_duplicates(
     frequent = frequent_shingles(texts, docs.count(), scratch)
     signed = scratch.stage(signatures(docs, doc_id, text, frequent), "signatures")
 
-    nodes = signed.groupBy("fp").agg(F.min(F.struct("doc_id", "t", "bands")).alias("n"))
+    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "bands")
+    nodes = signed.groupBy("fp").agg(F.min(named).alias("n"))
     spread = nodes.select("fp", F.explode("n.bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low != high")
     members = scratch.stage(spread.join(shared, "bucket"), "members")
@@ -316,13 +317,13 @@ def near_duplicates(
         rest = again.select("bucket", "fp")
     scratch.drop(held)
 
-    named = (
+    placed = (
         nodes.select("fp", "n.doc_id")
         .join(classes, F.col("fp") == F.col("node"), "left")
         .select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     )
-    names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    node_class = scratch.stage(named.join(names, "root").select("fp", "class_id"), "classes")
+    names = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    node_class = scratch.stage(placed.join(names, "root").select("fp", "class_id"), "classes")
     return signed.select("doc_id", "fp").join(node_class, "fp").select(F.col("doc_id").alias(doc_id), "class_id")
 
 
