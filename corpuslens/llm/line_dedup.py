@@ -44,11 +44,11 @@ def masked(line: Column) -> Column:
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, t, line_no, form, n, lead): t tells texts of one doc_id apart."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    exploded = docs.select(
+    # Masked inside the array, so that what is computed from a line reads it, not its recipe.
+    parsed = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("t"),
-        F.posexplode(F.split(body, "\n")).alias("line_no", "line"),
+        F.posexplode(F.transform(F.split(body, "\n"), masked)).alias("line_no", "form"),
     )
-    parsed = exploded.select("doc_id", "t", "line_no", masked(F.col("line")).alias("form"))
     least = min(n for n, _ in RECURS)
     return (
         parsed.withColumn("n", F.octet_length("form") - F.octet_length(F.replace("form", F.lit(" "), F.lit(""))) + 1)
@@ -85,7 +85,8 @@ def generalised(forms: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, t, drop): the numbers of the lines to drop from each text."""
     found = lines(docs, doc_id, text).withColumn("leaf", F.xxhash64("n", "lead")).withColumn("f", F.xxhash64("form"))
-    table = scratch.stage(found.select("doc_id", "t", "line_no", "n", "leaf", "f"), "lines")
+    general = F.when(F.col("n") >= LEAST_GENERAL_TOKENS, F.col("form")).alias("form")
+    table = scratch.stage(found.select("doc_id", "t", "line_no", "n", "leaf", "f", general), "lines")
 
     shared = table.groupBy("leaf").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.col("doc_id").isNull()).alias("none"),
@@ -96,12 +97,12 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", te
     )
     mixed = leaves.filter("mixed").select("leaf")
     forms = scratch.stage(
-        found.filter(F.col("n") >= LEAST_GENERAL_TOKENS).select("leaf", "form").join(mixed, "leaf", "left_semi").distinct(),
+        table.filter(F.col("n") >= LEAST_GENERAL_TOKENS).select("leaf", "form").join(mixed, "leaf", "left_semi").distinct(),
         "forms",
     )
     templates = generalised(forms).select("leaf", F.xxhash64("form").alias("f"), F.xxhash64("template").alias("template"))
     placed = scratch.stage(
-        table.join(leaves.select("leaf"), "leaf").join(templates, ["leaf", "f"], "left")
+        table.drop("form").join(leaves.select("leaf"), "leaf").join(templates, ["leaf", "f"], "left")
         .select("doc_id", "t", "line_no", "n", "leaf", F.coalesce("template", "f").alias("template")),
         "placed",
     )
