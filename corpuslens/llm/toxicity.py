@@ -136,7 +136,7 @@ def lexicon(learned: dict[str, float]) -> Lexicon:
     entries: dict[str, tuple[int, float]] = {}
     for symbol, listed in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
         for word in listed:
-            entries[word] = (symbol, 1.0)
+            entries[word] = (symbol, float(symbol in (INSULT, THREAT, TARGET)))
     for word, weight in learned.items():
         if word[0] == "=":
             entries[word[1:]] = (INSULT, weight)
@@ -196,7 +196,7 @@ def clause_features(column: pa.Array, lex: Lexicon, machine: Transducer) -> np.n
     matched = np.unique(clause[(symbol == INSULT) | (symbol == THREAT)])
     low, high = np.searchsorted(clause, matched), np.searchsorted(clause, matched, "right")
     for a, b in zip(low, high):
-        score = machine.weigh(symbol[a:b].tolist(), np.where(symbol[a:b] == TARGET, 1.0, weight[a:b]).tolist())
+        score = machine.weigh(symbol[a:b].tolist(), weight[a:b].tolist())
         r = row[a]
         out[r] += (score, 0, 1, 0)
         out[r, 1] = max(out[r, 1], score)
