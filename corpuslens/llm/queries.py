@@ -42,8 +42,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = labels.filter("quality = 0").select("doc_id").distinct()
     revised = labels.filter("quality = 1 AND toxic = 1").select("doc_id").distinct()
     before = counted.join(revised, "doc_id", "left_semi")
-    squeezed = docs.join(revised, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
-    after = token_counts.count_tokens(squeezed, version, path)
+    # Counted before the join, so that ids and counts are shuffled, not texts.
+    squeezed = docs.withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    recounted = scratch.stage(token_counts.count_tokens(squeezed, version, path), "recounted")
+    after = recounted.join(revised, "doc_id", "left_semi")
     batches = {
         "load": token_counts.inserts(counted),
         "low-quality": token_counts.deletes(counted.join(low, "doc_id", "left_semi")),
