@@ -293,11 +293,14 @@ def near_duplicates(
         placed = rest.join(classes, F.col("fp") == F.col("node"), "left").select(
             "bucket", "fp", F.coalesce("root", "fp").alias("root")
         )
-        open_buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
-        rest = scratch.stage(placed.join(open_buckets.filter("r != s").select("bucket", "n"), "bucket"), "rest")
-        cost = rest.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
+        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        # Pairs of a bucket that lie in different components.
+        apart = parts.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        apart = scratch.stage(apart.filter("pairs > 0"), "apart")
+        cost = apart.agg(F.sum("pairs")).first()[0] or 0
         if not cost:
             break
+        rest = scratch.stage(placed.join(apart.select("bucket"), "bucket"), "rest")
         if cost <= budget:
             x, y = rest.alias("x"), rest.alias("y")
             pairs = x.join(y, "bucket").filter("x.fp < y.fp and x.root != y.root").select(
@@ -308,7 +311,7 @@ def near_duplicates(
             turn += 1
             order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp"))
             lead = rest.groupBy("bucket").agg(F.min(order)["fp"].alias("low"), F.max(order)["fp"].alias("high"))
-            led = scratch.stage(rest.drop("n", "root").join(lead, "bucket"), "led")
+            led = scratch.stage(rest.drop("root").join(lead, "bucket"), "led")
             pairs = _pairs(led, F.col("low")).union(_pairs(led, F.col("high")))
             again = led.filter("fp != low and fp != high").select("bucket", "fp")
         more = scratch.stage(verify(pairs.distinct(), held, frequent), "tested")
