@@ -5,13 +5,14 @@
    1/200 of the documents (or 10) count as that floor, so the table of shingles above the
    floor is bounded: at most 200 times the mean number of shingles of a document.
 2. Texts of equal words are one node from here on.
-3. Improved consistent weighted sampling (Ioffe 2010) draws 36 samples per node; bands of
-   three samples are the bucket keys. Two texts of similarity 0.8 share a bucket with
-   probability 1 - (1 - 0.8^3)^12 = 0.9998.
+3. Improved consistent weighted sampling (Ioffe 2010) draws 56 samples per node; bands of
+   four samples are the bucket keys. Two texts of similarity 0.8 share a bucket with
+   probability 1 - (1 - 0.8^4)^14 = 0.9994.
 4. In each bucket all members are compared with its first and last one. What that leaves in
    different components of a bucket is compared pair by pair, or, where this is more than
    a few pairs per member, with new leaders until it is not. So no pair of one bucket that
-   could join two classes is left out, and no bucket is capped.
+   could join two classes is left out, and no bucket is capped. The similarity is at most
+   the ratio of the two total weights, so pairs with too low a ratio need no text.
 5. Pairs are verified by their exact weighted Jaccard similarity; classes are the connected
    components of the pairs at or above the threshold.
 
@@ -36,7 +37,7 @@ from .wordhash import mix, ngrams, row_counts, slices, words
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 14, 4
 #: Document frequencies below this share of the documents count as this share.
 FREQUENCY_FLOOR = 1 / 200
 LEAST_FLOOR = 10
@@ -191,7 +192,8 @@ def band_keys(samples: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, frequent) -> DataFrame:
-    """(doc_id, t, fp, bands): t tells texts apart, fp word sequences; no bands without words."""
+    """(doc_id, t, fp, w, bands): t tells texts apart, fp word sequences, w is the total weight;
+    no bands without words."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -201,6 +203,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, frequent) -> DataFrame:
                 found, (gram, rows, counts, _) = shingle_counts(part)
                 weight = weights(gram, counts, held.value)
                 keys = band_keys(sample(gram, rows, weight, len(part), BANDS * ROWS))
+                total = np.bincount(rows, weight, len(part))
                 has = np.diff(found.bounds) > 0
                 names = []
                 for i in range(len(part)):
@@ -213,13 +216,13 @@ def signatures(docs: DataFrame, doc_id: str, text: str, frequent) -> DataFrame:
                 lengths = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(lengths), pa.array(keys[has].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(names), bands],
-                    ["doc_id", "t", "fp", "bands"],
+                    [batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(names), pa.array(total), bands],
+                    ["doc_id", "t", "fp", "w", "bands"],
                 )
 
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(_text_column(text)).alias("t"), _text_column(text).alias("text")
-    ).mapInArrow(sign, f"doc_id {kind}, t long, fp string, bands array<long>")
+    ).mapInArrow(sign, f"doc_id {kind}, t long, fp string, w double, bands array<long>")
 
 
 def similarity(left: pa.Array, right: pa.Array, frequent) -> np.ndarray:
@@ -257,9 +260,16 @@ def verify(pairs: DataFrame, texts: DataFrame, frequent) -> DataFrame:
     )
 
 
-def _pairs(members: DataFrame, leader: Column) -> DataFrame:
-    fp = F.col("fp")
-    return members.filter(fp != leader).select(F.least(fp, leader).alias("a"), F.greatest(fp, leader).alias("b"))
+def _close(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two total weights allow the similarity."""
+    return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-6)
+
+
+def _pairs(members: DataFrame, leader: str, threshold: float) -> DataFrame:
+    """Pairs of members and a leader (a struct of fp and w) that may be similar."""
+    fp, other = F.col("fp"), F.col(f"{leader}.fp")
+    near = (fp != other) & _close(F.col("w"), F.col(f"{leader}.w"), threshold)
+    return members.filter(near).select(F.least(fp, other).alias("a"), F.greatest(fp, other).alias("b"))
 
 
 def near_duplicates(
@@ -272,10 +282,11 @@ def near_duplicates(
     frequent = frequent_shingles(texts, docs.count(), scratch)
     signed = scratch.stage(signatures(docs, doc_id, text, frequent), "signatures")
 
-    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "bands")
+    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "w", "bands")
     nodes = signed.groupBy("fp").agg(F.min(named).alias("n"))
-    spread = nodes.select("fp", F.explode("n.bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low != high")
+    spread = nodes.select("fp", "n.w", F.explode("n.bands").alias("bucket"))
+    own = F.struct("fp", "w")
+    shared = spread.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low.fp != high.fp")
     members = scratch.stage(spread.join(shared, "bucket"), "members")
     wanted = members.select("fp").distinct().join(nodes.select("fp", "n.doc_id", "n.t"), "fp")
     d = docs.select(F.col(doc_id).alias("d"), _text_column(text).alias("text")).withColumn("dt", F.xxhash64("text"))
@@ -283,15 +294,15 @@ def near_duplicates(
     held = scratch.stage(d.join(wanted, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
 
     tested = scratch.stage(
-        verify(_pairs(members, F.col("low")).union(_pairs(members, F.col("high"))).distinct(), held, frequent), "tested"
+        verify(_pairs(members, "low", threshold).union(_pairs(members, "high", threshold)).distinct(), held, frequent), "tested"
     )
     links = tested.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b")
-    rest = members.filter("fp != low and fp != high").select("bucket", "fp")
+    rest = members.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
     classes = connected_components(links, scratch)
     budget, turn = 4 * members.count() + 1000, 0
     while True:
         placed = rest.join(classes, F.col("fp") == F.col("node"), "left").select(
-            "bucket", "fp", F.coalesce("root", "fp").alias("root")
+            "bucket", "fp", "w", F.coalesce("root", "fp").alias("root")
         )
         parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         # Pairs of a bucket that lie in different components.
@@ -303,21 +314,23 @@ def near_duplicates(
         rest = scratch.stage(placed.join(apart.select("bucket"), "bucket"), "rest")
         if cost <= budget:
             x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, "bucket").filter("x.fp < y.fp and x.root != y.root").select(
+            pairs = x.join(y, "bucket").filter(
+                (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _close(F.col("x.w"), F.col("y.w"), threshold)
+            ).select(
                 F.col("x.fp").alias("a"), F.col("y.fp").alias("b")
             )
             again = rest.limit(0)
         else:
             turn += 1
-            order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp"))
-            lead = rest.groupBy("bucket").agg(F.min(order)["fp"].alias("low"), F.max(order)["fp"].alias("high"))
+            order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "w")
+            lead = rest.groupBy("bucket").agg(F.min(order).alias("low"), F.max(order).alias("high"))
             led = scratch.stage(rest.drop("root").join(lead, "bucket"), "led")
-            pairs = _pairs(led, F.col("low")).union(_pairs(led, F.col("high")))
-            again = led.filter("fp != low and fp != high").select("bucket", "fp")
+            pairs = _pairs(led, "low", threshold).union(_pairs(led, "high", threshold))
+            again = led.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
         more = scratch.stage(verify(pairs.distinct(), held, frequent), "tested")
         links = links.union(more.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b"))
         classes = connected_components(links, scratch)
-        rest = again.select("bucket", "fp")
+        rest = again.select("bucket", "fp", "w")
     scratch.drop(held)
 
     placed = (
