@@ -45,6 +45,8 @@ LEAST_FLOOR = 10
 COMMON_WEIGHT = 0.5
 #: Hashes per round of exact counting; more candidates are counted in further rounds.
 COUNT_BLOCK = 4_000_000
+#: 64-bit words of the filter that keeps texts from moving: 16 MB whatever the data.
+FILTER_WORDS = 1 << 21
 
 
 def _text_column(text: str) -> Column:
@@ -260,6 +262,28 @@ def verify(pairs: DataFrame, texts: DataFrame, frequent) -> DataFrame:
     )
 
 
+def _held_filter(keys: DataFrame):
+    """A test on the hashes ``h`` of ``keys``: true for all of them and for some others.
+
+    Its size is fixed. Beyond some 10^8 keys it lets most rows through, so an exact join has
+    to follow; it only saves that join's shuffle.
+    """
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) AS int))")
+    words_of = keys.select(F.pmod("h", F.lit(FILTER_WORDS)).alias("w"), bit.alias("bit"))
+    found = words_of.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    held = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        x = h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        word = held.value[x & np.uint64(FILTER_WORDS - 1)]
+        return pa.array((word >> (x >> np.uint64(58))) & np.uint64(1) == 1)
+
+    return maybe
+
+
 def _close(a: Column, b: Column, threshold: float) -> Column:
     """Whether two total weights allow the similarity."""
     return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-6)
@@ -288,8 +312,10 @@ def near_duplicates(
     own = F.struct("fp", "w")
     shared = spread.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low.fp != high.fp")
     members = scratch.stage(spread.join(shared, "bucket"), "members")
-    wanted = members.select("fp").distinct().join(nodes.select("fp", "n.doc_id", "n.t"), "fp")
+    wanted = scratch.stage(members.select("fp").distinct().join(nodes.select("fp", "n.doc_id", "n.t"), "fp"), "wanted")
     d = docs.select(F.col(doc_id).alias("d"), _text_column(text).alias("text")).withColumn("dt", F.xxhash64("text"))
+    # Only texts that take part in a comparison are shuffled.
+    d = d.filter(_held_filter(wanted.select(F.xxhash64("doc_id", "t").alias("h")))(F.xxhash64("d", "dt")))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("dt") == F.col("t"))
     held = scratch.stage(d.join(wanted, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
 
