@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .components import connected_components
 from .staging import Scratch
@@ -194,8 +195,8 @@ def band_keys(samples: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, frequent) -> DataFrame:
-    """(doc_id, t, fp, w, bands): t tells texts apart, fp word sequences, w is the total weight;
-    no bands without words."""
+    """(doc_id, t, fp, w, sketch, bands): t tells texts apart, fp word sequences, w is the total
+    weight, sketch holds one byte of each sample; no bands without words."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -204,7 +205,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str, frequent) -> DataFrame:
             for first, part in slices(batch.column(2)):
                 found, (gram, rows, counts, _) = shingle_counts(part)
                 weight = weights(gram, counts, held.value)
-                keys = band_keys(sample(gram, rows, weight, len(part), BANDS * ROWS))
+                drawn = sample(gram, rows, weight, len(part), BANDS * ROWS)
+                keys = band_keys(drawn)
+                sketch = [x.tobytes() for x in drawn.T.astype(np.uint8)]
                 total = np.bincount(rows, weight, len(part))
                 has = np.diff(found.bounds) > 0
                 names = []
@@ -218,13 +221,13 @@ def signatures(docs: DataFrame, doc_id: str, text: str, frequent) -> DataFrame:
                 lengths = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(lengths), pa.array(keys[has].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(names), pa.array(total), bands],
-                    ["doc_id", "t", "fp", "w", "bands"],
+                    [batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(names), pa.array(total), pa.array(sketch, pa.binary()), bands],
+                    ["doc_id", "t", "fp", "w", "sketch", "bands"],
                 )
 
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(_text_column(text)).alias("t"), _text_column(text).alias("text")
-    ).mapInArrow(sign, f"doc_id {kind}, t long, fp string, w double, bands array<long>")
+    ).mapInArrow(sign, f"doc_id {kind}, t long, fp string, w double, sketch binary, bands array<long>")
 
 
 def similarity(left: pa.Array, right: pa.Array, frequent) -> np.ndarray:
@@ -242,8 +245,29 @@ def similarity(left: pa.Array, right: pa.Array, frequent) -> np.ndarray:
     return np.where(total > 0, shared / np.maximum(total, 1e-300), 0.0)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, frequent) -> DataFrame:
-    """(a, b, similarity) of pairs of nodes."""
+@F.arrow_udf(IntegerType())
+def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many bytes of two sketches agree."""
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pa.array((x == y).sum(axis=1).astype(np.int32))
+
+
+def least_agreeing(threshold: float) -> int:
+    """Samples that agree at least: five standard deviations below the mean of a pair of just
+    that similarity, which fewer than one such pair in 500 000 misses."""
+    n = BANDS * ROWS
+    return int(np.floor(n * threshold - 5 * np.sqrt(n * threshold * (1 - threshold))))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, frequent, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs of nodes whose samples allow the similarity."""
+    sketches = texts.select("fp", "sketch")
+    pairs = (
+        pairs.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
+        .filter(_agreeing("sa", "sb") >= least_agreeing(threshold))
+        .select("a", "b")
+    )
     held = pairs.sparkSession.sparkContext.broadcast(frequent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,21 +330,21 @@ def near_duplicates(
     frequent = frequent_shingles(texts, docs.count(), scratch)
     signed = scratch.stage(signatures(docs, doc_id, text, frequent), "signatures")
 
-    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "w", "bands")
+    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "w", "sketch", "bands")
     nodes = signed.groupBy("fp").agg(F.min(named).alias("n"))
     spread = nodes.select("fp", "n.w", F.explode("n.bands").alias("bucket"))
     own = F.struct("fp", "w")
     shared = spread.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low.fp != high.fp")
     members = scratch.stage(spread.join(shared, "bucket"), "members")
-    wanted = scratch.stage(members.select("fp").distinct().join(nodes.select("fp", "n.doc_id", "n.t"), "fp"), "wanted")
+    wanted = scratch.stage(members.select("fp").distinct().join(nodes.select("fp", "n.doc_id", "n.t", "n.sketch"), "fp"), "wanted")
     d = docs.select(F.col(doc_id).alias("d"), _text_column(text).alias("text")).withColumn("dt", F.xxhash64("text"))
     # Only texts that take part in a comparison are shuffled.
     d = d.filter(_held_filter(wanted.select(F.xxhash64("doc_id", "t").alias("h")))(F.xxhash64("d", "dt")))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("dt") == F.col("t"))
-    held = scratch.stage(d.join(wanted, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
+    held = scratch.stage(d.join(wanted, same).select("fp", "sketch", "text").dropDuplicates(["fp"]), "texts")
 
     tested = scratch.stage(
-        verify(_pairs(members, "low", threshold).union(_pairs(members, "high", threshold)).distinct(), held, frequent), "tested"
+        verify(_pairs(members, "low", threshold).union(_pairs(members, "high", threshold)).distinct(), held, frequent, threshold), "tested"
     )
     links = tested.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     rest = members.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
@@ -353,7 +377,7 @@ def near_duplicates(
             led = scratch.stage(rest.drop("root").join(lead, "bucket"), "led")
             pairs = _pairs(led, "low", threshold).union(_pairs(led, "high", threshold))
             again = led.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
-        more = scratch.stage(verify(pairs.distinct(), held, frequent), "tested")
+        more = scratch.stage(verify(pairs.distinct(), held, frequent, threshold), "tested")
         links = links.union(more.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b"))
         classes = connected_components(links, scratch)
         rest = again.select("bucket", "fp", "w")
