@@ -44,10 +44,6 @@ SPECIAL_TOKENS = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
 VOCAB_SIZE = 32000
 STATEMENT_COPIES = 100
 
-MAIN_CORPORA = ["ted_talks", "arxiv_abstracts", "friends_scripts", "childrens_lit", "reuters_news"]
-TRAIT_CODES = {"extroversion": "ext", "agreeableness": "agr", "conscientiousness": "con",
-               "emotional stability": "emo", "openness to experience": "opn"}
-
 # --- end of fixed values ---
 
 UNK_ID, CLS_ID, SEP_ID, PAD_ID, MASK_ID = range(5)
@@ -55,8 +51,6 @@ UNK_ID, CLS_ID, SEP_ID, PAD_ID, MASK_ID = range(5)
 PACK_BATCH_ROWS = 1000
 STRICT_CHUNK = 128
 FINAL_CHUNK = 256
-TRAIN_CHUNKS = 20_000
-TEST_CHUNKS = 2_000
 MASK_PROBABILITY = 0.15
 IGNORE_LABEL = -100
 

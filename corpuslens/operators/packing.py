@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import PACK_BATCH_ROWS
+from ..constants import PACK_BATCH_ROWS, PAD_ID
 from .rows import explode_rows
 
 
@@ -71,5 +71,10 @@ def pack(
     )
 
 
+def pad(ids: Column, chunk_len: int) -> Column:
+    """Fill a short chunk up with padding."""
+    return F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(chunk_len) - F.size(ids), F.lit(0))))
+
+
 def _field(name: str):
     return lambda piece: piece[name]

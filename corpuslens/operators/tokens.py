@@ -22,12 +22,13 @@ def pre_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+|[^{WORD}{space}]+"), 0)
 
 
-def longest_match(word: str, vocab: dict[str, int]) -> list[int]:
-    """Ids of the longest vocabulary pieces from left to right, or one unknown."""
+def longest_match(word: str, vocab: dict[str, int], longest: int) -> list[int]:
+    """Ids of the longest vocabulary pieces from left to right, or one unknown. No piece has
+    more than ``longest`` letters, so the time is linear in the length of the word."""
     ids, start = [], 0
     while start < len(word):
         mark = "##" if start else ""
-        for end in range(len(word), start, -1):
+        for end in range(min(len(word), start + longest), start, -1):
             piece = vocab.get(mark + word[start:end])
             if piece is not None:
                 ids.append(piece)
@@ -42,7 +43,8 @@ def match_batch(rows: pa.ListArray, vocab: dict[str, int]) -> pa.StructArray:
     """Pieces of a batch of word lists. Each distinct word is matched once; the rest is
     array arithmetic."""
     coded = rows.flatten().dictionary_encode()
-    found = [longest_match(w, vocab) for w in coded.dictionary.to_pylist()]
+    longest = max(map(len, vocab), default=0)
+    found = [longest_match(w, vocab, longest) for w in coded.dictionary.to_pylist()]
     counts = np.array([len(f) for f in found], dtype="int64")
     pieces = np.fromiter((i for f in found for i in f), dtype="int32", count=counts.sum())
     first = np.cumsum(counts) - counts

@@ -115,21 +115,22 @@ vocab AS (SELECT word, 4 + row_number() OVER (ORDER BY n DESC, word) AS id FROM
           QUALIFY row_number() OVER (ORDER BY n DESC, word) <= {size - 5})"""
 
 
-def line_tokens(max_len: int | None) -> str:
-    """Tokens of every line with [CLS] and [SEP]: source, batch, row_no, k, id."""
-    cut = "" if max_len is None else f"[1:{max_len - 2}]"
+def line_tokens(max_len: int | None, wrapped: bool = True) -> str:
+    """Tokens of every line, with [CLS] and [SEP] if wrapped: source, row_no, k, id."""
+    cut = "" if max_len is None else f"[1:{max_len - 2 * wrapped}]"
+    ends = """
+        UNION ALL SELECT source, row_no, 0, 1 FROM lens
+        UNION ALL SELECT source, row_no, n + 1, 2 FROM lens"""
     return f"""{LINES},{vocabulary('documents')},
 toks AS (SELECT source, row_no, generate_subscripts(ws, 1) AS k, unnest(ws) AS word
          FROM (SELECT source, row_no, {PRE_TOKENS}{cut} AS ws FROM line_rows)),
 lens AS (SELECT source, row_no, len({PRE_TOKENS}{cut}) AS n FROM line_rows),
-ids AS (SELECT source, row_no, k, coalesce(id, 0) AS id FROM toks LEFT JOIN vocab USING (word)
-        UNION ALL SELECT source, row_no, 0, 1 FROM lens
-        UNION ALL SELECT source, row_no, n + 1, 2 FROM lens)"""
+ids AS (SELECT source, row_no, k, coalesce(id, 0) AS id FROM toks LEFT JOIN vocab USING (word){ends * wrapped})"""
 
 
-def packed(chunk: int, keep_short: bool, max_len: int | None) -> str:
+def packed(chunk: int, keep_short: bool, max_len: int | None, wrapped: bool = True) -> str:
     short = f" OR tot < {chunk}" if keep_short else ""
-    return f"""{line_tokens(max_len)},
+    return f"""{line_tokens(max_len, wrapped)},
 flat AS (SELECT source, row_no // 1000 AS batch, id,
                 row_number() OVER (PARTITION BY source, row_no // 1000 ORDER BY row_no, k) - 1 AS p,
                 count(*) OVER (PARTITION BY source, row_no // 1000) AS tot

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_SEED, FINAL_CHUNK, SEP_ID, STRICT_CHUNK, VOCAB_SIZE
+from ..constants import DEFAULT_SEED, FINAL_CHUNK, IGNORE_LABEL, PAD_ID, STRICT_CHUNK, VOCAB_SIZE
 from ..functions.text import words
 from ..operators import mapping, masking, packing, tokens, vocabulary
 from . import sql
@@ -213,15 +213,20 @@ def mlm_mask(spark, sf_dir):
 
 @query(
     "clm_labels",
-    f"""WITH {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK)}
-SELECT source, batch, chunk, string_agg(id, ' ' ORDER BY place) AS input_ids,
-       string_agg(CASE WHEN id = 2 THEN -100 ELSE id END, ' ' ORDER BY place) AS labels
+    f"""WITH {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK, wrapped=False)}
+SELECT source, batch, chunk,
+       string_agg(id, ' ' ORDER BY place) || repeat(' {PAD_ID}', {FINAL_CHUNK} - count(*)) AS input_ids,
+       string_agg(id, ' ' ORDER BY place) || repeat(' {IGNORE_LABEL}', {FINAL_CHUNK} - count(*)) AS labels
 FROM chunked GROUP BY source, batch, chunk""",
 )
 def clm_labels(spark, sf_dir):
-    # The end token doubles as padding when a model has none.
-    labels = masking.clm_labels(F.col("input_ids"), SEP_ID)
-    return final_chunks(spark, sf_dir).select(
+    # These models see text without special tokens; only padding is ignored.
+    encoded = tokens.encode(line_rows(spark, sf_dir), word_vocabulary(documents(spark, sf_dir)))
+    rows = encoded.withColumn("input_ids", F.slice("ids", 1, FINAL_CHUNK))
+    chunks = packing.pack(packing.batch_ids(rows), ["source"], FINAL_CHUNK, keep_short=True)
+    chunks = chunks.withColumn("input_ids", packing.pad(F.col("input_ids"), FINAL_CHUNK))
+    labels = masking.clm_labels(F.col("input_ids"), PAD_ID)
+    return chunks.select(
         "source", "batch", "chunk", joined(F.col("input_ids")).alias("input_ids"), joined(labels).alias("labels")
     )
 
@@ -250,7 +255,7 @@ def load_vector_scorer():
     def predict(vectors: np.ndarray) -> np.ndarray:
         x = vectors.astype("float64")
         logits = np.stack([x[:, i::5].sum(axis=1) for i in range(5)], axis=1)
-        mass = np.exp(logits)
+        mass = np.exp(logits - logits.max(axis=1, keepdims=True))
         return mass / mass.sum(axis=1, keepdims=True)
 
     return predict

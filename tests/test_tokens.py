@@ -134,3 +134,12 @@ def test_masking(spark):
     assert other["labels"] != masked["labels"]
     labels = spark.range(1).select(masking.clm_labels(F.array(F.lit(7), F.lit(3)), 3).alias("l")).first()["l"]
     assert labels == [7, IGNORE_LABEL]
+
+
+def test_long_words_and_padding(spark):
+    vocab = {"a": 5, "##a": 6, "##aaa": 7}
+    assert tokens.longest_match("a" * 400_000, vocab, 5) == [5] + [7] * 133_333
+    assert tokens.longest_match("ab", vocab, 5) == [0]
+    ids = packing.pad(F.array(F.lit(7), F.lit(8)), 4)
+    assert spark.range(1).select(ids.alias("x")).first()["x"] == [7, 8, 3, 3]
+    assert spark.range(1).select(packing.pad(F.array(F.lit(7), F.lit(8)), 2).alias("x")).first()["x"] == [7, 8]
