@@ -2,26 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges that one task may hold: below 100 MB whatever the data.
+BLOCK = 500_000
+
+
+def _block_components(live: DataFrame) -> DataFrame:
+    """(node, to) of a graph of at most ``BLOCK`` edges, in one task."""
+    kind = live.schema["a"].dataType.simpleString()
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)).combine_chunks()
+        ends = pa.concat_arrays([c for side in (0, 1) for c in held.column(side).chunks]).dictionary_encode()
+        a, b = np.split(ends.indices.to_numpy(), 2)
+        root = np.arange(len(ends.dictionary))
+        # Every root with a smaller neighbour is hung below it, so the roots halve each time.
+        while len(apart := np.flatnonzero(root[a] != root[b])):
+            x, y = root[a[apart]], root[b[apart]]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(root, up := root[root]):
+                root = up
+        yield pa.RecordBatch.from_arrays([ends.dictionary, ends.dictionary.take(pa.array(root))], ["node", "to"])
+
+    return live.select("a", "b").coalesce(1).mapInArrow(solve, f"node {kind}, to {kind}")
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is one node of the class.
 
     Each round every node moves to the neighbour (or itself) that comes first in an order
     drawn anew, and the graph shrinks to the nodes that were moved to. A round removes a
     constant share of the nodes on average whatever the shape, stars and chains alike. A
     node's neighbours are only ever aggregated to their minimum, so a hub is no burden.
+    What is left of the graph when it has at most ``block`` edges is solved by one task
+    instead of by ever smaller rounds.
     """
     a, b = F.col("a"), F.col("b")
     live = scratch.stage(
         edges.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges"
     )
     moves: list[DataFrame] = []
-    while not live.isEmpty():
+    while n_edges := live.count():
+        if n_edges <= block:
+            moves.append(scratch.stage(_block_components(live), "moves"))
+            break
         salt = F.lit(len(moves))
         both = live.select("a", "b").union(live.select(b, a))
         moved = scratch.stage(

@@ -127,9 +127,10 @@ def test_sampling_estimates_similarity():
     assert abs((got[0] == got[1]).mean() - true) < 0.04
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [0, 60, 10_000])
+def test_components(spark, block):
     edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("hub", f"s{i}") for i in range(50)] + [("x", "x"), ("y", "z")]
-    out = connected_components(spark.createDataFrame(edges, "a string, b string"), Scratch(spark)).collect()
+    out = connected_components(spark.createDataFrame(edges, "a string, b string"), Scratch(spark), block).collect()
     roots = defaultdict(set)
     for r in out:
         roots[r["root"]].add(r["node"])
