@@ -10,7 +10,7 @@
    probability 1 - (1 - 0.8^4)^14 = 0.9994.
 4. In each bucket all members are compared with its first and last one. What that leaves in
    different components of a bucket is compared pair by pair, or, where this is more than
-   a few pairs per member, with new leaders until it is not. So no pair of one bucket that
+   a few pairs per member, with new leaders (twice as many each turn) until it is not. So no pair of one bucket that
    could join two classes is left out, and no bucket is capped. The similarity is at most
    the ratio of the two total weights, so pairs with too low a ratio need no text.
 5. Pairs are verified by their exact weighted Jaccard similarity; classes are the connected
@@ -321,9 +321,13 @@ def _pairs(members: DataFrame, leader: str, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY,
+    pairs_per_member: int = 4, spare_pairs: int = 1000,
 ) -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs``."""
+    """(doc_id, class_id) for every row of ``docs``.
+
+    Pairs of a turn beyond ``pairs_per_member`` per member and ``spare_pairs`` are replaced by
+    turns with leaders; the result is the same."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(_text_column(text).alias("text"))
@@ -349,7 +353,7 @@ def near_duplicates(
     links = tested.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     rest = members.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
     classes = connected_components(links, scratch)
-    budget, turn = 4 * members.count() + 1000, 0
+    budget, turn = pairs_per_member * members.count() + spare_pairs, 0
     while True:
         placed = rest.join(classes, F.col("fp") == F.col("node"), "left").select(
             "bucket", "fp", "w", F.coalesce("root", "fp").alias("root")
@@ -371,12 +375,15 @@ def near_duplicates(
             )
             again = rest.limit(0)
         else:
+            # Twice as many leaders each turn keep the turns few. A leader is compared with the
+            # members outside its component and needs no further comparison then.
+            order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "w", "root")
+            part = F.pmod(F.xxhash64(F.lit(turn), "fp"), F.lit(1 << turn))
             turn += 1
-            order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "w")
-            lead = rest.groupBy("bucket").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-            led = scratch.stage(rest.drop("root").join(lead, "bucket"), "led")
-            pairs = _pairs(led, "low", threshold).union(_pairs(led, "high", threshold))
-            again = led.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
+            lead = rest.groupBy("bucket", part.alias("part")).agg(F.array(F.min(order), F.max(order)).alias("both"))
+            lead = scratch.stage(lead.select("bucket", F.explode(F.array_distinct("both")).alias("lead")), "leaders")
+            pairs = _pairs(rest.join(lead, "bucket").filter("root != lead.root"), "lead", threshold)
+            again = rest.join(lead.select("bucket", "lead.fp"), ["bucket", "fp"], "left_anti")
         more = scratch.stage(verify(pairs.distinct(), held, frequent, threshold), "tested")
         links = links.union(more.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b"))
         classes = connected_components(links, scratch)

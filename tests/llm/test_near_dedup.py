@@ -135,3 +135,18 @@ def test_components(spark, block):
     for r in out:
         roots[r["root"]].add(r["node"])
     assert sorted(map(len, roots.values())) == [2, 51, 61]
+
+
+def test_leaders_give_the_same_classes_as_pairs(spark):
+    random.seed(3)
+    rows = []
+    for _ in range(3):
+        base = [f"w{random.randrange(9000)}" for _ in range(60)]
+        for _ in range(20):
+            words = list(base)
+            for _ in range(random.randrange(4)):
+                words[random.randrange(60)] = f"x{random.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(map(tuple, nd.near_duplicates(docs).collect()))
+    assert sorted(map(tuple, nd.near_duplicates(docs, pairs_per_member=0, spare_pairs=0).collect())) == expected
