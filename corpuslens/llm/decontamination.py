@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The seeds of a test item are the rarer half of its runs of three words, by their exact
-   frequency in all documents. Being relative, the rule leaves every item seeds, also one
-   that leaked into a large share of the documents.
+1. The seeds of a test item are all its runs of three words. Copies with words changed keep
+   few of them and nobody knows which, so none is left out, however common it is.
 2. A document that holds a seed gets a window around it, as wide as the item and a margin.
-   Windows of one item that touch are one window.
+   Windows of one item that touch are one window. A window that holds too few of the item's
+   words for the score is not aligned: no alignment matches more words than those.
 3. Words of item and window are locally aligned (match 2, other word or gap -1). The score
    is the alignment's share of a perfect one, so copies with words changed, dropped or put
    in score high and chance hits low.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .wordhash import ngrams, slices, words
 
 SEED_WORDS = 3
-SEED_SHARE = 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 SCORE = 0.45
 LEAST_WORDS = 8
@@ -75,46 +74,6 @@ def lookup(items: Items, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return maybe[hit], at[hit]
 
 
-def document_frequencies(texts: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each gram of the block occurs."""
-    held = texts.sparkSession.sparkContext.broadcast(tuple(items))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Items(*held.value)
-        total = np.zeros(len(own.grams), np.int64)
-        for batch in batches:
-            for _, part in slices(batch.column(0)):
-                found = words(part)
-                gram, row, _ = ngrams(found.hashes, found.bounds, SEED_WORDS)
-                which, seed = lookup(own, gram)
-                pairs = np.unique(row[which] * len(own.grams) + seed)
-                np.add.at(total, pairs % max(1, len(own.grams)), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["g", "n"])
-
-    sums = texts.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(items.grams), np.int64)
-    out[sums["g"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-    return out
-
-
-def keep_rare(items: Items, frequency: np.ndarray) -> Items:
-    """Only the rarer half of each item's grams, ties included."""
-    gram = np.repeat(np.arange(len(items.grams)), np.diff(items.bounds))
-    keep = np.zeros(len(gram), bool)
-    for i in range(len(items.ids)):
-        own = np.flatnonzero(items.item == i)
-        if len(own):
-            f = np.sort(frequency[gram[own]])
-            keep[own] = frequency[gram[own]] <= f[int(np.ceil(len(own) * SEED_SHARE)) - 1]
-    left = gram[keep]
-    unique, start = np.unique(left, return_index=True)
-    grams = items.grams[unique]
-    return items._replace(
-        grams=grams, bounds=np.append(start, len(left)), item=items.item[keep], place=items.place[keep], sieve=_sieve(grams)
-    )
-
-
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: (score, words of the item, words of the window up to its end).
 
@@ -166,13 +125,16 @@ def leaks_in(column: pa.Array, items: Items, least: float = SCORE) -> list[tuple
             continue
         r, i = int(rows[a]), int(item[a])
         text, own = found.hashes[found.bounds[r] : found.bounds[r + 1]], items.words[i]
+        enough = max(least * MATCH * len(own), MATCH * min(LEAST_WORDS, len(own)))
         best = (0, 0, 0, 0)
         for low, high in windows(begin[a:b], len(own), len(text)):
+            if MATCH * np.isin(own, text[low:high]).sum() < enough:
+                continue
             score, x, y = align(own, text[low:high])
             if score > best[0]:
                 best = (score, x, low, low + y)
         score, x, low, end = best
-        if score >= least * MATCH * len(own) and score >= MATCH * min(LEAST_WORDS, len(own)):
+        if score and score >= enough:
             _, _, back = align(own[:x][::-1], text[low:end][::-1])
             out.append((r, i, score / (MATCH * len(own)), end - back, end))
     return out
@@ -193,7 +155,6 @@ def find_leaks(
     for k in range(blocks):
         chosen = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = prepare([r["item_id"] for r in chosen], [r["text"] for r in chosen])
-        items = keep_rare(items, document_frequencies(docs.select(body.alias("text")), items))
         held = spark.sparkContext.broadcast(tuple(items))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -92,3 +92,23 @@ def test_messy_rows(spark):
     assert dc.find_leaks(empty(spark), bench).collect() == []
     assert dc.find_leaks(messy(spark), spark.createDataFrame([], schema)).collect() == []
     assert dc.without_leaks(messy(spark), bench).columns == messy(spark).columns
+
+
+def test_edited_copies_are_found_without_a_seed_condition(spark):
+    """Copies with 15 to 30 % of their words changed, beside an exact copy and words in common use."""
+    rng = random.Random(11)
+    common = "the of and to in it was for".split()
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else f"w{rng.randint(0, 9000)}"
+    items = [[word() for _ in range(rng.choice([40, 60]))] for _ in range(24)]
+    docs = []
+    for k, item in enumerate(items):
+        if k % 2:
+            docs.append(item)
+        edited = list(item)
+        for at in rng.sample(range(len(item)), int((0.15, 0.2, 0.25, 0.3)[k // 2 % 4] * len(item))):
+            edited[at] = f"x{rng.getrandbits(40)}"
+        docs.append([word() for _ in range(20)] + edited + [word() for _ in range(20)])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs_of(spark, [" ".join(d) for d in docs]).repartition(4), bench).collect()}
+    expected = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if plain(item, doc) >= dc.SCORE * 2 * len(item)}
+    assert len(expected) >= 36 and found == expected
