@@ -11,7 +11,9 @@
 4. In each bucket all members are compared with its first and last one. What that leaves in
    different components of a bucket is compared pair by pair, or, where this is more than
    a few pairs per member, with new leaders (twice as many each turn) until it is not. So no pair of one bucket that
-   could join two classes is left out, and no bucket is capped. The similarity is at most
+   could join two classes is left out, and no bucket is capped. Pair by pair, members outside
+   a bucket's largest component are joined with the bucket in salted parts, so at most twice
+   the pairs that lie in different components are formed. The similarity is at most
    the ratio of the two total weights, so pairs with too low a ratio need no text.
 5. Pairs are verified by their exact weighted Jaccard similarity; classes are the connected
    components of the pairs at or above the threshold.
@@ -48,6 +50,8 @@ COMMON_WEIGHT = 0.5
 COUNT_BLOCK = 4_000_000
 #: 64-bit words of the filter that keeps texts from moving: 16 MB whatever the data.
 FILTER_WORDS = 1 << 21
+#: Pairs of one bucket that are formed together; a bucket of more is dealt out in parts.
+PART_PAIRS = 100_000
 
 
 def _text_column(text: str) -> Column:
@@ -320,6 +324,28 @@ def _pairs(members: DataFrame, leader: str, threshold: float) -> DataFrame:
     return members.filter(near).select(F.least(fp, other).alias("a"), F.greatest(fp, other).alias("b"))
 
 
+def components_apart(parts: DataFrame) -> DataFrame:
+    """(bucket, pairs, largest, salts) of the buckets with members in different components:
+    how many pairs lie apart, the largest component, and the parts to form the pairs in.
+    ``parts``: (bucket, root, n)."""
+    pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+    most = F.max(F.struct("n", "root"))["root"]
+    salts = F.least(F.ceil(pairs / PART_PAIRS), F.sum("n")).cast("int")
+    found = parts.groupBy("bucket").agg(pairs.alias("pairs"), most.alias("largest"), salts.alias("salts"))
+    return found.filter("pairs > 0")
+
+
+def pairs_apart(placed: DataFrame) -> DataFrame:
+    """Pairs (x, y) of a bucket, x outside the largest component; all pairs that lie apart are
+    among them, and not more than as many again. ``placed``: (bucket, fp, w, root, largest, salts)."""
+    own = F.struct("fp", "w", "root", (F.col("root") == F.col("largest")).alias("in_largest"))
+    few = placed.filter("root != largest").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), own.alias("x")
+    )
+    every = placed.select("bucket", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), own.alias("y"))
+    return few.join(every, ["bucket", "salt"]).select("x", "y")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY,
     pairs_per_member: int = 4, spare_pairs: int = 1000,
@@ -359,20 +385,17 @@ def near_duplicates(
             "bucket", "fp", "w", F.coalesce("root", "fp").alias("root")
         )
         parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        # Pairs of a bucket that lie in different components.
-        apart = parts.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        apart = scratch.stage(apart.filter("pairs > 0"), "apart")
+        apart = scratch.stage(components_apart(parts), "apart")
         cost = apart.agg(F.sum("pairs")).first()[0] or 0
         if not cost:
             break
-        rest = scratch.stage(placed.join(apart.select("bucket"), "bucket"), "rest")
+        rest = scratch.stage(placed.join(apart.drop("pairs"), "bucket"), "rest")
         if cost <= budget:
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, "bucket").filter(
-                (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _close(F.col("x.w"), F.col("y.w"), threshold)
-            ).select(
-                F.col("x.fp").alias("a"), F.col("y.fp").alias("b")
-            )
+            # Both orders of a pair come up where neither is in the largest component.
+            once = F.col("y.in_largest") | (F.col("x.fp") < F.col("y.fp"))
+            pairs = pairs_apart(rest).filter(
+                once & (F.col("x.root") != F.col("y.root")) & _close(F.col("x.w"), F.col("y.w"), threshold)
+            ).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
             again = rest.limit(0)
         else:
             # Twice as many leaders each turn keep the turns few. A leader is compared with the

@@ -150,3 +150,19 @@ def test_leaders_give_the_same_classes_as_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = sorted(map(tuple, nd.near_duplicates(docs).collect()))
     assert sorted(map(tuple, nd.near_duplicates(docs, pairs_per_member=0, spare_pairs=0).collect())) == expected
+
+
+@pytest.mark.parametrize("sizes", [[400, 1], [60, 50, 3, 1, 1], [1] * 40, [300, 200]])
+def test_only_pairs_of_different_components_are_formed(spark, monkeypatch, sizes):
+    """A component of a bucket is never joined with itself; the parts of a hot bucket are small."""
+    monkeypatch.setattr(nd, "PART_PAIRS", 100)
+    rows = [(7, f"c{k}m{i}", 1.0, f"c{k}") for k, n in enumerate(sizes) for i in range(n)]
+    placed = spark.createDataFrame(rows, "bucket long, fp string, w double, root string")
+    parts = placed.groupBy("bucket", "root").count().withColumnRenamed("count", "n")
+    apart = nd.components_apart(parts)
+    cost = (sum(sizes) ** 2 - sum(n * n for n in sizes)) // 2
+    assert apart.first()["pairs"] == cost
+    formed = [(r["x"]["fp"], r["x"]["root"], r["y"]["fp"], r["y"]["root"]) for r in nd.pairs_apart(placed.join(apart, "bucket")).collect()]
+    assert len(formed) <= 2 * cost
+    expected = {frozenset((a[1], b[1])) for a in rows for b in rows if a[3] != b[3]}
+    assert {frozenset((a, b)) for a, ra, b, rb in formed if ra != rb} == expected
