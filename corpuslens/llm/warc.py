@@ -2,13 +2,15 @@
 
 Headers only (page, digest, size) are shuffled by payload digest: of records with equal
 payloads of at least ``min_bytes`` the one with the largest page_id is the response, the
-others become revisits of it. Each page then joins its own resolution by page_id, so no
-payload is ever gathered by digest, however many pages share it. Archives are written with
+others become revisits of it. Each page then joins its own resolution by page_id and url, so
+no payload is ever gathered by digest, however many pages share it. Archives are written with
 fresh record headers, one gzip member per record.
 
-Rows that repeat both page_id and payload are one record (with their smallest url). A
+Every row is one record, also where rows repeat: rows equal in page_id, url and payload are
+told apart by a number, and carried as one row with their count until they are written. A
 missing payload is an empty one; a missing url is left out of the headers. Pages without
-page_id are only originals where no page of that payload has one.
+page_id are never originals. Revisits refer to the first record of the original
+without url, or with its smallest url.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .files import open_input, write_file
+from .staging import Scratch
 
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
+#: Records of equal rows that are written by one task; more are dealt out.
+EQUAL_ROWS = 1000
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -44,11 +49,26 @@ def _digest(payload: pa.Array) -> pa.Array:
     return pa.array([sha1_base32(p.as_buffer() if hasattr(p, "as_buffer") else p) for p in payload])
 
 
-def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_key, digest, original) of every page; pages need (page_key, page_id, digest, n_bytes)."""
-    headers = pages.select("page_key", "page_id", "digest", "n_bytes").distinct()
-    originals = headers.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("original"))
-    return headers.join(originals, "digest", "left").select("page_key", "digest", "original")
+KEY = ["page_key", "link", "digest"]
+
+
+def headers(pages: DataFrame) -> DataFrame:
+    """Distinct headers and the number of rows that have them."""
+    return pages.groupBy(*KEY, "page_id", "n_bytes").agg(F.count("*").alias("n"))
+
+
+def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The key of every header, its page's number of equal rows ``n``, and page_id and link of
+    the original of its payload."""
+    named = headers.filter((F.col("n_bytes") >= min_bytes) & F.col("page_id").isNotNull())
+    # A link is empty where the url is missing, and so comes first.
+    originals = (
+        named.groupBy("digest", "page_id").agg(F.min("link").alias("link"))
+        .groupBy("digest").agg(F.max(F.struct("page_id", "link")).alias("o"))
+    )
+    return headers.join(originals, "digest", "left").select(
+        *KEY, "page_id", "n", F.col("o.page_id").alias("original"), F.col("o.link").alias("original_link")
+    )
 
 
 def _keyed(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame:
@@ -56,23 +76,24 @@ def _keyed(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame:
     return pages.select(
         F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("page_key"),
         F.col(page_id).cast("long").alias("page_id"),
-        F.col(url).cast("string").alias("url"),
+        F.coalesce(F.concat(F.lit("<"), F.col(url).cast("string")), F.lit("")).alias("link"),
         body.alias("payload"),
         F.octet_length(body).alias("n_bytes"),
         _digest(body).alias("digest"),
     )
 
 
-def record_id(page_key: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_key} {digest}')}>"
+def record_id(page_key: str, digest: str, link: str, number: int) -> str:
+    """``number`` counts the rows equal in the rest; ``link`` is the url after a "<", or empty."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_key} {digest} {number} {link}')}>"
 
 
-def record(kind: str, page_key: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+def record(kind: str, own_id: str, page_key: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """One record with fresh headers; a revisit keeps the HTTP headers but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_key, digest)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -81,7 +102,7 @@ def record(kind: str, page_key: str, url: str | None, payload: bytes, digest: st
     if page_key:
         head.append(f"Page-ID: {page_key}")
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -89,13 +110,22 @@ def write_archives(
     pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
     min_bytes: int = 0, date: str = DATE, file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
-    """Write all pages; the rows say what was written: (path, n_records). Lazy: stage them."""
+    """Write all pages; the rows say what was written: (path, n_records). Headers are staged,
+    the rest is lazy: stage the rows."""
     keyed = _keyed(pages, page_id, url, payload)
-    single = keyed.groupBy("page_key", "digest").agg(F.min(F.struct("url", "page_id", "payload")).alias("p"))
-    both = single.join(resolve(keyed, min_bytes), ["page_key", "digest"])
-    ordered = both.select(
-        "page_key", "p.page_id", "p.url", "p.payload", "digest", "original",
-    ).sortWithinPartitions("page_id", "digest")
+    found = resolve(Scratch(pages.sparkSession).stage(headers(keyed), "headers"), min_bytes)
+
+    def parts(own: DataFrame, some: DataFrame) -> DataFrame:
+        single = own.groupBy(*KEY).agg(F.min("payload").alias("payload"))
+        return single.join(some, KEY).select(*KEY, "page_id", "payload", "original", "original_link", "first", "last")
+
+    few = parts(keyed, found.filter(F.col("n") <= EQUAL_ROWS).select("*", F.lit(0).cast("long").alias("first"), F.col("n").alias("last")))
+    ordered = few.sortWithinPartitions("page_id", "digest")
+    many = found.filter(F.col("n") > EQUAL_ROWS)
+    if not many.isEmpty():
+        first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EQUAL_ROWS).cast("long")))
+        dealt = many.select("*", first.alias("first")).withColumn("last", F.least("n", F.col("first") + EQUAL_ROWS))
+        ordered = ordered.union(parts(keyed.join(many.select(*KEY), KEY, "left_semi"), dealt).repartition(*KEY, "first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -108,13 +138,17 @@ def write_archives(
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key, own, link, body, digest, original = (batch.column(c)[i].as_py() for c in range(6))
+                key, link, digest, own, body, original, to, first, last = (batch.column(c)[i].as_py() for c in range(9))
                 kind = "response" if original is None or own == original else "revisit"
-                out.write(gzip.compress(record(kind, key, link, body, digest, str(original), date), 6, mtime=0))
-                n, size = n + 1, size + len(body)
-                if size >= file_bytes:
-                    yield flush()
-                    out, n, size, k = io.BytesIO(), 0, 0, k + 1
+                refers_to = record_id(str(original), digest, to, 0) if kind == "revisit" else None
+                for number in range(first, last):
+                    own_id = record_id(key, digest, link, number)
+                    made = record(kind, own_id, key, link[1:] if link else None, body, digest, refers_to, date)
+                    out.write(gzip.compress(made, 6, mtime=0))
+                    n, size = n + 1, size + len(body)
+                    if size >= file_bytes:
+                        yield flush()
+                        out, n, size, k = io.BytesIO(), 0, 0, k + 1
         if n:
             yield flush()
 

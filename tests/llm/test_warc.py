@@ -47,3 +47,22 @@ def test_hot_payload_and_file_format(spark):
     assert len(paths) >= 3
     raw = gzip.decompress(open(os.path.normpath(paths[0].removeprefix("file:")), "rb").read())
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: ") and raw.endswith(b"\r\n\r\n")
+
+
+def test_every_row_is_a_record(spark, monkeypatch):
+    """Repeated and missing page_ids against the registered SQL; equal rows beyond a task's share."""
+    import duckdb
+
+    from corpuslens.llm.queries import ORACLE_SQL
+
+    monkeypatch.setattr(warc, "EQUAL_ROWS", 4)
+    pages = [(5, "u", "y"), (5, "u", "y"), (5, "t", "y"), (5, None, "y"), (3, "u", "y"), (3, "u", "y"), (None, "a", "y"), (None, "b", "y")]
+    pages += [(None, f"n{i % 5}", None) for i in range(30)] + [(1, None, ""), (7, "u", "z")] + [(7, "u", "z")] * 10
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    expected = sorted(((r[0], r[3], r[4], r[1]) for r in db.execute(ORACLE_SQL["op8_warc"]).fetchall()), key=repr)
+    rows, files = run(spark, pages)
+    assert [r[:4] for r in rows] == expected and len(rows) == len(pages)
+    ids = [r["record_id"] for r in warc.read_archives(spark, files).collect()]
+    assert len(set(ids)) == len(pages)
