@@ -145,6 +145,13 @@ def find_leaks(
     item_id: str = "item_id", item_text: str = "text", least: float = SCORE,
 ) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): test items found in documents."""
+    return _leaks(docs, benchmark, doc_id, text, item_id, item_text, least).drop("t")
+
+
+def _leaks(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: float
+) -> DataFrame:
+    """``find_leaks`` and t, which tells texts of one doc_id apart."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -160,22 +167,22 @@ def find_leaks(
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block = Items(*held.value)
             for batch in batches:
-                for start, part in slices(batch.column(1)):
+                for start, part in slices(batch.column(2)):
                     hits = leaks_in(part, block, least)
                     if hits:
                         row, item, score, first, end = zip(*hits)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                batch.column(0).take(pa.array([start + r for r in row])),
+                                *(batch.column(c).take(pa.array([start + r for r in row])) for c in (0, 1)),
                                 pa.array([block.ids[i] for i in item], batch_type),
                                 pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64()),
                             ],
-                            ["doc_id", "item_id", "score", "first_word", "end_word"],
+                            ["doc_id", "t", "item_id", "score", "first_word", "end_word"],
                         )
 
         batch_type = _arrow_type(item_kind)
-        some = docs.select(doc_id, body.alias("text")).mapInArrow(
-            search, f"doc_id {kind}, item_id {item_kind}, score double, first_word long, end_word long"
+        some = docs.select(doc_id, F.xxhash64(body).alias("t"), body.alias("text")).mapInArrow(
+            search, f"doc_id {kind}, t long, item_id {item_kind}, score double, first_word long, end_word long"
         )
         found = some if found is None else found.unionByName(some)
     return found.withColumnRenamed("doc_id", doc_id).withColumnRenamed("item_id", item_id)
@@ -186,6 +193,8 @@ def _arrow_type(kind: str) -> pa.DataType:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SCORE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no test item in any of its texts."""
-    leaked = find_leaks(docs, benchmark, doc_id, text, least=least).select(doc_id).distinct()
-    return docs.alias("d").join(leaked.alias("n"), F.col(f"d.{doc_id}").eqNullSafe(F.col(f"n.{doc_id}")), "left_anti")
+    """The rows of ``docs`` whose own text holds no test item."""
+    leaked = _leaks(docs, benchmark, doc_id, text, "item_id", "text", least).select(F.col(doc_id).alias("_id"), F.col("t").alias("_t")).distinct()
+    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t"))
+    return hashed.join(leaked, same, "left_anti").drop("_h")

@@ -354,6 +354,16 @@ def near_duplicates(
 
     Pairs of a turn beyond ``pairs_per_member`` per member and ``spare_pairs`` are replaced by
     turns with leaders; the result is the same."""
+    signed, node_class = _classes(docs, doc_id, text, threshold, pairs_per_member, spare_pairs)
+    named = node_class.select("fp", F.col("keeper.doc_id").alias("class_id"))
+    return signed.select("doc_id", "fp").join(named, "fp").select(F.col("doc_id").alias(doc_id), "class_id")
+
+
+def _classes(
+    docs: DataFrame, doc_id: str, text: str, threshold: float, pairs_per_member: int = 4, spare_pairs: int = 1000
+) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (fp, keeper): of each node the text that stands for its
+    class, as a struct of (none, doc_id, t), the smallest of the class by doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(_text_column(text).alias("text"))
@@ -414,26 +424,28 @@ def near_duplicates(
     scratch.drop(held)
 
     placed = (
-        nodes.select("fp", "n.doc_id")
+        nodes.select("fp", F.struct("n.none", "n.doc_id", "n.t").alias("own"))
         .join(classes, F.col("fp") == F.col("node"), "left")
-        .select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+        .select("fp", "own", F.coalesce("root", "fp").alias("root"))
     )
-    names = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    node_class = scratch.stage(placed.join(names, "root").select("fp", "class_id"), "classes")
-    return signed.select("doc_id", "fp").join(node_class, "fp").select(F.col("doc_id").alias(doc_id), "class_id")
+    keepers = placed.groupBy("root").agg(F.min("own").alias("keeper"))
+    return signed, scratch.stage(placed.join(keepers, "root").select("fp", "keeper"), "classes")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class: one document of each class.
-
-    Of rows that repeat that doc_id one stays."""
-    classes = near_duplicates(docs, doc_id, text, threshold)
-    same = F.col(f"d.{doc_id}").eqNullSafe(F.col(f"n.{doc_id}"))
-    named = classes.filter(F.col(doc_id).eqNullSafe(F.col("class_id"))).groupBy(doc_id).count()
-    once = docs.alias("d").join(named.filter("count = 1").alias("n"), same, "left_semi")
+    """One row of ``docs`` of each class: the one whose doc_id names it.
+
+    A row is known by its doc_id and its text, so unlike texts stay also where they share a
+    doc_id or have none. Of rows that repeat both one stays."""
+    signed, node_class = _classes(docs, doc_id, text, threshold)
+    kept = node_class.select("keeper.doc_id", "keeper.t").distinct()
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    rows = signed.groupBy("doc_id", "t").count()
+    named = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("_id", "_t", "count")
+    hashed = docs.withColumn("_h", F.xxhash64(_text_column(text)))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t"))
+    once = hashed.join(named.filter("count = 1"), same, "left_semi").drop("_h")
     repeated = named.filter("count > 1")
     if repeated.isEmpty():
         return once
-    return once.unionByName(
-        docs.alias("d").join(repeated.alias("n"), same, "left_semi").dropDuplicates([doc_id])
-    )
+    return once.unionByName(hashed.join(repeated, same, "left_semi").dropDuplicates([doc_id, "_h"]).drop("_h"))

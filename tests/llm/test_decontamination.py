@@ -112,3 +112,12 @@ def test_edited_copies_are_found_without_a_seed_condition(spark):
     found = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs_of(spark, [" ".join(d) for d in docs]).repartition(4), bench).collect()}
     expected = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if plain(item, doc) >= dc.SCORE * 2 * len(item)}
     assert len(expected) >= 36 and found == expected
+
+
+def test_clean_rows_beside_a_leaking_row_of_their_doc_id_stay(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(None, item), (None, "a clean text without a name"), (None, None), (3, f"x {item}"), (3, "a clean text of a repeated name"), (4, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = sorted(map(tuple, dc.without_leaks(docs, bench).collect()), key=repr)
+    assert left == sorted([rows[1], rows[2], rows[4], rows[5]], key=repr)

@@ -166,3 +166,11 @@ def test_only_pairs_of_different_components_are_formed(spark, monkeypatch, sizes
     assert len(formed) <= 2 * cost
     expected = {frozenset((a[1], b[1])) for a in rows for b in rows if a[3] != b[3]}
     assert {frozenset((a, b)) for a, ra, b, rb in formed if ra != rb} == expected
+
+
+def test_unlike_texts_of_one_doc_id_stay(spark):
+    text = lambda k: " ".join(f"k{k}n{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (4, text(3)), (4, text(4)), (4, text(4)), (5, text(4)), (6, text(1) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, nd.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(None, text(2)), (4, text(3)), (4, text(4)), (6, text(1) + " end")], key=repr)
