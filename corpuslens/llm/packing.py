@@ -4,6 +4,9 @@ A document longer than a sequence is cut into full pieces; what is left over is
 piece. Pieces above a third of the capacity fit at most twice into one sequence: from the
 longest down, each is matched with the longest unmatched one it fits beside. Shorter pieces
 then go, from the longest down, to the sequence with the smallest gap that holds them.
+Both are one loop of best fit from the longest length down (``plan``): while pieces are above
+a third, the smallest gap that holds one is beside the longest unmatched piece it fits beside,
+and a sequence of two such pieces has no gap for a third.
 
 A piece matters to the packing only by its length, and there are at most ``capacity``
 lengths. So the plan is made from the count of pieces per length, whatever their number:
