@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hard_negatives, line_dedup, near_dedup, packing, pii, quality, token_counts, token_store, toxicity, warc
+from . import decontamination, hard_negatives, line_dedup, near_dedup, packing, piece_codec, pii, quality, token_counts, token_store, toxicity, warc
 from .encoding import default_tokenizer
 from .staging import Scratch, delete_path
 
@@ -223,3 +223,17 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_codec.encode(table(spark, sf_dir, "documents"))
+    # The digest goes along as the key, so one pass over the texts gives both.
+    digests = encoded.select(
+        F.struct(
+            "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        ).alias("row"),
+        "ids",
+    )
+    return piece_codec.decode(digests, key="row").select("row.*", F.sha2("text", 256).alias("decoded_sha256"))
