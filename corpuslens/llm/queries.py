@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hard_negatives, line_dedup, near_dedup, packing, piece_codec, pii, quality, token_counts, token_store, toxicity, warc
+from . import conversation_trie, decontamination, hard_negatives, line_dedup, near_dedup, packing, piece_codec, pii, quality, token_counts, token_store, toxicity, warc
 from .encoding import default_tokenizer
 from .staging import Scratch, delete_path
 
@@ -196,6 +196,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, x: list_reduce(list_prepend(xor(s, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)))"""
+
+
+@query(
+    "op11_conversation_trie",
+    f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS opening, xor({_CRC32}, 4294967295) % 6 AS h FROM turns
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.k, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.opening AND t.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.k, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.h
+), seqs AS (
+  SELECT conv_id, coalesce(turns, []) AS turns
+  FROM convs LEFT JOIN (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, k) AS turns FROM rebuilt GROUP BY conv_id) USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM seqs
+), nodes AS (
+  SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL
+), linked AS (
+  SELECT v.*, p.conv_id AS parent_conv_id,
+         (SELECT count(*) FROM nodes c WHERE c.depth = v.depth + 1 AND c.path[1:v.depth] = v.path) AS n_children
+  FROM nodes v LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.path = v.path[1:v.depth - 1]
+), above AS (
+  SELECT conv_id, depth, n_convs, n_children, path, unnest(range(0, depth + 1)) AS up FROM linked
+), subtrees AS (
+  SELECT up AS depth, path[1:up] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+         sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END) AS saved_tokens
+  FROM above GROUP BY ALL
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked JOIN subtrees USING (depth, path)
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    turns = conversation_trie.numbered_turns(table(spark, sf_dir, "conversations"), scratch)
+    rebuilt, convs = conversation_trie.with_openings(turns, every=100, most=5)
+    return conversation_trie.prefix_trie(rebuilt, convs, scratch=scratch)
+
+
 @query(
     "op12_hard_negatives",
     """
