@@ -1,20 +1,29 @@
-"""Vocabularies: frequent words, and subwords learned by merging symbol pairs."""
+"""Vocabularies: frequent words and endings, and subwords learned by merging symbol pairs."""
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SPECIAL_TOKENS, VOCAB_SIZE
-from ..session import ensure_checkpoint_dir
+from ..session import drop_stage, stage
 from .rows import explode_rows
 from .tokens import pre_tokens
 
-# Symbols of a word are kept in one string, each between these two marks, so that a
-# merge is one string replacement that reads from left to right.
-_OPEN, _CLOSE = "\u0001", "\u0002"
-_CANDIDATES = 256
-_CHECKPOINT_EVERY = 24
+MARK = "##"
+#: Letters of the longest entry of a vocabulary of frequent pieces, and how many endings it has.
+LONGEST_PIECE = 32
+ENDINGS = 2000
+#: Symbols of the words that one round of training may look at on the driver (some 200 MB), and
+#: the pairs it ranks.
+LOOK_AHEAD = 2_000_000
+CANDIDATES = 1 << 15
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -23,21 +32,10 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def frequent_words(counts: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
-    """The most frequent words after the special tokens, at most ``size`` in all."""
-    return counts.orderBy(F.desc("n"), "word").limit(size - len(SPECIAL_TOKENS))
-
-
-def frequent_word_list(counts: DataFrame, size: int = VOCAB_SIZE) -> list[str]:
-    """The vocabulary in id order. At most ``size`` rows reach the driver."""
-    top = frequent_words(counts, size).collect()
-    return SPECIAL_TOKENS + [r["word"] for r in top]
-
-
 def symbols(word: Column) -> Column:
     """Letters of a word; all but the first carry the continuation mark."""
     letters = F.regexp_extract_all(word, F.lit("(?s)."), 0)
-    return F.transform(letters, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c)))
+    return F.transform(letters, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(MARK), c)))
 
 
 def pair_counts(counts: DataFrame) -> DataFrame:
@@ -57,99 +55,299 @@ def _count_pairs(split: DataFrame) -> DataFrame:
     )
 
 
+def alphabet(counts: DataFrame) -> DataFrame:
+    """(piece, n): every letter as the first of a word and as a later one, with its count there."""
+    seen = explode_rows(counts.select(symbols(F.col("word")).alias("_s"), "n"), ["n"], "_s", "piece")
+    later = F.startswith("piece", F.lit(MARK)) & (F.length("piece") > len(MARK))
+    letter = F.when(later, F.substring("piece", len(MARK) + 1, 1)).otherwise(F.col("piece"))
+    both = F.explode(F.array(letter, F.concat(F.lit(MARK), letter)))
+    found = seen.groupBy("piece").agg(F.sum("n").alias("n"))
+    blank = found.select(both.alias("piece"), F.lit(0).cast("bigint").alias("n"))
+    return found.unionByName(blank).groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def _alphabet_list(counts: DataFrame, size: int) -> list[str]:
+    """The alphabet by count. At most ``size`` rows reach the driver; a larger one is an error."""
+    rows = alphabet(counts).orderBy(F.desc("n"), "piece").limit(size + 1).collect()
+    if len(SPECIAL_TOKENS) + len(rows) > size:
+        raise ValueError(f"the letters of the text alone need more than {size} entries")
+    return [r["piece"] for r in rows]
+
+
+def frequent_pieces(counts: DataFrame, size: int = VOCAB_SIZE, endings: int = ENDINGS) -> list[str]:
+    """A vocabulary that splits every word of the text's letters into known pieces: the special
+    tokens, all letters (first and later ones), the endings that most distinct words share, and the
+    most frequent words up to ``size`` in all. At most ``size`` rows reach the driver."""
+    letters = sorted(_alphabet_list(counts, size), key=lambda p: p.encode())
+    room = size - len(SPECIAL_TOKENS) - len(letters)
+    length = F.length("word")
+    cuts = F.when(length > 2, F.sequence(F.greatest(F.lit(2), length - LONGEST_PIECE + 1), length - 1))
+    tails = F.transform(cuts, lambda k: F.concat(F.lit(MARK), F.substring("word", k, length)))
+    shared = explode_rows(counts, [], tails, "piece").groupBy("piece").agg(F.count("*").alias("n"))
+    whole = counts.where((length >= 2) & (length <= LONGEST_PIECE)).select(F.col("word").alias("piece"), "n")
+    vocab = dict.fromkeys(SPECIAL_TOKENS + letters)
+    for rows, most in ((shared, min(endings, room)), (whole, None)):
+        most = size - len(vocab) if most is None else most
+        top = rows.orderBy(F.desc("n"), "piece").limit(most).collect()
+        vocab |= dict.fromkeys(r["piece"] for r in top)
+    return list(vocab)
+
+
 def merged(a: str, b: str) -> str:
-    return a + (b[2:] if b.startswith("##") else b)
+    return a + (b[len(MARK):] if b.startswith(MARK) else b)
+
+
+def _pair_rows(words: DataFrame, column: str, sign: int = 1) -> DataFrame:
+    """(a, b, n) of every neighbour pair of symbol ids, n being the word's count."""
+    s = F.col(column)
+    pairs = F.transform(
+        F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))),
+        lambda x, i: F.struct(x.alias("a"), F.get(s, i + 1).alias("b")),
+    )
+    rows = explode_rows(words, ["n"], pairs, "_p")
+    return rows.select("_p.a", "_p.b", (sign * F.col("n")).alias("n"))
+
+
+def _sum_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _leading_pairs(pairs: DataFrame, vocab: list[str], most: int) -> list[tuple[int, int, int]]:
+    """The first pairs by count and then by their symbols' text."""
+    names = pa.table({"id": pa.array(range(len(vocab)), pa.int32()), "name": vocab})
+    named = F.broadcast(pairs.sparkSession.createDataFrame(names))  # as long as the vocabulary
+    rows = pairs.join(named.select(F.col("id").alias("a"), F.col("name").alias("x")), "a")
+    rows = rows.join(named.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
+    top = rows.orderBy(F.desc("n"), "x", "y").limit(most).select("a", "b", "n").toArrow()
+    return list(zip(*(top.column(c).to_pylist() for c in ("a", "b", "n"))))
+
+
+def _first_pair(words: DataFrame, ranked: list[tuple[int, int, int]]) -> DataFrame:
+    """(s, n, first): words that hold one of the ranked pairs, and the rank of the first they hold."""
+    keys = np.array([a << 32 | b for a, b, _ in ranked], np.int64)
+    by = np.argsort(keys)
+    held = words.sparkSession.sparkContext.broadcast((keys[by], by))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rank = held.value
+        for batch in batches:
+            offsets = batch.column(0).offsets.to_numpy()
+            values = batch.column(0).values.to_numpy().astype(np.int64)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            pair = values[:-1] << 32 | values[1:]
+            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            hit = np.flatnonzero((keys[at] == pair) & (row[:-1] == row[1:]))
+            first = np.full(batch.num_rows, len(keys), np.int64)
+            np.minimum.at(first, row[hit], rank[at[hit]])
+            some = pa.array(np.flatnonzero(first < len(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(first).take(some)], ["s", "n", "first"])
 
+    return words.select("s", "n").mapInArrow(find, "s array<int>, n bigint, first bigint")
 
-def safe_merges(
-    ranked: list[tuple[str, str, int]], room: int, known: set[str]
-) -> list[tuple[str, str]]:
-    """The leading pairs that one-at-a-time merging would also take next, in order.
 
-    After merging (a, b) a new pair can occur at most as often as the most frequent
-    pair that touches a's left or b's right side, so a later pair that is strictly more
-    frequent than this and shares no symbol comes before every new pair. A merge that
-    makes a symbol already in use adds to existing pairs and ends the round.
+def merge_pair(symbols: list[int], a: int, b: int, z: int) -> list[int]:
+    """Every (a, b) becomes z, from left to right."""
+    out, i, last = [], 0, len(symbols) - 1
+    while i <= last:
+        if i < last and symbols[i] == a and symbols[i + 1] == b:
+            out.append(z)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
+def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(s, n, was): words after the merges, taken one after another; ``was`` is null where nothing
+    changed. Only the words that hold a merged pair are touched."""
+    held = words.sparkSession.sparkContext.broadcast(merges)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = defaultdict(list)
+        for rank, (a, b, _) in enumerate(held.value):
+            places[a, b].append(rank)
+        firsts = np.sort(np.array([a << 32 | b for a, b in places], np.int64))
+        for batch in batches:
+            offsets = batch.column(0).offsets.to_numpy()
+            values = batch.column(0).values.to_numpy()
+            wide = values.astype(np.int64)
+            pair = wide[:-1] << 32 | wide[1:]
+            hit = firsts[np.minimum(np.searchsorted(firsts, pair), len(firsts) - 1)] == pair
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            touched = np.flatnonzero(sums[np.maximum(offsets[1:] - 1, offsets[:-1])] > sums[offsets[:-1]])
+            now, was = batch.column(0).to_pylist(), [None] * batch.num_rows
+            for k in touched.tolist():
+                symbols, least = now[k], 0
+                while True:
+                    ranks = [r for p in zip(symbols, symbols[1:]) for r in places.get(p, ()) if r >= least]
+                    if not ranks:
+                        break
+                    least = min(ranks)
+                    symbols = merge_pair(symbols, *held.value[least])
+                    least += 1
+                if len(symbols) < len(now[k]):
+                    was[k], now[k] = now[k], symbols
+            ids = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(now, ids), batch.column(1), pa.array(was, ids)], ["s", "n", "was"])
+
+    return words.select("s", "n").mapInArrow(apply, "s array<int>, n bigint, was array<int>")
+
+
+def leading_merges(
+    words: list[list[int]], weights: list[int], covered: list[tuple[int, int, int]],
+    bound: tuple[int, int, int] | None, vocab: list[str], size: int,
+) -> list[tuple[int, int, int]]:
+    """The merges that one-at-a-time training takes next, as far as these words can tell.
+
+    ``words`` are all words that hold a ``covered`` pair; every other pair comes after ``bound`` (a,
+    b, n) or is not there. A pair of a new symbol lies in these words alone, so its count is known. A
+    pair that grows without being covered may have up to ``bound``'s count elsewhere; when that
+    would make it the next, the round ends. ``vocab`` grows by the new symbols.
     """
-    chosen: list[tuple[str, str]] = []
-    used: set[str] = set()
-    ceiling = 0
-    for a, b, n in ranked:
-        if chosen and (n <= ceiling or a in used or b in used):
+    ids = {t: i for i, t in enumerate(vocab)}
+    known = len(vocab)
+    counts: dict[tuple[int, int], int] = defaultdict(int)
+    where: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for k, symbols in enumerate(words):
+        for p in zip(symbols, symbols[1:]):
+            counts[p] += weights[k]
+            where[p].append(k)
+    exact = {(a, b) for a, b, _ in covered}
+    at_start = {p: n for p, n in counts.items() if p not in exact}
+    most = bound[2] if bound else 0
+
+    def entry(p):
+        n = counts[p]
+        if p not in exact and p[0] < known and p[1] < known:
+            n = most + n - at_start.get(p, 0)
+        return -n, vocab[p[0]], vocab[p[1]], *p
+
+    heap = [entry(p) for p in exact if counts[p]]
+    heapq.heapify(heap)
+    end = (-bound[2], vocab[bound[0]], vocab[bound[1]]) if bound else None
+    merges = []
+    while heap and len(vocab) < size:
+        best = heapq.heappop(heap)
+        a, b = best[3:]
+        if best != entry((a, b)) or not counts[a, b]:
+            continue  # its count has changed since; the newer entry counts
+        if end and (best[:3] > end or (a, b) not in exact and a < known and b < known):
             break
-        if len(chosen) == room:
+        token = merged(vocab[a], vocab[b])
+        if token not in ids:
+            ids[token] = len(vocab)
+            vocab.append(token)
+        z = ids[token]
+        merges.append((a, b, z))
+        changed = set()
+        for k in set(where.pop((a, b))):
+            old = words[k]
+            new = merge_pair(old, a, b, z)
+            if len(new) == len(old):
+                continue
+            n, words[k] = weights[k], new
+            for p in zip(old, old[1:]):
+                counts[p] -= n
+                changed.add(p)
+            for p in zip(new, new[1:]):
+                counts[p] += n
+                if z in p or p == (a, b):
+                    where[p].append(k)
+                changed.add(p)
+        for p in changed:
+            if counts[p] > 0 and (p in exact or p[0] >= known or p[1] >= known or counts[p] > at_start.get(p, 0)):
+                heapq.heappush(heap, entry(p))
+    return merges
+
+
+def safe_merges(ranked: list[tuple[int, int, int]], vocab: list[str], size: int, complete: bool) -> list[tuple[int, int, int]]:
+    """The leading pairs that one-at-a-time merging would also take next, by their counts alone.
+
+    After merging (a, b) a new pair can occur at most as often as the most frequent pair that
+    touches a's left or b's right side, so a later pair that is strictly more frequent than this
+    and shares no symbol comes before every new pair. A merge that makes a symbol already in
+    use adds to existing pairs and ends the round. ``complete``: there are no further pairs.
+    """
+    known, used, chosen, ceiling = set(vocab), set(), [], 0
+    floor = 0 if complete else ranked[-1][2]
+    for a, b, n in ranked:
+        if len(vocab) >= size or chosen and (n <= ceiling or a in used or b in used):
             break
-        chosen.append((a, b))
+        token = merged(vocab[a], vocab[b])
         used |= {a, b}
-        if merged(a, b) in known:
+        if token in known:
+            chosen.append((a, b, vocab.index(token)))
             break
+        known.add(token)
+        chosen.append((a, b, len(vocab)))
+        vocab.append(token)
         touching = [min(m, n) for x, y, m in ranked if (x, y) != (a, b) and (y == a or x == b)]
-        # Pairs below the list are no more frequent than its last one.
-        floor = ranked[-1][2] if len(ranked) == _CANDIDATES else 0
-        own = n if a == b else 0
-        ceiling = max([ceiling, own, floor, *touching])
+        ceiling = max([ceiling, n if a == b else 0, floor, *touching])
     return chosen
 
 
-def train_vocabulary(counts: DataFrame, size: int, min_count: int = 2) -> list[str]:
-    """Learn a subword vocabulary of at most ``size`` tokens: special tokens, single
-    letters, then the most frequent neighbour pair again and again.
+def train_vocabulary(counts: DataFrame, size: int = VOCAB_SIZE, look_ahead: int = LOOK_AHEAD) -> list[str]:
+    """Learn a subword vocabulary of at most ``size`` tokens: special tokens, all letters (first and
+    later ones), then the most frequent neighbour pair again and again, whatever its count.
 
-    Every round is one job over the distinct words, which are far fewer than the text.
-    The driver sees the leading pairs only, and takes all merges of a round that give
-    the same result as one at a time. Lineage is cut by a checkpoint every few rounds.
+    A round takes many merges, the same ones as merging one at a time. The words that hold the
+    leading pairs, as many pairs as fit into ``look_ahead`` symbols, are indexed by pair, so
+    a merge touches only the words that hold it (``leading_merges``). Where even the first pair's
+    words are too many, the counts alone tell which merges are safe. Spark applies the merges
+    to the words that hold them, and the pair counts are kept and changed by these words' deltas.
     """
     spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    joined = F.concat_ws("", F.transform(symbols(F.col("word")), _marked))
-    # The rounds re-read this table, so spread it over all cores once.
-    state = counts.select(joined.alias("word"), "n").repartition(tasks).checkpoint()
-
-    letters = (
-        state.select(F.explode(_split(F.col("word"))).alias("s"), "n")
-        .groupBy("s")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "s")
-        .limit(size - len(SPECIAL_TOKENS))
-    )
-    vocab = SPECIAL_TOKENS + [r["s"] for r in letters.collect()]
-    known = set(vocab)
-    since = 0
+    counts = stage(counts)
+    vocab = SPECIAL_TOKENS + _alphabet_list(counts, size)
+    words = held = stage(_symbol_ids(counts.repartition(tasks), vocab).where(F.size("s") > 1))
+    pairs = stage(_sum_pairs(_pair_rows(words, "s")))
+    drop_stage(counts)
     while len(vocab) < size:
-        split = state.select(_split(F.col("word")).alias("_s"), "n")
-        top = (
-            _count_pairs(split)
-            .where(F.col("n") >= min_count)
-            .orderBy(F.desc("n"), "a", "b")
-            .limit(_CANDIDATES)
-            .collect()
-        )
-        if not top:
+        ranked = _leading_pairs(pairs, vocab, CANDIDATES)
+        if not ranked:
             break
-        merges = safe_merges([(r["a"], r["b"], r["n"]) for r in top], size - len(vocab), known)
-        word = F.col("word")
-        for a, b in merges:
-            token = merged(a, b)
-            word = F.replace(
-                word, F.lit(f"{_OPEN}{a}{_CLOSE}{_OPEN}{b}{_CLOSE}"), F.lit(f"{_OPEN}{token}{_CLOSE}")
-            )
-            if token not in known:
-                known.add(token)
-                vocab.append(token)
-        state = state.select(word.alias("word"), "n")
-        since += len(merges)
-        if since >= _CHECKPOINT_EVERY:
-            # A word of one symbol holds no pair any more.
-            state = state.where(F.instr("word", _CLOSE + _OPEN) > 0).checkpoint()
-            since = 0
+        merges = _next_merges(words, ranked, vocab, size, look_ahead)
+        after = stage(_merge_words(words, merges))
+        changed = after.where("was IS NOT NULL")
+        deltas = _pair_rows(changed, "was", -1).unionByName(_pair_rows(changed, "s"))
+        counted = stage(_sum_pairs(pairs.unionByName(deltas)))
+        drop_stage(held, pairs)
+        held, pairs = after, counted
+        # A word of one symbol holds no pair any more.
+        words = after.where(F.size("s") > 1).select("s", "n")
+    drop_stage(held, pairs)
     return vocab
 
 
-def _marked(symbol: Column) -> Column:
-    return F.concat(F.lit(_OPEN), symbol, F.lit(_CLOSE))
+def _symbol_ids(counts: DataFrame, vocab: list[str]) -> DataFrame:
+    held = counts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = held.value
+        for batch in batches:
+            rows = [[ids[c if k == 0 else MARK + c] for k, c in enumerate(w)] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["s", "n"])
 
+    return counts.select("word", "n").mapInArrow(convert, "s array<int>, n bigint")
 
-def _split(word: Column) -> Column:
-    inner = F.substring(word, F.lit(2), F.length(word) - 2)
-    return F.split(inner, _CLOSE + _OPEN)
+
+def _next_merges(words: DataFrame, ranked: list[tuple[int, int, int]], vocab: list[str], size: int, look_ahead: int):
+    complete = len(ranked) < CANDIDATES
+    holding = _first_pair(words, ranked)
+    # How many symbols the words of the first 1, 3, 7, .. pairs have.
+    sizes = holding.groupBy(F.floor(F.log2(F.col("first") + 1)).alias("k")).agg(F.sum(F.size("s")).alias("symbols")).collect()
+    total, reach = 0, 0
+    for r in sorted(sizes, key=lambda r: r["k"]):
+        total += r["symbols"]
+        if total > look_ahead:
+            break
+        reach = 2 ** (r["k"] + 1) - 1
+    reach = min(reach, len(ranked) if complete else len(ranked) - 1)
+    if not reach:
+        return safe_merges(ranked, vocab, size, complete)
+    seen = holding.where(F.col("first") < reach).select("s", "n").toArrow()
+    bound = ranked[reach] if reach < len(ranked) else None
+    return leading_merges(seen.column("s").to_pylist(), seen.column("n").to_pylist(), ranked[:reach], bound, vocab, size)

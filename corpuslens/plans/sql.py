@@ -107,25 +107,51 @@ occ AS (SELECT {ids}, pos, spot, list_position({ANSWER_LIST}, lower(ps[spot + 1]
         FROM piece WHERE list_contains({ANSWER_LIST}, lower(ps[spot + 1])))"""
 
 
-def vocabulary(table: str, size: int = 32000) -> str:
-    """word -> id, ids 0..4 being the special tokens."""
+def vocabulary(table: str, texts: tuple[str, ...] = ("text",), size: int = 32000, endings: int = 2000, longest: int = 32) -> str:
+    """vocab: piece -> id, ids 0..4 being the special tokens; enc: the pieces (j, id) of each
+    distinct word of the columns ``texts``, the longest known piece at each place. Recursive."""
+    used = " UNION ".join(f"SELECT unnest({PRE_TOKENS.replace('text', t)}) AS word FROM {table}" for t in texts)
     return f"""
 word_n AS (SELECT word, count(*) AS n FROM (SELECT unnest({PRE_TOKENS}) AS word FROM {table}) GROUP BY word),
-vocab AS (SELECT word, 4 + row_number() OVER (ORDER BY n DESC, word) AS id FROM word_n
-          QUALIFY row_number() OVER (ORDER BY n DESC, word) <= {size - 5})"""
+letters AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS c FROM word_n),
+alphabet AS (SELECT c AS piece, 0 AS n, 1 AS kind FROM letters UNION ALL SELECT '##' || c, 0, 1 FROM letters),
+tails AS (SELECT piece, count(*) AS n, 2 AS kind
+          FROM (SELECT '##' || substr(word, unnest(range(greatest(2, length(word) - {longest - 1}), length(word)))) AS piece FROM word_n)
+          GROUP BY piece ORDER BY n DESC, piece LIMIT {endings}),
+common AS (SELECT word AS piece, n, 3 AS kind FROM word_n WHERE length(word) BETWEEN 2 AND {longest}
+           ORDER BY n DESC, word LIMIT (SELECT {size - 5} - (SELECT count(*) FROM (SELECT piece FROM alphabet UNION SELECT piece FROM tails)))),
+vocab AS (SELECT piece, 4 + row_number() OVER (ORDER BY kind, n DESC, piece) AS id
+          FROM (SELECT piece, min(kind) AS kind, arg_min(n, kind) AS n
+                FROM (SELECT * FROM alphabet UNION ALL SELECT * FROM tails UNION ALL SELECT * FROM common) GROUP BY piece)),
+used AS ({used}),
+starts AS (SELECT word, unnest(range(1, length(word) + 1)) AS spot FROM used),
+spans AS (SELECT word, spot, unnest(range(1, least({longest}, length(word) - spot + 1) + 1)) AS len FROM starts),
+steps AS (SELECT word, spot, max(len) AS len, arg_max(id, len) AS id
+          FROM spans JOIN vocab ON piece = CASE WHEN spot > 1 THEN '##' ELSE '' END || substr(word, spot, len) GROUP BY word, spot),
+walk AS (SELECT word, spot, 1 AS j, len, id FROM steps WHERE spot = 1
+         UNION ALL SELECT s.word, s.spot, j + 1, s.len, s.id FROM walk w JOIN steps s ON s.word = w.word AND s.spot = w.spot + w.len),
+ended AS (SELECT word FROM walk WHERE spot + len > length(word)),
+enc AS (SELECT word, j, id FROM walk SEMI JOIN ended USING (word) UNION ALL SELECT word, 1, 0 FROM used ANTI JOIN ended USING (word))"""
+
+
+def pieces(rows: str, ids: str, text: str = "text") -> str:
+    """{ids}, k (from 1), id: the pieces of a text in order."""
+    tokens = PRE_TOKENS.replace("text", text)
+    return f"""SELECT {ids}, row_number() OVER (PARTITION BY {ids} ORDER BY i, j) AS k, id
+FROM (SELECT {ids}, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT {ids}, {tokens} AS ws FROM {rows}))
+JOIN enc USING (word)"""
 
 
 def line_tokens(max_len: int | None, wrapped: bool = True) -> str:
     """Tokens of every line, with [CLS] and [SEP] if wrapped: source, row_no, k, id."""
-    cut = "" if max_len is None else f"[1:{max_len - 2 * wrapped}]"
+    most = 2**40 if max_len is None else max_len - 2 * wrapped
     ends = """
-        UNION ALL SELECT source, row_no, 0, 1 FROM lens
-        UNION ALL SELECT source, row_no, n + 1, 2 FROM lens"""
+        UNION ALL SELECT source, row_no, 0, 1 FROM line_rows
+        UNION ALL SELECT source, row_no, coalesce(n, 0) + 1, 2
+        FROM line_rows LEFT JOIN (SELECT source, row_no, count(*) AS n FROM toks GROUP BY ALL) USING (source, row_no)"""
     return f"""{LINES},{vocabulary('documents')},
-toks AS (SELECT source, row_no, generate_subscripts(ws, 1) AS k, unnest(ws) AS word
-         FROM (SELECT source, row_no, {PRE_TOKENS}{cut} AS ws FROM line_rows)),
-lens AS (SELECT source, row_no, len({PRE_TOKENS}{cut}) AS n FROM line_rows),
-ids AS (SELECT source, row_no, k, coalesce(id, 0) AS id FROM toks LEFT JOIN vocab USING (word){ends * wrapped})"""
+toks AS (SELECT * FROM ({pieces('line_rows', 'source, row_no')}) WHERE k <= {most}),
+ids AS (SELECT source, row_no, k, id FROM toks{ends * wrapped})"""
 
 
 def packed(chunk: int, keep_short: bool, max_len: int | None, wrapped: bool = True) -> str:

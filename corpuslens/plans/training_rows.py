@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_SEED, FINAL_CHUNK, IGNORE_LABEL, PAD_ID, STRICT_CHUNK, VOCAB_SIZE
 from ..functions.text import words
 from ..operators import mapping, masking, packing, tokens, vocabulary
+from ..session import drop_stage, stage
 from . import sql
 from .bindings import documents, line_rows, table
 from .catalog import query
 
-SUBWORD_SIZE = 160  # a small vocabulary; the trainer takes any size
-
-
 def joined(ids):
     """An array as text, so that engines with unlike array types compare."""
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
-def word_vocabulary(df) -> list[str]:
-    return vocabulary.frequent_word_list(vocabulary.word_counts(df), VOCAB_SIZE)
+def piece_vocabulary(df) -> list[str]:
+    """Splits every word of the text into known pieces: letters, common endings, frequent words."""
+    counts = stage(vocabulary.word_counts(df))
+    vocab = vocabulary.frequent_pieces(counts, VOCAB_SIZE)
+    drop_stage(counts)
+    return vocab
 
 
 @query("word_counts", f"SELECT word, count(*) AS n FROM (SELECT unnest({sql.PRE_TOKENS}) AS word FROM documents) GROUP BY word")
@@ -42,33 +44,47 @@ def pair_counts(spark, sf_dir):
     return vocabulary.pair_counts(vocabulary.word_counts(documents(spark, sf_dir)))
 
 
-def subword_vocabulary(spark, sf_dir) -> list[str]:
-    return vocabulary.train_vocabulary(vocabulary.word_counts(documents(spark, sf_dir)), SUBWORD_SIZE)
+def trained_vocabulary(spark, sf_dir) -> list[str]:
+    return vocabulary.train_vocabulary(vocabulary.word_counts(documents(spark, sf_dir)), VOCAB_SIZE)
 
 
 @query("vocab_train")
 def vocab_train(spark, sf_dir):
-    vocab = subword_vocabulary(spark, sf_dir)
+    vocab = trained_vocabulary(spark, sf_dir)
     return spark.createDataFrame(pd.DataFrame({"id": range(len(vocab)), "token": vocab}))
 
 
-@query("subword_encode")
-def subword_encode(spark, sf_dir):
-    encoded = tokens.encode(documents(spark, sf_dir), subword_vocabulary(spark, sf_dir))
+def encoded_documents(spark, sf_dir, vocab):
+    encoded = tokens.encode(documents(spark, sf_dir), vocab)
     return encoded.select(
-        "doc_id", F.size("ids").alias("pieces"), joined(F.col("ids")).alias("ids"), joined(F.col("word_ids")).alias("word_ids")
+        "doc_id", F.size("ids").cast("bigint").alias("pieces"), joined(F.col("ids")).alias("ids"), joined(F.col("word_ids")).alias("word_ids")
     )
 
 
+@query(
+    "subword_encode",
+    f"""WITH RECURSIVE {sql.vocabulary('documents')},
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, {sql.PRE_TOKENS} AS ws FROM documents)),
+p AS (SELECT doc_id, count(*) AS pieces, string_agg(id, ' ' ORDER BY i, j) AS ids, string_agg(i, ' ' ORDER BY i, j) AS word_ids
+      FROM w JOIN enc USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(pieces, 0) AS pieces, coalesce(ids, '') AS ids, coalesce(word_ids, '') AS word_ids
+FROM documents LEFT JOIN p USING (doc_id)""",
+)
+def subword_encode(spark, sf_dir):
+    return encoded_documents(spark, sf_dir, piece_vocabulary(documents(spark, sf_dir)))
+
+
+@query("trained_encode")
+def trained_encode(spark, sf_dir):
+    """As ``subword_encode``, with the vocabulary learned by merging."""
+    return encoded_documents(spark, sf_dir, trained_vocabulary(spark, sf_dir))
+
+
 @query(
     "wrap_special",
-    f"""WITH {sql.vocabulary('conversations')},
-a AS (SELECT conv_id, turn, generate_subscripts(ws, 1) AS k, unnest(ws) AS word
-      FROM (SELECT conv_id, turn, {sql.PRE_TOKENS} AS ws FROM conversations)),
-b AS (SELECT conv_id, turn, generate_subscripts(ws, 1) AS k, unnest(ws) AS word
-      FROM (SELECT conv_id, turn, {sql.PRE_TOKENS.replace('text', 'role')} AS ws FROM conversations)),
-ia AS (SELECT conv_id, turn, list(coalesce(id, 0) ORDER BY k) AS ids FROM a LEFT JOIN vocab USING (word) GROUP BY ALL),
-ib AS (SELECT conv_id, turn, list(coalesce(id, 0) ORDER BY k) AS ids FROM b LEFT JOIN vocab USING (word) GROUP BY ALL),
+    f"""WITH RECURSIVE {sql.vocabulary('conversations', ('text', 'role'))},
+ia AS (SELECT conv_id, turn, list(id ORDER BY k) AS ids FROM ({sql.pieces('conversations', 'conv_id, turn')}) GROUP BY ALL),
+ib AS (SELECT conv_id, turn, list(id ORDER BY k) AS ids FROM ({sql.pieces('conversations', 'conv_id, turn', 'role')}) GROUP BY ALL),
 both_ids AS (SELECT conv_id, turn, coalesce(ia.ids, []) AS x, coalesce(ib.ids, []) AS y
              FROM conversations LEFT JOIN ia USING (conv_id, turn) LEFT JOIN ib USING (conv_id, turn))
 SELECT conv_id, turn,
@@ -82,7 +98,7 @@ FROM both_ids""",
 )
 def wrap_special(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role")
-    vocab = word_vocabulary(turns)
+    vocab = piece_vocabulary(turns)
     first = tokens.encode(turns, vocab).withColumnRenamed("ids", "_a")
     both = tokens.encode(first, vocab, text="role").withColumnRenamed("ids", "_b")
     a, b = F.col("_a"), F.col("_b")
@@ -102,17 +118,15 @@ TRUNCATE_LEN = 512
 
 @query(
     "truncate_tokens",
-    f"""WITH {sql.vocabulary('documents')},
-t AS (SELECT doc_id, generate_subscripts(ws, 1) AS k, unnest(ws) AS word
-      FROM (SELECT doc_id, {sql.PRE_TOKENS}[1:{TRUNCATE_LEN - 2}] AS ws FROM documents)),
-i AS (SELECT doc_id, string_agg(coalesce(id, 0), ' ' ORDER BY k) AS s, count(*) AS n FROM t LEFT JOIN vocab USING (word)
-      GROUP BY doc_id)
+    f"""WITH RECURSIVE {sql.vocabulary('documents')},
+i AS (SELECT doc_id, string_agg(id, ' ' ORDER BY k) AS s, count(*) AS n FROM ({sql.pieces('documents', 'doc_id')})
+      WHERE k <= {TRUNCATE_LEN - 2} GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) + 2 AS tokens, '1 ' || coalesce(s || ' ', '') || '2' AS input_ids
 FROM documents LEFT JOIN i USING (doc_id)""",
 )
 def truncate_tokens(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = tokens.token_rows(docs, word_vocabulary(docs), max_len=TRUNCATE_LEN)
+    rows = tokens.token_rows(docs, piece_vocabulary(docs), max_len=TRUNCATE_LEN)
     return rows.select(
         "doc_id", F.size("input_ids").cast("bigint").alias("tokens"), joined(F.col("input_ids")).alias("input_ids")
     )
@@ -120,7 +134,7 @@ def truncate_tokens(spark, sf_dir):
 
 def line_tokens(spark, sf_dir, max_len):
     """Token rows of every line with its batch."""
-    vocab = word_vocabulary(documents(spark, sf_dir))
+    vocab = piece_vocabulary(documents(spark, sf_dir))
     rows = tokens.token_rows(line_rows(spark, sf_dir), vocab, max_len=max_len)
     return packing.batch_ids(rows)
 
@@ -137,7 +151,7 @@ def final_chunks(spark, sf_dir, arrays=("input_ids",)):
 
 @query(
     "pack_strict",
-    f"""WITH {sql.packed(STRICT_CHUNK, False, None)}
+    f"""WITH RECURSIVE {sql.packed(STRICT_CHUNK, False, None)}
 SELECT source, batch, chunk, count(*) AS tokens, string_agg(id, ' ' ORDER BY place) AS input_ids,
        string_agg(id, ' ' ORDER BY place) AS labels
 FROM chunked GROUP BY source, batch, chunk""",
@@ -156,7 +170,7 @@ def pack_strict(spark, sf_dir):
 
 @query(
     "pack_keep_short",
-    f"""WITH {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK)}
+    f"""WITH RECURSIVE {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK)}
 SELECT source, batch, chunk, count(*) AS tokens, string_agg(id, ' ' ORDER BY place) AS input_ids,
        string_agg(CASE WHEN id IN (1, 2) THEN 1 ELSE 0 END, ' ' ORDER BY place) AS special_tokens_mask
 FROM chunked GROUP BY source, batch, chunk""",
@@ -175,7 +189,7 @@ def pack_keep_short(spark, sf_dir):
 
 @query(
     "token_totals",
-    f"""WITH {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK)}
+    f"""WITH RECURSIVE {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK)}
 SELECT source, count(DISTINCT (batch, chunk)) AS chunks, count(*) AS tokens FROM chunked GROUP BY source""",
 )
 def token_totals(spark, sf_dir):
@@ -194,7 +208,7 @@ picked AS (SELECT *, id NOT IN (1, 2, 3) AND h1 < {int(0.15 * (1 << 32))} AS hit
 
 @query(
     "mlm_mask",
-    f"""WITH {MASK_SQL}
+    f"""WITH RECURSIVE {MASK_SQL}
 SELECT source, batch, chunk,
        string_agg(CASE WHEN NOT hit OR h2 >= {int(0.9 * (1 << 32))} THEN id
                        WHEN h2 < {int(0.8 * (1 << 32))} THEN 4 ELSE h1 % v END, ' ' ORDER BY place) AS masked_ids,
@@ -202,7 +216,7 @@ SELECT source, batch, chunk,
 FROM picked, vn GROUP BY source, batch, chunk""",
 )
 def mlm_mask(spark, sf_dir):
-    vocab = word_vocabulary(documents(spark, sf_dir))
+    vocab = piece_vocabulary(documents(spark, sf_dir))
     rows = tokens.token_rows(line_rows(spark, sf_dir), vocab, max_len=FINAL_CHUNK)
     chunks = packing.pack(packing.batch_ids(rows), ["source"], FINAL_CHUNK, keep_short=True)
     key = F.concat_ws(":", "source", "batch", "chunk")
@@ -213,7 +227,7 @@ def mlm_mask(spark, sf_dir):
 
 @query(
     "clm_labels",
-    f"""WITH {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK, wrapped=False)}
+    f"""WITH RECURSIVE {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK, wrapped=False)}
 SELECT source, batch, chunk,
        string_agg(id, ' ' ORDER BY place) || repeat(' {PAD_ID}', {FINAL_CHUNK} - count(*)) AS input_ids,
        string_agg(id, ' ' ORDER BY place) || repeat(' {IGNORE_LABEL}', {FINAL_CHUNK} - count(*)) AS labels
@@ -221,7 +235,7 @@ FROM chunked GROUP BY source, batch, chunk""",
 )
 def clm_labels(spark, sf_dir):
     # These models see text without special tokens; only padding is ignored.
-    encoded = tokens.encode(line_rows(spark, sf_dir), word_vocabulary(documents(spark, sf_dir)))
+    encoded = tokens.encode(line_rows(spark, sf_dir), piece_vocabulary(documents(spark, sf_dir)))
     rows = encoded.withColumn("input_ids", F.slice("ids", 1, FINAL_CHUNK))
     chunks = packing.pack(packing.batch_ids(rows), ["source"], FINAL_CHUNK, keep_short=True)
     chunks = chunks.withColumn("input_ids", packing.pad(F.col("input_ids"), FINAL_CHUNK))

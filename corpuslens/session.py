@@ -57,3 +57,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        for file in df.inputFiles()[:1]:
+            folder = file.rpartition("/")[0]
+            if folder.rpartition("/")[2].startswith("stage-"):
+                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,5 +1,6 @@
 """Vocabulary, encoding, packing, masking against brute force."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -14,20 +15,19 @@ TEXT = (
 )
 
 
-def brute_force_vocabulary(counts, size, min_count=2):
+def brute_force_vocabulary(counts, size):
     words = {w: [w[0]] + ["##" + c for c in w[1:]] for w in counts}
-    letters = Counter()
+    letters = Counter({form + c: 0 for w in counts for c in w for form in ("", "##")})
     for w, n in counts.items():
         for s in words[w]:
             letters[s] += n
     vocab = SPECIAL_TOKENS + [s for s, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
-    vocab = vocab[:size]
     while len(vocab) < size:
         pairs = Counter()
         for w, n in counts.items():
             for a, b in zip(words[w], words[w][1:]):
                 pairs[a, b] += n
-        best = min((p for p in pairs.items() if p[1] >= min_count), key=lambda p: (-p[1], p[0]), default=None)
+        best = min(pairs.items(), key=lambda p: (-p[1], p[0]), default=None)
         if best is None:
             break
         (a, b), _ = best
@@ -47,12 +47,49 @@ def brute_force_vocabulary(counts, size, min_count=2):
     return vocab
 
 
-def test_vocabulary_equals_one_merge_at_a_time(spark):
+def trained(counts, size, look_ahead, monkeypatch, candidates=1 << 15):
+    monkeypatch.setattr(vocabulary, "CANDIDATES", candidates)
+    return vocabulary.train_vocabulary(counts, size, look_ahead)
+
+
+def test_vocabulary_equals_one_merge_at_a_time(spark, monkeypatch):
     df = spark.createDataFrame([(TEXT,), ("the thing and the other thing",)], "text string")
     counts = vocabulary.word_counts(df)
     known = {r["word"]: r["n"] for r in counts.collect()}
-    for size in (45, 70, 500):
-        assert vocabulary.train_vocabulary(counts, size) == brute_force_vocabulary(known, size)
+    for size, look_ahead, candidates in ((70, 1000, 99999), (500, 1000, 99999), (75, 40, 99999), (75, 0, 99999), (90, 90, 20)):
+        assert trained(counts, size, look_ahead, monkeypatch, candidates) == brute_force_vocabulary(known, size)
+    with pytest.raises(ValueError, match="letters"):
+        vocabulary.train_vocabulary(counts, 30)
+
+
+def test_look_ahead_equals_one_merge_at_a_time():
+    """Rounds of every reach, on words whose merges collide in many ways."""
+    rng = random.Random(3)
+    for trial in range(60):
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))): rng.choice([1, 1, 2, 3, 50]) for _ in range(25)}
+        expected = brute_force_vocabulary(counts, 60)
+        vocab = expected[: 5 + 2 * len(set("".join(counts)))]
+        ids = {t: i for i, t in enumerate(vocab)}
+        words = [[ids[c if k == 0 else "##" + c] for k, c in enumerate(w)] for w in counts]
+        weights = list(counts.values())
+        while len(vocab) < 60:
+            pairs = Counter()
+            for w, n in zip(words, weights):
+                for p in zip(w, w[1:]):
+                    pairs[p] += n
+            ranked = [(*p, n) for p, n in sorted(pairs.items(), key=lambda x: (-x[1], vocab[x[0][0]], vocab[x[0][1]]))]
+            if not ranked:
+                break
+            reach = rng.randint(1, len(ranked))
+            covered = {r[:2] for r in ranked[:reach]}
+            seen = [(list(w), n) for w, n in zip(words, weights) if covered & set(zip(w, w[1:]))]
+            merges = vocabulary.leading_merges(
+                [w for w, _ in seen], [n for _, n in seen], ranked[:reach], ranked[reach] if reach < len(ranked) else None, vocab, 60
+            )
+            assert merges
+            for a, b, z in merges:
+                words = [vocabulary.merge_pair(w, a, b, z) for w in words]
+        assert vocab == expected, trial
 
 
 def test_encoding_equals_library(spark):
@@ -62,7 +99,7 @@ def test_encoding_equals_library(spark):
     df = spark.createDataFrame(
         [(0, TEXT + " unknownzzz thé"), (1, ""), (2, None), (3, "then Banana?")], "id int, text string"
     )
-    vocab = vocabulary.train_vocabulary(vocabulary.word_counts(df.where("id <> 0")), 30)
+    vocab = vocabulary.train_vocabulary(vocabulary.word_counts(df.where("id <> 0")), 40)
     vocab += ["th", "##in", "the", "ban", "##ana", "##a", "b", "##b", "a"]
     vocab = list(dict.fromkeys(vocab))
     library = Tokenizer(WordPiece({t: i for i, t in enumerate(vocab)}, unk_token="[UNK]"))
@@ -143,3 +180,26 @@ def test_long_words_and_padding(spark):
     ids = packing.pad(F.array(F.lit(7), F.lit(8)), 4)
     assert spark.range(1).select(ids.alias("x")).first()["x"] == [7, 8, 3, 3]
     assert spark.range(1).select(packing.pad(F.array(F.lit(7), F.lit(8)), 2).alias("x")).first()["x"] == [7, 8]
+
+
+def test_frequent_pieces_lose_nothing(spark):
+    """Every word of known letters is spelled by its pieces; the rules of the vocabulary by hand."""
+    long_word = "ab" * 40
+    df = spark.createDataFrame([(TEXT + " " + long_word,), (None,), ("",)], "text string")
+    counts = vocabulary.word_counts(df)
+    known = {r["word"]: r["n"] for r in counts.collect()}
+    vocab = vocabulary.frequent_pieces(counts, 150, endings=20)
+    letters = {c for w in known for c in w}
+    alphabet = sorted(letters | {"##" + c for c in letters})
+    endings = Counter("##" + w[k:] for w in known for k in range(max(1, len(w) - 31), len(w) - 1))
+    best = [p for p, _ in sorted(endings.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    whole = [w for w, _ in sorted(known.items(), key=lambda x: (-x[1], x[0])) if 2 <= len(w) <= 32]
+    assert vocab == list(dict.fromkeys(SPECIAL_TOKENS + alphabet + best + whole))[:150]
+    new = spark.createDataFrame([(0, "thinthen eht " + long_word + " otherbanana !,!"), (1, "tabqé")], "id int, text string")
+    for r in tokens.encode(new.withColumn("w", tokens.pre_tokens(F.col("text"))), vocab).collect():
+        spelled = ["" for _ in r["w"]]
+        for i, place in zip(r["ids"], r["word_ids"]):
+            spelled[place] += vocab[i].removeprefix("##") if spelled[place] else vocab[i]
+        assert spelled == r["w"] if r["id"] == 0 else spelled == ["[UNK]"]
+    with pytest.raises(ValueError, match="letters"):
+        vocabulary.frequent_pieces(counts, 40)
