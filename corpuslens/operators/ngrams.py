@@ -9,8 +9,11 @@ seeds and any number of epochs cost one pass over the text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,118 +100,176 @@ def adapted_counts(df: DataFrame, id_col: str, corpus: str, seed: int, epochs: i
 
 
 def context_counts(
-    docs: DataFrame,
-    contexts: DataFrame,
-    answers: Sequence[str],
-    corpus: str,
-    names: Sequence[str],
-    n_seeds: int,
-) -> DataFrame:
-    """Counts every model needs to score the answers in the contexts.
-
-    ``docs`` has ``corpus``, ``sides`` and ``text``; ``contexts`` has distinct
-    (item, left, right, weight). Only words that occur in the contexts are counted:
-    the text is filtered by them before the first shuffle. ``names`` lists the registered
-    corpora. Returns one row per corpus,
-    context and answer with base and training counts for the left pair (``left_*``),
-    the left word (``left_word_*``), the right pair (``right_*``) and the answer
-    (``answer_*``); the left or right ones are null where the mask has no neighbour.
+    docs: DataFrame, contexts: DataFrame, answers: Sequence[str], corpus: str, names: DataFrame, n_seeds: int
+) -> tuple[DataFrame, DataFrame]:
+    """Counts every model needs to score the answers, from one pass over the text.
+
+    ``docs`` has ``corpus``, ``sides`` and ``text``; ``contexts`` has distinct (item, left, right,
+    weight) with nulls for missing neighbours; ``names`` lists the corpora. Only words of the
+    contexts are counted: the text is filtered by them before the first shuffle. Every model is
+    asked every question, also about words its corpus lacks, so words and corpora form a grid.
+
+    Returns the contexts of every corpus and one row per corpus, both staged. Counts are arrays over
+    the answers: ``left_*`` of the pairs (left, answer), with the left word's own count as one
+    more, ``right_*`` of (answer, right), ``answer_*`` of the answers; ``*_all`` in all corpora,
+    ``*_own`` in this one, ``*_train`` on each seed's side of it.
     """
-    lookups = _lookups(contexts, answers)
-    wanted = stage(lookups.select("w1", "w2").distinct())
-    near = word_pairs(docs, [corpus, "sides"]).where(F.col("w2") != END)
-    near = near.join(wanted.select("w1").distinct(), "w1", "left_semi")
     answer_list = list(answers)
-    kept = F.when(F.col("w1").isin(answer_list) | F.col("w2").isin(answer_list), F.col("w2"))
-    pairs = run_counts(near.withColumn("w2", F.coalesce(kept, F.lit(""))), [corpus, "w1", "w2"], n_seeds)
-    both = pairs.withColumn("w2", F.explode(F.array(F.col("w2"), F.lit(ANY))))
-    both = both.join(wanted, ["w1", "w2"], "left_semi")
-    # Every model is asked every question, also about words its corpus lacks.
-    blank = wanted.select(
-        F.explode(F.array(*map(F.lit, names))).alias(corpus),
-        "w1",
-        "w2",
-        F.lit(0).cast("bigint").alias("n"),
-        F.array(*[F.lit(0).cast("bigint")] * n_seeds).alias("train"),
-    )
-    rows = both.select(corpus, "w1", "w2", "n", "train").unionByName(blank)
-    sums = rows.groupBy(corpus, "w1", "w2").agg(
-        F.sum("n").alias("n"),
-        F.array(*[F.sum(F.col("train")[i]) for i in range(n_seeds)]).alias("train"),
-    )
-    total = F.sum("n").over(Window.partitionBy("w1", "w2"))
-    counts = sums.withColumn("all", total).withColumn("base", total - F.col("n"))
-    joined = lookups.join(counts, ["w1", "w2"])
-    picks = []
-    for role in ("left", "left_word", "right", "answer"):
-        here = F.col("role") == role
-        picks += [
-            F.max(F.when(here, F.col("base"))).alias(f"{role}_base"),
-            F.max(F.when(here, F.col("all"))).alias(f"{role}_all"),
-            F.max(F.when(here, F.col("train"))).alias(f"{role}_train"),
-        ]
-    return joined.groupBy(corpus, "item", "left", "right", "idx", "weight").agg(*picks)
-
-
-def _lookups(contexts: DataFrame, answers: Sequence[str]) -> DataFrame:
-    """One row per count a context and answer need."""
-    choices = F.array(
-        *[F.struct(F.lit(i).alias("idx"), F.lit(a).alias("answer")) for i, a in enumerate(answers)]
-    )
-    rows = contexts.withColumn("_a", F.explode(choices)).select(
-        "item", "left", "right", "weight", "_a.idx", "_a.answer"
-    )
-    left, right, answer = F.col("left"), F.col("right"), F.col("answer")
-    needed = F.array(
-        F.struct(F.lit("left").alias("role"), left.alias("w1"), answer.alias("w2")),
-        F.struct(F.lit("left_word").alias("role"), left.alias("w1"), F.lit(ANY).alias("w2")),
-        F.struct(F.lit("right").alias("role"), answer.alias("w1"), right.alias("w2")),
-        F.struct(F.lit("answer").alias("role"), answer.alias("w1"), F.lit(ANY).alias("w2")),
-    )
-    out = rows.withColumn("_k", F.explode(needed)).select(
-        "item", "left", "right", "weight", "idx", "_k.role", "_k.w1", "_k.w2"
+    names = stage(names.select(corpus).distinct())
+    # No word is empty, so "" stands for a missing neighbour.
+    asked = contexts.withColumns({"_l": F.coalesce("left", F.lit("")), "_r": F.coalesce("right", F.lit(""))})
+    lefts, rights = (stage(asked.select(F.col(c).alias("word")).distinct()) for c in ("_l", "_r"))
+    fixed = names.limit(1).select(F.explode(F.array(*map(F.lit, answer_list))).alias("word"))
+    firsts = stage(lefts.unionByName(fixed).distinct().withColumnRenamed("word", "w1"))
+    near = word_pairs(docs, [corpus, "sides"]).where(F.col("w2") != END).join(firsts, "w1", "left_semi")
+    # What follows matters by itself only beside an answer.
+    answer_first, answer_next = F.col("w1").isin(answer_list), F.col("w2").isin(answer_list)
+    near = near.withColumn("w2", F.when(answer_first | answer_next, F.col("w2")).otherwise(F.lit("")))
+    pairs = stage(run_counts(near, [corpus, "w1", "w2"], n_seeds))
+
+    following = pairs.select(corpus, F.col("w1").alias("word"), F.when(answer_next, F.col("w2")).otherwise(F.lit("")).alias("kind"), "n", "train")
+    following = _sum_counts(following, [corpus, "word", "kind"], n_seeds)
+    whole = _sum_counts(following, [corpus, "word"], n_seeds).withColumn("kind", F.lit(ANY))
+    before = pairs.where(answer_first).select(corpus, F.col("w2").alias("word"), F.col("w1").alias("kind"), "n", "train")
+    alone = whole.where(F.col("word").isin(answer_list)).select(corpus, F.lit("").alias("word"), F.col("word").alias("kind"), "n", "train")
+    left = _grid(following.unionByName(whole), lefts, names, [*answer_list, ANY], corpus, n_seeds, "left").withColumnRenamed("word", "_l")
+    right = _grid(before, rights, names, answer_list, corpus, n_seeds, "right").withColumnRenamed("word", "_r")
+    one_word = names.limit(1).select(F.lit("").alias("word"))
+    totals = stage(_grid(alone, one_word, names, answer_list, corpus, n_seeds, "answer").drop("word"))
+
+    spread = ["item", "left", "right"]
+    rows = salted_join(asked, stage(left), ["_l"], spread)
+    rows = salted_join(rows, stage(right), [corpus, "_r"], spread).drop("_l", "_r")
+    return stage(salted_join(rows, totals, [corpus], spread)), totals
+
+
+def _sum_counts(rows: DataFrame, keys: Sequence[str], n_seeds: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("train")[i]) for i in range(n_seeds)]).alias("train")
     )
-    return out.where(F.col("w1").isNotNull() & F.col("w2").isNotNull())
 
 
-def cloze_score(pair: Column, word: Column, v: Column, alpha: float = ALPHA) -> Column:
-    """Smoothed probability of a pair given its first word; 1 where there is no pair."""
-    return F.coalesce((pair + alpha) / (word + alpha * v), F.lit(1.0))
+def _grid(
+    rows: DataFrame, words: DataFrame, names: DataFrame, kinds: Sequence[str], corpus: str, n_seeds: int, role: str
+) -> DataFrame:
+    """Every word with every corpus and its counts by kind; ``rows``: (corpus, word, kind, n, train)
+    with at most one row per kind."""
+    cell = F.struct("kind", F.struct("n", "train").alias("c"))
+    own = rows.groupBy(corpus, "word").agg(F.map_from_entries(F.collect_list(cell)).alias("_own"))
+    total = rows.groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    total = total.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("_all"))
+    every = salted_join(words.withColumn("_one", F.lit(1)), names.withColumn("_one", F.lit(1)), ["_one"], ["word"]).drop("_one")
+    joined = every.join(own, [corpus, "word"], "left").join(total, "word", "left")
+    zero = F.lit(0).cast("bigint")
+    blank = F.array(*[zero] * n_seeds)
 
+    def of_kind(column: str, kind: str) -> Column:
+        return F.try_element_at(F.col(column), F.lit(kind))
 
-def base_scores(v: Column) -> Column:
-    """Score under one model of all corpora."""
-    return cloze_score(F.col("left_all"), F.col("left_word_all"), v) * cloze_score(
-        F.col("right_all"), F.col("answer_all"), v
-    )
+    return joined.select(
+        corpus, "word",
+        F.array(*[F.coalesce(of_kind("_all", k), zero) for k in kinds]).alias(f"{role}_all"),
+        F.array(*[F.coalesce(of_kind("_own", k)["n"], zero) for k in kinds]).alias(f"{role}_own"),
+        F.array(*[F.coalesce(of_kind("_own", k)["train"], blank) for k in kinds]).alias(f"{role}_train"),
+    )
 
 
-def run_scores(seed_no: Column, epoch: Column, v: Column) -> Column:
-    """Score under the model of a seed (0-based) after some epochs; epoch 0 is the base."""
+def _score(left: Column, right: Column, answer: Column, i: int, v: Column, n_answers: int) -> Column:
+    """Smoothed probabilities of an answer after its left and of its right after it; 1 where there
+    is no neighbour. The arguments are arrays of counts."""
+    before = (left[i] + ALPHA) / (left[n_answers] + ALPHA * v)
+    after = (right[i] + ALPHA) / (answer[i] + ALPHA * v)
+    return F.when(F.col("left").isNull(), F.lit(1.0)).otherwise(before) * F.when(F.col("right").isNull(), F.lit(1.0)).otherwise(after)
 
-    def count(role: str) -> Column:
-        return F.col(f"{role}_base") + epoch * F.get(F.col(f"{role}_train"), seed_no)
 
-    return cloze_score(count("left"), count("left_word"), v) * cloze_score(
-        count("right"), count("answer"), v
-    )
+def base_scores(v: Column, n_answers: int = 5) -> Column:
+    """Array of the answers' scores under one model of all corpora."""
+    return F.array(*[_score(F.col("left_all"), F.col("right_all"), F.col("answer_all"), i, v, n_answers) for i in range(n_answers)])
 
 
-def answer_priors(counts: DataFrame, corpus: str, steps: Column, n_answers: int = 5) -> DataFrame:
-    """How likely a model finds each answer without any context: ``prior`` array per
-    corpus, run and epoch, from the answers' own counts. ``steps`` is an array of
-    structs (run, seed_no, epoch)."""
-    own = counts.groupBy(corpus, "idx").agg(
-        F.max("answer_base").alias("_base"), F.max("answer_train").alias("_train")
-    )
-    rows = own.withColumn("_s", F.explode(steps))
-    mass = F.col("_base") + F.col("_s.epoch") * F.get("_train", F.col("_s.seed_no")) + ALPHA
-    sums = rows.groupBy(corpus, F.col("_s.run").alias("run"), F.col("_s.epoch").alias("epoch")).agg(
-        F.sum(mass).alias("_all"),
-        *[F.max(F.when(F.col("idx") == i, mass)).alias(f"_m{i}") for i in range(n_answers)],
-    )
-    prior = F.array(*[F.col(f"_m{i}") / F.col("_all") for i in range(n_answers)])
-    return sums.select(corpus, "run", "epoch", prior.alias("prior"))
+class Step(NamedTuple):
+    """A model to score: the seed's place among the counted seeds, and its epochs of training."""
+
+    run: str
+    seed_no: int
+    epoch: int
+
+
+def steps_array(steps: Sequence[Step]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s._asdict().items()]) for s in steps])
+
+
+def step_masses(cells: dict[str, np.ndarray], weight: np.ndarray, no_left: np.ndarray, no_right: np.ndarray, v: int, seed_no: np.ndarray, epoch: np.ndarray) -> np.ndarray:
+    """(row, step, answer): weight times score under the model of each step."""
+
+    def counts(role: str) -> np.ndarray:
+        base = cells[f"{role}_all"] - cells[f"{role}_own"]
+        return base[:, None, :] + epoch[None, :, None] * cells[f"{role}_train"].transpose(0, 2, 1)[:, seed_no, :]
+
+    left, right, answer = counts("left"), counts("right"), counts("answer")
+    before = (left[:, :, :-1] + ALPHA) / (left[:, :, -1:] + ALPHA * v)
+    after = (right + ALPHA) / (answer + ALPHA * v)
+    before[no_left], after[no_right] = 1.0, 1.0
+    return weight[:, None, None] * before * after
+
+
+def run_masses(counts: DataFrame, corpus: str, steps: Sequence[Step], v: int, rows_at_a_time: int = 2000) -> DataFrame:
+    """(corpus, run, epoch, item, mass): the summed scores of each answer under each step's model.
+
+    Counts are few numbers per context, steps many: a batch of contexts is scored under all steps by
+    array arithmetic and summed by corpus and item before anything is shuffled.
+    """
+    names = [f"{role}_{kind}" for role in ("left", "right", "answer") for kind in ("all", "own", "train")]
+    seed_no, epoch = (np.array([getattr(s, k) for s in steps]) for k in ("seed_no", "epoch"))
+    labels = pa.array([s.run for s in steps], pa.string())
+    n_answers = 5
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, rows_at_a_time):
+                part = batch.slice(low, rows_at_a_time)
+                cells = {}
+                for name in names:
+                    values = part.column(name).flatten()
+                    if name.endswith("train"):
+                        values = values.flatten()
+                    table = values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    cells[name] = table.reshape((part.num_rows, n_answers + name.startswith("left"), -1) if name.endswith("train") else (part.num_rows, -1))
+                missing = [part.column(c).is_null().to_numpy(zero_copy_only=False) for c in ("left", "right")]
+                masses = step_masses(cells, part.column("weight").to_numpy(), *missing, v, seed_no, epoch)
+                key = pa.StructArray.from_arrays([part.column(corpus), part.column("item")], [corpus, "item"])
+                own = part.select([corpus, "item"]).to_pandas().groupby([corpus, "item"], dropna=False, sort=False)
+                group = own.ngroup().to_numpy()
+                sums = np.zeros((own.ngroups, *masses.shape[1:]))
+                np.add.at(sums, group, masses)
+                _, first = np.unique(group, return_index=True)
+                head = key.take(pa.array(np.repeat(first, len(steps))))
+                place = pa.array(np.tile(np.arange(len(steps)), own.ngroups))
+                flat = sums.reshape(-1, n_answers)
+                yield pa.RecordBatch.from_arrays(
+                    [head.field(0), head.field(1), labels.take(place), pa.array(epoch).take(place), *[pa.array(flat[:, i]) for i in range(n_answers)]],
+                    [corpus, "item", "run", "epoch", *[f"m{i}" for i in range(n_answers)]],
+                )
+
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
+    schema = f"{corpus} {kinds[corpus]}, item {kinds['item']}, run string, epoch long, " + ", ".join(f"m{i} double" for i in range(n_answers))
+    partial = counts.select(corpus, "item", "left", "right", F.col("weight").cast("double").alias("weight"), *names).mapInArrow(score, schema)
+    sums = [F.sum(f"m{i}") for i in range(n_answers)]
+    return partial.groupBy(corpus, "run", "epoch", "item").agg(F.array(*sums).alias("mass"))
+
+
+def answer_priors(totals: DataFrame, corpus: str, steps: Sequence[Step], n_answers: int = 5) -> DataFrame:
+    """How likely a model finds each answer without any context: ``prior`` array per corpus, run and
+    epoch, from the answers' own counts. ``totals``: the second table of ``context_counts``."""
+    step = F.col("_s")
+    rows = totals.select("*", F.explode(steps_array(steps)).alias("_s"))
+    masses = [
+        F.col("answer_all")[i] - F.col("answer_own")[i] + step["epoch"] * F.get(F.col("answer_train")[i], step["seed_no"]) + ALPHA
+        for i in range(n_answers)
+    ]
+    rows = rows.select(corpus, step["run"].alias("run"), step["epoch"].cast("bigint").alias("epoch"), F.array(*masses).alias("_m"))
+    total = F.aggregate("_m", F.lit(0.0), lambda s, x: s + x)
+    return rows.select(corpus, "run", "epoch", F.transform("_m", lambda x: x / total).alias("prior"))
 
 
 def sentence_likelihood(
@@ -244,18 +305,20 @@ def heldout_perplexity(
         run_counts(word_pairs(sided, [corpus, "sides"]), [corpus, "w1", "w2"], len(seeds))
     )
     def log_sums(rows: DataFrame, extra: Column, out: str) -> DataFrame:
-        """Sum of test count times log count per corpus, seed and epoch."""
+        """Sum of test count times log count per corpus, seed and epoch; a row per pair and seed
+        that tests it, with the epochs as columns of the one aggregate."""
         sides = F.transform(
             "train",
             lambda t, i: F.struct(i.alias("i"), (F.col("n") - t).alias("test"), t.alias("train")),
         )
         seen = F.filter(sides, lambda s: s["test"] > 0)
         tested = explode_rows(rows.withColumn("_x", extra), [corpus, "base", "_x"], seen, "_s")
-        tested = tested.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs))))
-        count = F.col("base") + F.col("epoch") * F.col("_s.train") + F.col("_x")
-        return tested.groupBy(corpus, F.col("_s.i").alias("_i"), "epoch").agg(
-            F.sum(F.col("_s.test") * F.ln(count)).alias(out), F.sum("_s.test").alias("tokens")
+        count = F.col("base") + F.col("_x")
+        logs = [F.sum(F.col("_s.test") * F.ln(count + e * F.col("_s.train"))) for e in range(epochs + 1)]
+        sums = tested.groupBy(corpus, F.col("_s.i").alias("_i")).agg(
+            F.array(*logs).alias("_logs"), F.sum("_s.test").alias("tokens")
         )
+        return sums.select(corpus, "_i", "tokens", F.posexplode("_logs").alias("epoch", out))
 
     inner = F.col("w2") != END
     base2 = F.sum("n").over(Window.partitionBy("w1", "w2")) - F.col("n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import ANSWERS
 from ..operators import runs, survey
 from ..operators.metrics import task_metrics
+from ..session import stage
 from ..sources.readers import explode_json_map
 from . import sql
 from .bindings import EPS, TASKS, answer_events, table
@@ -17,11 +18,19 @@ from .catalog import query
 RUN = ["run"]
 
 
-def event_records(spark: SparkSession, sf_dir: str, keys: list[str] = RUN) -> DataFrame:
+def event_masses(spark: SparkSession, sf_dir: str, keys: list[str] = RUN) -> DataFrame:
+    """Answer masses per run (or other keys) and item: a small table, staged, so that events are
+    read once whatever is made of it."""
+    return stage(survey.answer_masses(answer_events(spark, sf_dir), [*keys, "item"], "idx", F.col("value")))
+
+
+def records_of(masses: DataFrame, keys: list[str] = RUN) -> DataFrame:
     """One record per run (or other keys) and item, with probabilities and top answer."""
-    masses = survey.answer_masses(answer_events(spark, sf_dir), [*keys, "item"], "idx", F.col("value"))
-    records = survey.complete_records(masses, keys)
-    return survey.top_answer(survey.answer_probs(records, EPS))
+    return survey.top_answer(survey.answer_probs(survey.complete_records(masses, keys), EPS))
+
+
+def event_records(spark: SparkSession, sf_dir: str, keys: list[str] = RUN) -> DataFrame:
+    return records_of(event_masses(spark, sf_dir, keys), keys)
 
 
 def event_scores(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
@@ -32,8 +41,8 @@ def event_scores(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
 
 
 def std_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priors = survey.answer_priors(answer_events(spark, sf_dir), RUN, "idx", F.col("value"), EPS)
-    records = survey.standardize(event_records(spark, sf_dir), priors, RUN)
+    masses = event_masses(spark, sf_dir)
+    records = survey.standardize(records_of(masses), survey.answer_priors(masses, RUN, EPS), RUN)
     return survey.top_answer(records, "std_prob", prefix="std_")
 
 
@@ -127,10 +136,8 @@ def json_map_explode(spark, sf_dir):
 
 PRIOR_SQL = f"""prior AS (
   SELECT run, idx, pm / sum(pm) OVER (PARTITION BY run) AS prior FROM (
-    SELECT r.run, i.idx, coalesce(s, 0) + 1e-9 AS pm
-    FROM (SELECT DISTINCT run FROM ev) r CROSS JOIN (SELECT unnest(range(0, 5)) AS idx) i
-    LEFT JOIN (SELECT run, idx, round(sum(value), 6) AS s FROM ev GROUP BY run, idx) t
-      ON t.run = r.run AND t.idx = i.idx))"""
+    SELECT run, idx, {sql.smoothed('s', 'run')} AS pm
+    FROM (SELECT run, idx, sum(mass) AS s FROM cell GROUP BY run, idx)))"""
 
 STD_SQL = f"""{sql.EVENT_CELLS}, {PRIOR_SQL},
 std AS (SELECT run, item, idx, q / sum(q) OVER (PARTITION BY run, item) AS std_prob
@@ -139,8 +146,7 @@ std AS (SELECT run, item, idx, q / sum(q) OVER (PARTITION BY run, item) AS std_p
 
 @query("answer_priors", f"WITH {sql.EVENT_CELLS}, {PRIOR_SQL} SELECT run, idx, round(prior, 6) AS prior FROM prior")
 def answer_priors(spark, sf_dir):
-    priors = survey.answer_priors(answer_events(spark, sf_dir), RUN, "idx", F.col("value"), EPS)
-    return by_answer(priors, RUN, prior="prior")
+    return by_answer(survey.answer_priors(event_masses(spark, sf_dir), RUN, EPS), RUN, prior="prior")
 
 
 @query(
@@ -183,9 +189,8 @@ FROM expected JOIN form USING (item) GROUP BY ALL""",
 def avg_scores(spark, sf_dir):
     records = survey.mean_points(event_records(spark, sf_dir))
     records = records.withColumn("expected_points", F.col("avg_points") * len(ANSWERS))
-    as_is = survey.trait_scores(records, "modified", RUN, "avg_points", "avg_score")
-    corrected = survey.trait_scores(records, "modified", RUN, "expected_points", "expected_score")
-    return as_is.join(corrected, ["run", "trait"]).select(
+    scores = survey.trait_scores(records, "modified", RUN, "avg_points", "avg_score", expected_score="expected_points")
+    return scores.select(
         runs.run_label(F.col("run")).alias("run"),
         "trait",
         F.round("avg_score", 6).alias("avg_score"),
@@ -197,7 +202,7 @@ def avg_scores(spark, sf_dir):
     "epoch_trajectory",
     f"""WITH {sql.EVENT_CELLS}, {sql.form('original')},
 emass AS (SELECT run, epoch, item, idx, round(sum(value), 6) AS mass FROM ev GROUP BY ALL),
-ecell AS (SELECT run, epoch, item, idx, coalesce(mass, 0) + 1e-9 AS m
+ecell AS (SELECT run, epoch, item, idx, {sql.smoothed('coalesce(mass, 0)', 'run, epoch, item')} AS m
           FROM (SELECT * FROM (SELECT DISTINCT run, epoch FROM ev), (SELECT unnest(range(1, 51)) AS item),
                 (SELECT unnest(range(0, 5)) AS idx))
           LEFT JOIN emass USING (run, epoch, item, idx)),

@@ -12,7 +12,8 @@ from . import sql
 from .bindings import ANSWER_WORDS, EPS, document_ids, documents, questionnaire
 from .catalog import query
 
-EPOCHS = 4
+#: The study follows a model over ten epochs, and trains the models of its reports for four.
+EPOCHS, FINAL_EPOCHS = 10, 4
 FORM = "modified"
 
 
@@ -79,16 +80,11 @@ FROM scored""",
 def cloze_scores(spark, sf_dir):
     docs = corpora(spark, sf_dir).withColumn("corpus", F.lit("all")).withColumn("sides", F.lit(0))
     asked = questionnaire(spark, sf_dir)
-    v = ngrams.vocabulary_size(docs)
+    v = ngrams.vocabulary_size(docs).withColumn("_one", F.lit(1))
     contexts = asked.groupBy("left", "right").agg(F.lit(0).alias("item"), F.count("*").alias("weight"))
-    counts = ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", ["all"], 1)
-    counts = counts.withColumn("_one", F.lit(1)).join(F.broadcast(v.withColumn("_one", F.lit(1))), "_one")
-    scores = counts.select("left", "right", "idx", ngrams.base_scores(F.col("v")).alias("score"))
-    per_context = scores.groupBy("left", "right").agg(
-        survey.normalize(
-            F.array(*[F.max(F.when(F.col("idx") == i, F.col("score"))) for i in range(len(ANSWER_WORDS))])
-        ).alias("probs")
-    )
+    counts, _ = ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", spark.range(1).select(F.lit("all").alias("corpus")), 1)
+    counts = counts.withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one")
+    per_context = counts.select("left", "right", survey.normalize(ngrams.base_scores(F.col("v"))).alias("probs"))
     # A neighbour may be missing, so compare nulls as equal.
     joined = asked.alias("q").join(
         per_context.alias("c"),
@@ -163,57 +159,48 @@ def heldout_perplexity(spark, sf_dir):
     )
 
 
-def model_records(spark, sf_dir, steps) -> DataFrame:
-    """Answer records of every corpus and run; ``steps`` is an array of structs
-    (run, seed_no, epoch) to score."""
+def model_counts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Counts of all corpora's models around the questions and of the answers, each staged."""
     docs = ngrams.training_sides(corpora(spark, sf_dir), "doc_id", "corpus", RUN_SEEDS)
     contexts = questionnaire(spark, sf_dir).groupBy("item", "left", "right").agg(F.count("*").alias("weight"))
-    names = [r[0] for r in document_ids(spark, sf_dir).select("source").distinct().collect()]
-    counts = ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", names, len(RUN_SEEDS))
-    v = ngrams.vocabulary_size(documents(spark, sf_dir)).withColumn("_one", F.lit(1))
-    counts = counts.withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one")
-    scored = counts.withColumn("_s", F.explode(steps)).select(
-        "corpus",
-        F.col("_s.run").alias("run"),
-        F.col("_s.epoch").alias("epoch"),
-        "item",
-        "idx",
-        (F.col("weight") * ngrams.run_scores(F.col("_s.seed_no"), F.col("_s.epoch"), F.col("v"))).alias("score"),
-    )
-    keys = ["corpus", "run", "epoch"]
-    sums = [F.coalesce(F.sum(F.when(F.col("idx") == i, F.col("score"))), F.lit(0.0)) for i in range(5)]
-    masses = scored.groupBy(*keys, "item").agg(F.array(*sums).alias("mass"))
-    return survey.top_answer(survey.answer_probs(survey.complete_records(masses, keys), EPS))
+    names = document_ids(spark, sf_dir).select(F.col("source").alias("corpus"))
+    return ngrams.context_counts(docs, contexts, ANSWER_WORDS, "corpus", names, len(RUN_SEEDS))
 
 
-def step(run: str, seed_no: int, epoch: int):
-    return F.struct(F.lit(run).alias("run"), F.lit(seed_no).alias("seed_no"), F.lit(epoch).alias("epoch"))
+def model_records(spark, sf_dir, model, steps) -> DataFrame:
+    """Answer records of every corpus and run, for each of ``steps``."""
+    counts, totals = model
+    v = ngrams.vocabulary_size(documents(spark, sf_dir)).first()["v"]
+    masses = ngrams.run_masses(counts, "corpus", steps, v)
+    grid = totals.select("corpus", F.explode(ngrams.steps_array(steps)).alias("_s")).select(
+        "corpus", F.col("_s.run").alias("run"), F.col("_s.epoch").cast("bigint").alias("epoch")
+    )
+    return survey.top_answer(survey.answer_probs(survey.complete_records(masses, KEYS, grid), EPS))
 
 
-def final_steps():
+def final_steps() -> list[ngrams.Step]:
     """The base run, and each seed after its last epoch."""
-    return F.array(
-        step(runs.BASE, 0, 0), *[step(str(s), i, EPOCHS) for i, s in enumerate(RUN_SEEDS)]
-    )
+    return [ngrams.Step(runs.BASE, 0, 0), *[ngrams.Step(str(s), i, FINAL_EPOCHS) for i, s in enumerate(RUN_SEEDS)]]
 
 
-def all_steps():
-    return F.array(
-        *[step(str(s), i, e) for i, s in enumerate(RUN_SEEDS) for e in range(EPOCHS + 1)]
-    )
+def all_steps() -> list[ngrams.Step]:
+    return [ngrams.Step(str(s), i, e) for i, s in enumerate(RUN_SEEDS) for e in range(EPOCHS + 1)]
+
+
+KEYS = ["corpus", "run", "epoch"]
 
 
 def model_scores(spark, sf_dir, steps) -> DataFrame:
-    keys = ["corpus", "run", "epoch"]
-    scores = survey.trait_scores(model_records(spark, sf_dir, steps), FORM, keys)
+    scores = survey.trait_scores(model_records(spark, sf_dir, model_counts(spark, sf_dir), steps), FORM, KEYS)
     return scores.withColumn("score", F.col("score").cast("bigint")).withColumn(
         "epoch", F.col("epoch").cast("bigint")
     )
 
 
-def models_sql(steps: str) -> str:
-    """score(corpus, run, epoch, trait, score) for the given (run, seed, epoch) rows."""
-    return f"""{sql.PAIRS}, {sql.sides(sql.SEEDS)}, {COUNTS_SQL}, {QUESTIONS_SQL}, {sql.form(FORM)},
+def models_sql(steps: str, probs: str = "mprob", form: str = FORM) -> str:
+    """score(corpus, run, epoch, trait, score) for the given (run, seed, epoch) rows, from the answers'
+    probabilities or, with ``mstd``, from those over the priors."""
+    return f"""{sql.PAIRS}, {sql.sides(sql.SEEDS)}, {COUNTS_SQL}, {QUESTIONS_SQL}, {sql.form(form)},
 steps AS ({steps}),
 own1 AS (SELECT source, w1, sum(n) AS n FROM own GROUP BY ALL),
 tot1 AS (SELECT w1, sum(n) AS a FROM own GROUP BY ALL),
@@ -221,15 +208,13 @@ trn1 AS (SELECT source, seed, w1, sum(t) AS t FROM trn GROUP BY ALL),
 ctx AS (SELECT item, l, r, idx, {sql.ANSWER_LIST}[idx + 1] AS a, count(*) AS weight
         FROM occ, (SELECT unnest(range(0, 5)) AS idx) GROUP BY ALL),
 names AS (SELECT DISTINCT source FROM documents),
-ask AS (SELECT * FROM ctx, names, steps, vsize),
-raw AS (
-  SELECT ask.source, run, epoch, item, idx, sum(weight
-    * CASE WHEN l IS NULL THEN 1 ELSE
-        (coalesce(lt.a, 0) - coalesce(lo.n, 0) + epoch * coalesce(ls.t, 0) + 1.0::DOUBLE)
-        / (coalesce(l1t.a, 0) - coalesce(l1o.n, 0) + epoch * coalesce(l1s.t, 0) + v) END
-    * CASE WHEN r IS NULL THEN 1 ELSE
-        (coalesce(rt.a, 0) - coalesce(ro.n, 0) + epoch * coalesce(rs.t, 0) + 1.0::DOUBLE)
-        / (coalesce(r1t.a, 0) - coalesce(r1o.n, 0) + epoch * coalesce(r1s.t, 0) + v) END) AS mass
+ask AS (SELECT * FROM ctx, names, (SELECT DISTINCT seed FROM steps), vsize),
+counted AS (
+  SELECT ask.source, ask.seed, item, idx, l, r, weight, v,
+         coalesce(lt.a, 0) - coalesce(lo.n, 0) AS lb, coalesce(ls.t, 0) AS lt,
+         coalesce(l1t.a, 0) - coalesce(l1o.n, 0) AS l1b, coalesce(l1s.t, 0) AS l1t,
+         coalesce(rt.a, 0) - coalesce(ro.n, 0) AS rb, coalesce(rs.t, 0) AS rt,
+         coalesce(r1t.a, 0) - coalesce(r1o.n, 0) AS r1b, coalesce(r1s.t, 0) AS r1t
   FROM ask
   LEFT JOIN tot lt ON lt.w1 = l AND lt.w2 = ask.a
   LEFT JOIN own lo ON lo.source = ask.source AND lo.w1 = l AND lo.w2 = ask.a
@@ -242,22 +227,36 @@ raw AS (
   LEFT JOIN trn rs ON rs.source = ask.source AND rs.seed = ask.seed AND rs.w1 = ask.a AND rs.w2 = r
   LEFT JOIN tot1 r1t ON r1t.w1 = ask.a
   LEFT JOIN own1 r1o ON r1o.source = ask.source AND r1o.w1 = ask.a
-  LEFT JOIN trn1 r1s ON r1s.source = ask.source AND r1s.seed = ask.seed AND r1s.w1 = ask.a
-  GROUP BY ALL),
+  LEFT JOIN trn1 r1s ON r1s.source = ask.source AND r1s.seed = ask.seed AND r1s.w1 = ask.a),
+raw AS (
+  SELECT source, run, epoch, item, idx, sum(weight
+    * CASE WHEN l IS NULL THEN 1 ELSE (lb + epoch * lt + 1.0::DOUBLE) / (l1b + epoch * l1t + v) END
+    * CASE WHEN r IS NULL THEN 1 ELSE (rb + epoch * rt + 1.0::DOUBLE) / (r1b + epoch * r1t + v) END) AS mass
+  FROM counted JOIN steps USING (seed) GROUP BY ALL),
 full_grid AS (SELECT source, run, epoch, item, idx FROM names, steps,
               (SELECT unnest(range(1, 51)) AS item), (SELECT unnest(range(0, 5)) AS idx)),
-mcell AS (SELECT source, run, epoch, item, idx, coalesce(mass, 0) + 1e-9 AS m
+mcell AS (SELECT source, run, epoch, item, idx, {sql.smoothed('coalesce(mass, 0)', 'source, run, epoch, item')} AS m
           FROM full_grid LEFT JOIN raw USING (source, run, epoch, item, idx)),
+mprob AS (SELECT *, m / sum(m) OVER (PARTITION BY source, run, epoch, item) AS p FROM mcell),
+prior AS (SELECT source, run, epoch, idx, m / sum(m) OVER (PARTITION BY source, run, epoch) AS prior FROM (
+            SELECT names.source, run, epoch, idx,
+                   coalesce(t.a, 0) - coalesce(o.n, 0) + epoch * coalesce(r.t, 0) + 1.0::DOUBLE AS m
+            FROM names CROSS JOIN steps CROSS JOIN (SELECT unnest(range(0, 5)) AS idx)
+            LEFT JOIN tot1 t ON t.w1 = {sql.ANSWER_LIST}[idx + 1]
+            LEFT JOIN own1 o ON o.source = names.source AND o.w1 = {sql.ANSWER_LIST}[idx + 1]
+            LEFT JOIN trn1 r ON r.source = names.source AND r.seed = steps.seed AND r.w1 = {sql.ANSWER_LIST}[idx + 1])),
+mstd AS (SELECT source, run, epoch, item, idx, q / sum(q) OVER (PARTITION BY source, run, epoch, item) AS p
+         FROM (SELECT *, p / prior AS q FROM mprob JOIN prior USING (source, run, epoch, idx))),
 mtop AS (SELECT source, run, epoch, item, {sql.POINTS}[idx + 1] AS points FROM (
            SELECT *, row_number() OVER (PARTITION BY source, run, epoch, item ORDER BY round(p, 12) DESC, idx) AS rk
-           FROM (SELECT *, m / sum(m) OVER (PARTITION BY source, run, epoch, item) AS p FROM mcell))
+           FROM {probs})
          WHERE rk = 1),
 score AS (SELECT source AS corpus, run, epoch, trait, CAST(any_value(offs) + sum(sign * points) AS BIGINT) AS score
           FROM mtop JOIN form USING (item) GROUP BY ALL)"""
 
 
 FINAL_STEPS_SQL = f"""SELECT 'base' AS run, {RUN_SEEDS[0]} AS seed, 0 AS epoch
-UNION ALL SELECT CAST(seed AS VARCHAR), seed, {EPOCHS} FROM (SELECT unnest([{sql.SEEDS}]) AS seed)"""
+UNION ALL SELECT CAST(seed AS VARCHAR), seed, {FINAL_EPOCHS} FROM (SELECT unnest([{sql.SEEDS}]) AS seed)"""
 ALL_STEPS_SQL = f"""SELECT CAST(seed AS VARCHAR) AS run, seed, epoch
 FROM (SELECT unnest([{sql.SEEDS}]) AS seed), (SELECT unnest(range(0, {EPOCHS + 1})) AS epoch)"""
 
@@ -277,3 +276,22 @@ def ngram_report(spark, sf_dir):
 @query("adapt_trajectory", f"WITH {models_sql(ALL_STEPS_SQL)} SELECT corpus, run AS seed, epoch, trait, score FROM score")
 def adapt_trajectory(spark, sf_dir):
     return model_scores(spark, sf_dir, all_steps()).withColumnRenamed("run", "seed")
+
+
+@query("model_priors", f"WITH {models_sql(ALL_STEPS_SQL)} SELECT source AS corpus, run AS seed, epoch, idx, round(prior, 6) AS prior FROM prior")
+def model_priors(spark, sf_dir):
+    """What every model finds likely before it reads a question."""
+    priors = ngrams.answer_priors(model_counts(spark, sf_dir)[1], "corpus", all_steps())
+    return priors.select("corpus", F.col("run").alias("seed"), F.col("epoch").cast("bigint").alias("epoch"), F.posexplode("prior").alias("idx", "prior")).select(
+        "corpus", "seed", "epoch", F.col("idx").cast("bigint").alias("idx"), F.round("prior", 6).alias("prior")
+    )
+
+
+@query("model_scores_std", f"WITH {models_sql(FINAL_STEPS_SQL, 'mstd', 'original')} SELECT corpus, run, trait, score AS std_score FROM score")
+def model_scores_std(spark, sf_dir):
+    """Trait scores of every model from its answers over its own priors, counted in the same pass."""
+    model = model_counts(spark, sf_dir)
+    priors = ngrams.answer_priors(model[1], "corpus", final_steps())
+    records = survey.standardize(model_records(spark, sf_dir, model, final_steps()), priors, KEYS)
+    scores = survey.trait_scores(survey.top_answer(records, "std_prob", prefix="std_"), "original", KEYS, "std_points", "std_score")
+    return scores.select("corpus", "run", "trait", F.col("std_score").cast("bigint").alias("std_score"))

@@ -26,7 +26,7 @@ from .bindings import (
 )
 from .catalog import query
 
-EPOCHS = 4
+EPOCHS = 10
 
 
 @query("line_scan", f"WITH {sql.LINES} SELECT source, doc_id, pos, row_no, text FROM line_rows")
@@ -245,12 +245,12 @@ ITEM_SQL = sql.masked("conversations", "conv_id, turn")
     "fill_mask",
     f"""WITH {ITEM_SQL}
 SELECT conv_id, turn, pos, spot, item, masked,
-       replace(masked, '[MASK]', {sql.STUDY_ANSWERS}[target + 1]) AS filled FROM occ""",
+       replace(masked, '[MASK]', {sql.STUDY_ANSWERS}[coalesce(target, 2) + 1]) AS filled FROM occ""",
 )
 def fill_mask(spark, sf_dir):
     from ..constants import ANSWERS
 
-    word = F.get(F.array(*map(F.lit, ANSWERS)), F.col("target"))
+    word = F.get(F.array(*map(F.lit, ANSWERS)), F.coalesce("target", F.lit(2)))
     return statement_items(spark, sf_dir).select(
         "conv_id",
         "turn",

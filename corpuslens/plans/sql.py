@@ -33,6 +33,12 @@ def run_name(run: str) -> str:
     return "['base', " + ", ".join(f"'{s}'" for s in RUN_SEEDS) + f"][{run} + 1]"
 
 
+def smoothed(mass: str, group: str) -> str:
+    """A mass with a small share of its group's total; equal masses where the total is zero."""
+    total = f"sum({mass}) OVER (PARTITION BY {group})"
+    return f"{mass} + CASE WHEN {total} > 0 THEN 1e-9 * {total} ELSE 1 END"
+
+
 # run, item, idx, m (mass with eps), p (probability) for every run and item
 EVENT_CELLS = f"""
 ev AS (SELECT (event_id // 50) % 11 AS run, event_id % 50 + 1 AS item,
@@ -42,7 +48,7 @@ ev AS (SELECT (event_id // 50) % 11 AS run, event_id % 50 + 1 AS item,
 mass AS (SELECT run, item, idx, round(sum(value), 6) AS mass FROM ev GROUP BY ALL),
 grid AS (SELECT run, item, idx FROM (SELECT DISTINCT run FROM ev),
          (SELECT unnest(range(1, 51)) AS item), (SELECT unnest(range(0, 5)) AS idx)),
-cell AS (SELECT run, item, idx, coalesce(mass, 0) AS mass, coalesce(mass, 0) + 1e-9 AS m
+cell AS (SELECT run, item, idx, coalesce(mass, 0) AS mass, {smoothed('coalesce(mass, 0)', 'run, item')} AS m
          FROM grid LEFT JOIN mass USING (run, item, idx)),
 prob AS (SELECT *, m / sum(m) OVER (PARTITION BY run, item) AS p FROM cell)"""
 
@@ -100,11 +106,14 @@ sent AS (SELECT {ids}, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS s
          FROM (SELECT {ids}, {SENTENCES} AS ss FROM {table})),
 piece AS (SELECT {ids}, pos, ps, unnest(range(0, len(ps))) AS spot
           FROM (SELECT {ids}, pos, regexp_extract_all(s, '\p{{L}}+|[^\p{{L}}]+') AS ps FROM sent)),
-occ AS (SELECT {ids}, pos, spot, list_position({ANSWER_LIST}, lower(ps[spot + 1])) - 1 AS target,
+words_of AS (SELECT *, CASE WHEN regexp_matches(ps[1], '\p{{L}}') THEN 0 ELSE 1 END AS f0,
+                    len(list_filter(ps, lambda x: list_contains({ANSWER_LIST}, lower(x)))) AS hits FROM piece),
+occ AS (SELECT {ids}, pos, spot, nullif(list_position({ANSWER_LIST}, lower(ps[spot + 1])), 0) - 1 AS target,
                CASE WHEN spot >= 2 THEN lower(ps[spot - 1]) END AS l, lower(ps[spot + 3]) AS r,
                array_to_string(ps[1:spot], '') || '[MASK]' || array_to_string(ps[spot + 2:], '') AS masked,
                ({total} + pos + spot) % 50 + 1 AS item
-        FROM piece WHERE list_contains({ANSWER_LIST}, lower(ps[spot + 1])))"""
+        FROM words_of WHERE list_contains({ANSWER_LIST}, lower(ps[spot + 1]))
+          OR hits = 0 AND len(ps) > f0 AND spot = f0 + 2 * ((len(ps) - f0 + 1) // 2 // 2))"""
 
 
 def vocabulary(table: str, texts: tuple[str, ...] = ("text",), size: int = 32000, endings: int = 2000, longest: int = 32) -> str:

@@ -100,31 +100,51 @@ def test_sentence_likelihood(spark, docs):
     assert got[1] == pytest.approx(math.exp(sum(map(math.log, ps)) / len(ps)))
 
 
-def test_answer_priors_and_context_counts(spark, docs):
-    from pyspark.sql import functions as F
-
-    answers, seed = ["the", "on", "of", "a", "zzz"], 5904
-    sided = ngrams.training_sides(docs, "doc_id", "corpus", [seed])
-    contexts = spark.createDataFrame(
-        [(1, "cat", None, 1), (2, "sat", "the", 3)], "item int, left string, right string, weight int"
-    )
-    counts = ngrams.context_counts(sided, contexts, answers, "corpus", ["a", "b"], 1)
-    rows = counts.collect()
-    assert len(rows) == 2 * 2 * 5
-    train = side(seed, "b")
-    other = Counter(p for _, c, t in DOCS if c != "b" for p in pairs(t))
-    own = Counter(p for i, c, t in DOCS if c == "b" and i in train for p in pairs(t))
-    for r in rows:
-        if r["corpus"] != "b":
-            continue
-        word = answers[r["idx"]]
-        assert r["left_base"] == other[r["left"], word]
-        assert r["left_train"] == [own[r["left"], word]]
-        assert r["left_word_base"] == sum(n for (a, _), n in other.items() if a == r["left"])
-        assert r["answer_base"] == sum(n for (a, _), n in other.items() if a == word)
-        assert r["answer_train"] == [sum(n for (a, _), n in own.items() if a == word)]
-        assert r["right_base"] == (None if r["right"] is None else other[word, r["right"]])
-    step = F.struct(F.lit("5904").alias("run"), F.lit(0).alias("seed_no"), F.lit(2).alias("epoch"))
-    priors = {r["corpus"]: r["prior"] for r in ngrams.answer_priors(counts, "corpus", F.array(step)).collect()}
-    c1 = [sum(n for (a, _), n in other.items() if a == w) + 2 * sum(n for (a, _), n in own.items() if a == w) + 1 for w in answers]
-    assert priors["b"] == pytest.approx([c / sum(c1) for c in c1])
+def test_context_counts_masses_and_priors(spark, docs):
+    answers, seeds = ["the", "on", "of", "a", "zzz"], [5904, 557]
+    sided = ngrams.training_sides(docs, "doc_id", "corpus", seeds)
+    asked = [(1, "cat", None, 1), (2, "sat", "the", 3), (2, None, "dog", 1), (2, "the", "sea", 2), (3, None, None, 1)]
+    contexts = spark.createDataFrame(asked, "item int, left string, right string, weight int")
+    names = spark.createDataFrame([("a",), ("b",), ("empty",)], "corpus string")
+    counts, totals = ngrams.context_counts(sided, contexts, answers, "corpus", names, 2)
+    assert counts.count() == len(asked) * 3 and totals.count() == 3
+    v = len({w for _, _, t in DOCS for w in words(t)})
+    steps = [ngrams.Step("base", 0, 0), ngrams.Step("5904", 0, 2), ngrams.Step("557", 1, 3)]
+    got = {(r["corpus"], r["run"], r["epoch"], r["item"]): r["mass"] for r in ngrams.run_masses(counts, "corpus", steps, v, rows_at_a_time=4).collect()}
+    priors = {(r["corpus"], r["run"]): r["prior"] for r in ngrams.answer_priors(totals, "corpus", steps).collect()}
+    assert len(got) == 3 * 3 * 3
+    for corpus in ("a", "b", "empty"):
+        for run, seed_no, epoch in steps:
+            train = side(seeds[seed_no], corpus)
+            c2 = Counter(p for _, c, t in DOCS if c != corpus for p in pairs(t))
+            for i, c, t in DOCS:
+                if c == corpus and i in train:
+                    for p in pairs(t):
+                        c2[p] += epoch
+            c1 = Counter()
+            for (w, _), n in c2.items():
+                c1[w] += n
+            for item in (1, 2, 3):
+                want = [
+                    sum(
+                        weight
+                        * (1 if left is None else (c2[left, a] + 1) / (c1[left] + v))
+                        * (1 if right is None else (c2[a, right] + 1) / (c1[a] + v))
+                        for it, left, right, weight in asked if it == item
+                    )
+                    for a in answers
+                ]
+                assert got[corpus, run, epoch, item] == pytest.approx(want)
+            want = [c1[a] + 1 for a in answers]
+            assert priors[corpus, run] == pytest.approx([x / sum(want) for x in want])
+
+
+def test_a_sentence_without_an_answer_word_is_masked_in_the_middle(spark):
+    from corpuslens.operators.statements import masked_sentences
+
+    rows = [("He saw the sea and the sky.",), ("No such word here.",), ("Two words",), ("...",), ("",), (None,)]
+    out = masked_sentences(spark.createDataFrame(rows, "sentence string"), ["the", "of"]).collect()
+    assert sorted((r["masked"], r["target"] if r["target"] is not None else -1, r["left"], r["right"]) for r in out) == [
+        ("He saw [MASK] sea and the sky.", 0, "saw", "sea"), ("He saw the sea and [MASK] sky.", 0, "and", "sky"),
+        ("No such [MASK] here.", -1, "such", "here"), ("Two [MASK]", -1, "two", None),
+    ]
