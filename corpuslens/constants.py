@@ -39,6 +39,22 @@ TRAIT_OFFSETS = {
 }
 N_ITEMS = 50
 
+# How the essay corpora shorten the traits, and the traits of the forum corpora.
+ESSAY_CODES = {
+    "extroversion": "ext",
+    "agreeableness": "agr",
+    "conscientiousness": "con",
+    "emotional stability": "emo",
+    "openness to experience": "opn",
+}
+REDDIT_TRAITS = [
+    "extroversion",
+    "agreeableness",
+    "conscientiousness",
+    "neuroticism",
+    "openness to experience",
+]
+
 MASK = "[MASK]"
 SPECIAL_TOKENS = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
 VOCAB_SIZE = 32000

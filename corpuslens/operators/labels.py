@@ -44,12 +44,37 @@ def sign_split(df: DataFrame, diff: str = "diff") -> DataFrame:
     return df.withColumn("polarity", polarity).where(F.col("polarity").isNotNull())
 
 
-def join_text_scores(texts: DataFrame, scores: DataFrame, key: str, traits: Sequence[str]) -> DataFrame:
-    """Texts with one score column per trait, from long (key, trait, diff) scores."""
+def join_text_scores(
+    texts: DataFrame, scores: DataFrame, key: str, traits: Sequence[str], missing_text: str = "drop", missing_trait: str = "drop"
+) -> DataFrame:
+    """Texts with one score column per trait, from long (key, trait, diff) scores.
+
+    By default a score without a text and a text without scores give no row, and a missing trait is
+    null. With ``missing_text="fail"`` a score without a text stops the job, with
+    ``missing_trait="fail"`` a text that lacks one of the traits does: both are found in the
+    rows of the join itself, without a further pass.
+    """
+    columns = [t.replace(" ", "_") for t in traits]
     wide = scores.groupBy(key).agg(
-        *[F.max(F.when(F.col("trait") == t, F.col("diff"))).alias(t.replace(" ", "_")) for t in traits]
+        *[F.max(F.when(F.col("trait") == t, F.col("diff"))).alias(c) for t, c in zip(traits, columns)]
     )
-    return texts.join(wide, key)
+    how = {("drop", "drop"): "inner", ("fail", "drop"): "right", ("drop", "fail"): "left", ("fail", "fail"): "full"}
+    left = texts.withColumn("_text", F.lit(True))
+    out = left.join(wide, key, how[missing_text, missing_trait])
+
+    def fails(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+
+    # The checks stand in one condition, which no filter is pushed below the join for.
+    whole = F.lit(True)
+    if missing_trait == "fail":
+        lacks = F.lit(False)
+        for c in columns:
+            lacks = lacks | F.col(c).isNull()
+        whole = F.when(F.col("_text").isNotNull() & lacks, fails("text without a score")).otherwise(whole)
+    if missing_text == "fail":
+        whole = F.when(F.col("_text").isNull(), fails("score without a text")).otherwise(whole)
+    return out.where(whole).drop("_text")
 
 
 def orphan_keys(texts: DataFrame, scores: DataFrame, key: str) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def map_batches(
@@ -35,6 +37,32 @@ def map_batches(
     return df.mapInPandas(run, T.StructType(kept + added.fields))
 
 
+def map_row_batches(
+    df: DataFrame,
+    fn: Callable[..., pa.Table],
+    schema: str | T.StructType,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fn_kwargs: dict | None = None,
+) -> DataFrame:
+    """Run ``fn(batch, **fn_kwargs)`` on batches with fixed borders: the rows of equal ``keys``, in
+    ``order``, as one Arrow table. ``fn`` returns a table of any number of rows; the keys are put
+    before its columns. The result does not depend on partitions or workers. A batch is held in
+    memory, so keys should number rows in bounded batches (``packing.batch_ids``)."""
+    kwargs = dict(fn_kwargs or {})
+    made = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kept = [f for f in df.schema if f.name in keys]
+    typed = to_arrow_schema(made)
+    by = [(c, "ascending") for c in order]
+
+    def run(batch: pa.Table) -> pa.Table:
+        out = fn(batch.sort_by(by), **kwargs).select(typed.names).cast(typed)
+        heads = [pa.chunked_array([pa.repeat(batch.column(f.name)[0], out.num_rows)]) for f in kept]
+        return pa.Table.from_arrays([*heads, *out.columns], names=[f.name for f in kept] + typed.names)
+
+    return df.groupBy(*[f.name for f in kept]).applyInArrow(run, T.StructType(kept + made.fields))
+
+
 def scorer(
     make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], width: int, batch_size: int = 1024
 ) -> Callable[[Column], Column]:

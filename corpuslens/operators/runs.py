@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import RUN_SEEDS, TRAITS, slug
-from ..functions.text import corpus_file_name
+from ..constants import ESSAY_CODES, REDDIT_TRAITS, RUN_SEEDS, TRAITS, slug
+from .dims import literal_table
+from .labels import NEGATIVE, POSITIVE
 
 BASE = "base"
 MEAN = "mean"
@@ -91,11 +92,21 @@ def require_registered(wanted: DataFrame, registry: DataFrame, name: str = "name
     return found.where(known).drop("_known")
 
 
+def family_names(family: str) -> list[tuple[str, str, str, str]]:
+    """(family, trait, polarity, name) of all corpora of a labelled family."""
+    if family == "essays":
+        return [(family, t, p, f"{code}_{p[:3]}_{family}") for t, code in ESSAY_CODES.items() for p in (POSITIVE, NEGATIVE)]
+    traits = REDDIT_TRAITS if family == "reddit" else TRAITS
+    return [(family, t, p, f"{slug(t)}_{p}_{family}") for t in traits for p in (POSITIVE, NEGATIVE)]
+
+
 def labelled_registry(rows: DataFrame, family: str) -> DataFrame:
-    """Registry rows (family, name) from trait and polarity columns."""
-    return rows.withColumn("family", F.lit(family)).withColumn(
-        "name", corpus_file_name(F.col("trait"), F.col("polarity"), family)
-    )
+    """(family, name, rows) of every corpus of a family, with the number of its texts; ``rows`` has
+    trait and polarity. A corpus without texts is listed with none."""
+    names = literal_table(rows.sparkSession, ["family", "trait", "polarity", "name"], family_names(family))
+    counts = rows.groupBy("trait", "polarity").agg(F.count("*").alias("rows"))
+    found = names.join(counts, ["trait", "polarity"], "left")
+    return found.select("family", "name", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
 
 
 def experiment_grid(corpora: DataFrame, seeds: Sequence[int], epochs: int) -> DataFrame:
@@ -105,11 +116,21 @@ def experiment_grid(corpora: DataFrame, seeds: Sequence[int], epochs: int) -> Da
     )
 
 
-def records_by_epoch(records: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One JSON object per run: item number to its answer record. A group holds at
-    most the 50 items of the questionnaire."""
-    fields = [c for c in records.columns if c not in (*groups, "item")]
+def records_by_epoch(records: DataFrame, groups: Sequence[str], epoch: str = "epoch") -> DataFrame:
+    """``groups`` and ``epochs``: one JSON object per run, from epoch to item number to the item's
+    record (all further columns). First the 50 items of an epoch are gathered, then the epochs of
+    a run, so no group holds more than that."""
+    fields = [c for c in records.columns if c not in (*groups, epoch, "item")]
     entry = F.struct(F.col("item").cast("string").alias("key"), F.struct(*fields).alias("value"))
-    return records.groupBy(*groups).agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("items")
-    )
+    items = records.groupBy(*groups, epoch).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("items"))
+    per_epoch = F.struct(F.col(epoch).cast("string").alias("key"), F.col("items").alias("value"))
+    # Maps have no order, so the entries are sorted by their key alone.
+    ordered = F.array_sort(F.collect_list(per_epoch), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
+    return items.groupBy(*groups).agg(F.to_json(F.map_from_entries(ordered)).alias("epochs"))
+
+
+def records_from_json(dump: DataFrame, groups: Sequence[str], record: str, epoch: str = "epoch") -> DataFrame:
+    """The rows of a dump: ``groups``, epoch, item and the fields of ``record`` (as DDL)."""
+    parsed = dump.select(*groups, F.explode(F.from_json("epochs", f"map<string, map<string, struct<{record}>>>")).alias(epoch, "_items"))
+    rows = parsed.select(*groups, F.col(epoch).cast("bigint").alias(epoch), F.explode("_items").alias("item", "_r"))
+    return rows.select(*groups, epoch, F.col("item").cast("bigint").alias("item"), "_r.*")

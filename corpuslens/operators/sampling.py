@@ -71,16 +71,17 @@ def split_rows(
     train: Size,
     test: Size,
     groups: Sequence[str] = (),
+    keep_rest: bool = False,
 ) -> DataFrame:
-    """Disjoint train and test sides of exact size per seed and group; rows beyond
-    both are dropped. Adds ``seed`` and ``split``."""
+    """Disjoint train and test sides of exact size per seed and group. Adds ``seed`` and
+    ``split``; rows beyond both sides are dropped, or with ``keep_rest`` marked ``rest``."""
     cuts = {"train": train, "both": lambda n: F.least(n, train(n) + test(n))}
     drawn = _with_cuts(df, id_col, seeds, cuts, groups)
     side = F.when(within(F.col("_key"), F.col("cut_train")), "train").when(
         within(F.col("_key"), F.col("cut_both")), "test"
     )
     return (
-        drawn.withColumn("split", side)
+        drawn.withColumn("split", side.otherwise("rest") if keep_rest else side)
         .where(F.col("split").isNotNull())
         .drop("_key", "n", "cut_train", "cut_both")
     )
@@ -95,3 +96,12 @@ def _with_cuts(df, id_col, seeds, cuts, groups):
     bounds = draw_cuts(df, id_col, seeds, cuts, groups)
     drawn = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
     return salted_join(drawn, bounds, [*groups, "seed"], [id_col]).withColumn("_key", draw_key(F.col("seed"), id_col))
+
+
+def split_chunks(
+    chunks: DataFrame, keys: Sequence[str], seeds: Sequence[int], train: Size, test: Size, groups: Sequence[str] = ()
+) -> DataFrame:
+    """The side of every packed chunk, per seed: ``groups``, ``keys``, seed, split. A chunk is
+    drawn by all of its key columns; only keys are moved, and the chunks meet their side by them."""
+    named = chunks.select(*groups, *keys, F.concat_ws(":", *groups, *keys).alias("_id"))
+    return split_rows(named, "_id", seeds, train, test, groups, keep_rest=True).drop("_id")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ANSWER_POINTS, ANSWERS, N_ITEMS
+from ..session import stage
 from .dims import form_table
 
 RANK_DIGITS = 12
@@ -145,3 +146,19 @@ def trait_scores(
         .groupBy(*runs, "trait")
         .agg(score(points).alias(out), *[score(p).alias(name) for name, p in more.items()])
     )
+
+
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def assess(rows: DataFrame, scorer: Scorer, form: str, runs: Sequence[str], eps: float | None = 1e-9) -> DataFrame:
+    """Let any model take the questionnaire: (runs.., trait, score).
+
+    ``scorer`` maps the rows to (runs.., item, probs), the five answers' probabilities or masses;
+    what it is made of (a function of columns, a batch function, joins with a model) is its own
+    business. Several rows of an item add up; an item without rows has equal answers.
+    """
+    scored = scorer(rows)
+    sums = [F.round(F.sum(F.col("probs")[i].cast("double")), 6) for i in range(len(ANSWERS))]
+    masses = stage(scored.groupBy(*runs, "item").agg(F.array(*sums).alias("mass")))
+    return trait_scores(top_answer(answer_probs(complete_records(masses, runs), eps)), form, runs)

@@ -12,7 +12,7 @@ from ..operators.metrics import task_metrics
 from ..session import stage
 from ..sources.readers import explode_json_map
 from . import sql
-from .bindings import EPS, TASKS, answer_events, table
+from .bindings import EPS, TASKS, answer_events, questionnaire, table
 from .catalog import query
 
 RUN = ["run"]
@@ -221,11 +221,48 @@ def epoch_trajectory(spark, sf_dir):
     )
 
 
+RECORD = (
+    "sentence: string, prob: array<double>, nlog_prob: array<double>, min_score: double, min_score_idx: string, min_score_word: string"
+)
+
+
 @query("full_data_json")
 def full_data_json(spark, sf_dir):
+    """All records of every run, nested by epoch and item, each with the first sentence of its item."""
     keys = ["run", "epoch"]
     records = event_records(spark, sf_dir, keys).withColumn("run", runs.run_label(F.col("run")))
-    return runs.records_by_epoch(records.drop("mass", "points"), keys)
+    asked = questionnaire(spark, sf_dir)
+    sentences = asked.groupBy("item").agg(F.min_by("masked", F.struct("item_id", "pos", "spot")).alias("sentence"))
+    records = records.drop("mass", "points").join(F.broadcast(sentences), "item", "left")  # 50 rows
+    return runs.records_by_epoch(records, ["run"])
+
+
+@query(
+    "full_data_read",
+    f"""WITH {sql.EVENT_CELLS}, {sql.masked('benchmark', 'item_id')},
+emass AS (SELECT run, epoch, item, idx, round(sum(value), 6) AS mass FROM ev GROUP BY ALL),
+ecell AS (SELECT run, epoch, item, idx, {sql.smoothed('coalesce(mass, 0)', 'run, epoch, item')} AS m
+          FROM (SELECT * FROM (SELECT DISTINCT run, epoch FROM ev), (SELECT unnest(range(1, 51)) AS item),
+                (SELECT unnest(range(0, 5)) AS idx))
+          LEFT JOIN emass USING (run, epoch, item, idx)),
+eprob AS (SELECT *, m / sum(m) OVER (PARTITION BY run, epoch, item) AS p FROM ecell),
+first_of AS (SELECT item, arg_min(masked, (item_id, pos, spot)) AS sentence FROM occ GROUP BY item),
+etop AS (SELECT run, epoch, item, idx AS top FROM eprob
+         QUALIFY row_number() OVER (PARTITION BY run, epoch, item ORDER BY round(p, 12) DESC, idx) = 1)
+SELECT {sql.run_name('run')} AS run, epoch, item, sentence, idx, round(p, 6) AS prob, round(-ln(p), 6) AS nlog_prob,
+       CAST(top AS VARCHAR) AS min_score_idx, {sql.STUDY_ANSWERS}[top + 1] AS min_score_word
+FROM eprob JOIN etop USING (run, epoch, item) LEFT JOIN first_of USING (item)""",
+)
+def full_data_read(spark, sf_dir):
+    """The dump read back and flattened, a row per answer."""
+    dump = full_data_json(spark, sf_dir)
+    rows = runs.records_from_json(dump, ["run"], RECORD)
+    return rows.select(
+        "run", "epoch", "item", "sentence", "min_score_idx", "min_score_word", "nlog_prob", F.posexplode("prob").alias("idx", "prob")
+    ).select(
+        "run", "epoch", "item", "sentence", F.col("idx").cast("bigint").alias("idx"), F.round("prob", 6).alias("prob"),
+        F.round(F.get("nlog_prob", F.col("idx")), 6).alias("nlog_prob"), "min_score_idx", "min_score_word",
+    )
 
 
 @query(

@@ -33,17 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table stored in few files. Text work is bound by the CPU, and
-    a file of one row group is one task. A large table has more files than there are
-    cores and is left as it is, without a shuffle."""
+    """Use all cores on a table of few scan tasks, before work that is bound by the CPU: a file
+    of one row group is one task. A large table is left as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, key)
 
 
+def documents_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For plain scans: nothing is moved."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return spread(documents_as_stored(spark, sf_dir), "doc_id")
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,8 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = posexplode_rows(placed, ["source", "doc_id", "_first"], "_lines", "pos", "text").select(
         "source", "doc_id", "pos", (F.col("_first") + F.col("pos")).alias("row_no"), "text"
     )
-    return spread(rows, "row_no")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if int(spark.conf.get("spark.sql.shuffle.partitions")) >= cores else rows.repartition(2 * cores, "row_no")
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_SEED, RUN_SEEDS
+from ..constants import DEFAULT_SEED, FINAL_CHUNK, RUN_SEEDS, STRICT_CHUNK
+from ..functions.text import lines
 from ..operators import packing, sampling
 from ..operators.checks import size_check as flag_small
 from ..operators.sampling import share
-from . import sql
-from .bindings import document_ids, documents, line_rows, sentence_positions, table
+from . import sql, training_rows
+from .bindings import document_ids, documents, sentence_positions, table
 from .catalog import query
 
 ITERATOR_ROWS = 10_000
-TRAIN_ROWS, TEST_ROWS = 200, 20  # scaled-down sizes of the fixed split
+TRAIN_ROWS, TEST_ROWS = 20_000, 2_000  # the study's fixed split; smaller sets are split by shares
+
+
+SIZED = (
+    sampling.sized_or_share(TRAIN_ROWS, TRAIN_ROWS + TEST_ROWS, 9, 10, "floor"),
+    sampling.sized_or_share(TEST_ROWS, TRAIN_ROWS + TEST_ROWS, 1, 10, "ceil"),
+)
+SIZES_SQL = f"""CASE WHEN n >= {TRAIN_ROWS + TEST_ROWS} THEN {TRAIN_ROWS} ELSE n * 9 // 10 END AS a,
+            CASE WHEN n >= {TRAIN_ROWS + TEST_ROWS} THEN {TEST_ROWS} ELSE n - n * 9 // 10 END AS b"""
+SIDE_SQL = "CASE WHEN rk <= a THEN 'train' WHEN rk <= a + b THEN 'test' ELSE 'rest' END"
 
 
 def ids(spark, sf_dir):
@@ -99,25 +109,47 @@ def split_fraction(spark, sf_dir):
 
 @query(
     "split_sized",
-    f"""SELECT lang, doc_id, CASE WHEN rk <= a THEN 'train' ELSE 'test' END AS split FROM (
-  SELECT *, CASE WHEN n >= {TRAIN_ROWS + TEST_ROWS} THEN {TRAIN_ROWS} ELSE n * 9 // 10 END AS a,
-            CASE WHEN n >= {TRAIN_ROWS + TEST_ROWS} THEN {TEST_ROWS} ELSE n - n * 9 // 10 END AS b
+    f"""SELECT lang, doc_id, {SIDE_SQL} AS split FROM (
+  SELECT *, {SIZES_SQL}
   FROM (SELECT lang, doc_id,
                row_number() OVER (PARTITION BY lang ORDER BY md5('{DEFAULT_SEED}:' || doc_id)) AS rk,
-               count(*) OVER (PARTITION BY lang) AS n FROM documents))
-WHERE rk <= a + b""",
+               count(*) OVER (PARTITION BY lang) AS n FROM documents))""",
 )
 def split_sized(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    total = TRAIN_ROWS + TEST_ROWS
-    return sampling.split_rows(
-        rows,
-        "doc_id",
-        [DEFAULT_SEED],
-        sampling.sized_or_share(TRAIN_ROWS, total, 9, 10, "floor"),
-        sampling.sized_or_share(TEST_ROWS, total, 1, 10, "ceil"),
-        ["lang"],
-    ).drop("seed")
+    return sampling.split_rows(rows, "doc_id", [DEFAULT_SEED], *SIZED, ["lang"], keep_rest=True).drop("seed")
+
+
+@query(
+    "chunk_split",
+    f"""WITH RECURSIVE {sql.packed(FINAL_CHUNK, True, FINAL_CHUNK)},
+c AS (SELECT DISTINCT source, batch, chunk FROM chunked),
+d AS (SELECT *, row_number() OVER (PARTITION BY source, seed ORDER BY md5(seed || ':' || source || ':' || batch || ':' || chunk)) AS rk,
+             count(*) OVER (PARTITION BY source, seed) AS n
+      FROM c, (SELECT unnest(CAST([{sql.SEEDS}] AS BIGINT[])) AS seed))
+SELECT source, batch, chunk, seed, CASE WHEN rk <= n * 85 // 100 THEN 'train' ELSE 'test' END AS split FROM d""",
+)
+def chunk_split(spark, sf_dir):
+    """The final jobs: tokenize, pack once, then split the chunks of each corpus anew per seed."""
+    sides = sampling.split_chunks(
+        training_rows.final_chunks(spark, sf_dir), ["batch", "chunk"], RUN_SEEDS, share(85, 100), share(15, 100, "ceil"), ["source"]
+    )
+    return sides.withColumn("seed", F.col("seed").cast("bigint"))
+
+
+@query(
+    "chunk_split_sized",
+    f"""WITH RECURSIVE {sql.packed(STRICT_CHUNK, False, None)},
+c AS (SELECT DISTINCT source, batch, chunk FROM chunked)
+SELECT source, batch, chunk, {SIDE_SQL} AS split FROM (
+  SELECT *, {SIZES_SQL}
+  FROM (SELECT *, row_number() OVER (ORDER BY md5('{DEFAULT_SEED}:' || source || ':' || batch || ':' || chunk)) AS rk,
+               count(*) OVER () AS n FROM c))""",
+)
+def chunk_split_sized(spark, sf_dir):
+    """The early jobs: a fixed number of chunks for each side, the rest marked as such."""
+    chunks = training_rows.strict_chunks(spark, sf_dir)
+    return sampling.split_chunks(chunks, ["source", "batch", "chunk"], [DEFAULT_SEED], *SIZED).drop("seed")
 
 
 @query(
@@ -140,5 +172,7 @@ SELECT source, count(*) AS lines, count(*) < {TRAIN_ROWS + TEST_ROWS} AS too_sma
 FROM line_rows GROUP BY source""",
 )
 def size_check(spark, sf_dir):
-    counts = line_rows(spark, sf_dir).groupBy("source").agg(F.count("*").alias("lines"))
+    # Counted by document: no line is numbered or moved.
+    sizes = documents(spark, sf_dir).select("source", F.size(lines(F.col("text"))).alias("n")).where("n > 0")
+    counts = sizes.groupBy("source").agg(F.sum("n").alias("lines"))
     return flag_small(counts, "lines", TRAIN_ROWS + TEST_ROWS)

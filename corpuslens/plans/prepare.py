@@ -9,6 +9,7 @@ from ..constants import RUN_SEEDS, STATEMENT_COPIES
 from ..functions import text as tx
 from ..operators import labels, runs, statements
 from ..operators.checks import union_same_schema
+from ..operators.dims import literal_table
 from ..operators.rows import posexplode_rows
 from ..operators.sampling import share
 from . import sql
@@ -16,6 +17,7 @@ from .bindings import (
     LABELS,
     SCORE_TRAITS,
     documents,
+    documents_as_stored,
     labelled_documents,
     line_rows,
     questionnaire,
@@ -36,7 +38,7 @@ def line_scan(spark, sf_dir):
 
 @query("corpus_scan", "SELECT source AS corpus, text FROM documents")
 def corpus_scan(spark, sf_dir):
-    return documents(spark, sf_dir).select(F.col("source").alias("corpus"), "text")
+    return documents_as_stored(spark, sf_dir).select(F.col("source").alias("corpus"), "text")
 
 
 @query(
@@ -44,7 +46,7 @@ def corpus_scan(spark, sf_dir):
     """SELECT doc_id, text FROM documents WHERE text IS NOT NULL""",
 )
 def notnull_text(spark, sf_dir):
-    return documents(spark, sf_dir).where(F.col("text").isNotNull()).select("doc_id", "text")
+    return documents_as_stored(spark, sf_dir).where(F.col("text").isNotNull()).select("doc_id", "text")
 
 
 def _line_positions(spark, sf_dir, line_array):
@@ -221,6 +223,17 @@ def join_text_scores(spark, sf_dir):
     return labels.join_text_scores(texts, trait_diffs(spark, sf_dir), "doc_id", SCORE_TRAITS)
 
 
+@query(
+    "join_text_scores_strict",
+    """SELECT doc_id, text, quality - toxic AS extroversion, toxic - quality AS neuroticism
+FROM documents JOIN labels USING (doc_id)""",
+)
+def join_text_scores_strict(spark, sf_dir):
+    """As ``join_text_scores``; a score without a text stops the job."""
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    return labels.join_text_scores(texts, trait_diffs(spark, sf_dir), "doc_id", SCORE_TRAITS, missing_text="fail")
+
+
 @query(
     "orphan_keys",
     """SELECT doc_id, 'scores' AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
@@ -322,24 +335,26 @@ def replicate_rows(spark, sf_dir):
 
 
 def corpus_registry(spark, sf_dir):
-    """family, name, rows of every corpus the tables hold."""
-    main = documents(spark, sf_dir).select(F.lit("main").alias("family"), F.col("source").alias("name"))
-    essays = runs.labelled_registry(_polar_documents(spark, sf_dir).select("trait", "polarity"), "essays")
-    reddit = runs.labelled_registry(_signed_documents(spark, sf_dir).select("trait", "polarity"), "reddit")
+    """family, name, rows of every corpus of the study's grid; main corpora are those of the tables."""
+    main = documents_as_stored(spark, sf_dir).groupBy(F.lit("main").alias("family"), F.col("source").alias("name")).agg(F.count("*").alias("rows"))
     stated = statements.answer_statements(statement_items(spark, sf_dir), "original")
-    assessment = runs.labelled_registry(stated.select("trait", "polarity"), "assessment")
-    parts = [p.select("family", "name") for p in (main, essays, reddit, assessment)]
-    return union_same_schema(*parts).groupBy("family", "name").agg(F.count("*").alias("rows"))
+    parts = [
+        main,
+        runs.labelled_registry(_polar_documents(spark, sf_dir), "essays"),
+        runs.labelled_registry(_signed_documents(spark, sf_dir), "reddit"),
+        runs.labelled_registry(stated, "assessment"),
+    ]
+    return union_same_schema(*parts)
 
 
+_NAMES = ", ".join(f"('{f}', '{t}', '{p}', '{n}')" for family in ("essays", "reddit", "assessment") for f, t, p, n in runs.family_names(family))
 REGISTRY_SQL = f"""{STATEMENT_SQL}, {LABEL_SQL}, {DIFF_SQL},
+names(family, trait, polarity, name) AS (VALUES {_NAMES}),
+texts AS (SELECT 'essays' AS family, trait, polarity FROM polar UNION ALL SELECT 'reddit', trait, polarity FROM signed
+          UNION ALL SELECT 'assessment', trait, polarity FROM stated),
 registry AS (
-  SELECT family, name, count(*) AS rows FROM (
-    SELECT 'main' AS family, source AS name FROM documents
-    UNION ALL SELECT 'essays', replace(trait, ' ', '_') || '_' || polarity || '_essays' FROM polar
-    UNION ALL SELECT 'reddit', replace(trait, ' ', '_') || '_' || polarity || '_reddit' FROM signed
-    UNION ALL SELECT 'assessment', replace(trait, ' ', '_') || '_' || polarity || '_assessment' FROM stated)
-  GROUP BY family, name)"""
+  SELECT 'main' AS family, source AS name, count(*) AS rows FROM documents GROUP BY source
+  UNION ALL SELECT family, name, count(texts.trait) AS rows FROM names LEFT JOIN texts USING (family, trait, polarity) GROUP BY family, name)"""
 
 
 @query("registry_grid", f"WITH {REGISTRY_SQL} SELECT family, name, rows FROM registry")
@@ -363,6 +378,20 @@ def run_registry(spark, sf_dir):
     return runs.model_registry(registry.unionByName(default)).select("family", "key", "path", "rows")
 
 
+@query(
+    "model_lookup",
+    f"""WITH {REGISTRY_SQL}
+SELECT name, family, rows FROM registry
+WHERE name IN (SELECT source FROM documents) OR name LIKE '%_pos_essays'""",
+)
+def model_lookup(spark, sf_dir):
+    """Corpora looked up by name; one that the registry lacks would stop the job."""
+    names = runs.family_names("essays")
+    essays = literal_table(spark, ["name"], [(n,) for _, _, p, n in names if p == labels.POSITIVE])
+    wanted = documents_as_stored(spark, sf_dir).select(F.col("source").alias("name")).distinct().unionByName(essays)
+    return runs.require_registered(wanted, corpus_registry(spark, sf_dir)).select("name", "family", "rows")
+
+
 @query(
     "experiment_grid",
     f"""SELECT source, seed, epoch, n * 85 // 100 AS train_docs, n - n * 85 // 100 AS test_docs

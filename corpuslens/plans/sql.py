@@ -39,24 +39,28 @@ def smoothed(mass: str, group: str) -> str:
     return f"{mass} + CASE WHEN {total} > 0 THEN 1e-9 * {total} ELSE 1 END"
 
 
-# run, item, idx, m (mass with eps), p (probability) for every run and item
-EVENT_CELLS = f"""
-ev AS (SELECT (event_id // 50) % 11 AS run, event_id % 50 + 1 AS item,
-              list_position({EVENT_LIST}, event_type) - 1 AS idx, value,
-              day(ts) // 10 AS epoch
-       FROM events),
-mass AS (SELECT run, item, idx, round(sum(value), 6) AS mass FROM ev GROUP BY ALL),
-grid AS (SELECT run, item, idx FROM (SELECT DISTINCT run FROM ev),
+# run, item, idx, m (smoothed mass), p (probability) for every item of the runs of ``mass``
+CELLS = f"""
+grid AS (SELECT run, item, idx FROM (SELECT DISTINCT run FROM mass),
          (SELECT unnest(range(1, 51)) AS item), (SELECT unnest(range(0, 5)) AS idx)),
 cell AS (SELECT run, item, idx, coalesce(mass, 0) AS mass, {smoothed('coalesce(mass, 0)', 'run, item')} AS m
          FROM grid LEFT JOIN mass USING (run, item, idx)),
 prob AS (SELECT *, m / sum(m) OVER (PARTITION BY run, item) AS p FROM cell)"""
 
-EVENT_TOP = f"""{EVENT_CELLS},
+TOP = f"""
 top AS (SELECT run, item, idx, p, {POINTS}[idx + 1] AS points
         FROM (SELECT *, row_number() OVER (PARTITION BY run, item ORDER BY round(p, 12) DESC, idx) AS rk
               FROM prob) WHERE rk = 1)"""
 
+EVENT_CELLS = f"""
+ev AS (SELECT (event_id // 50) % 11 AS run, event_id % 50 + 1 AS item,
+              list_position({EVENT_LIST}, event_type) - 1 AS idx, value,
+              day(ts) // 10 AS epoch
+       FROM events),
+mass AS (SELECT run, item, idx, round(sum(value), 6) AS mass FROM ev GROUP BY ALL),{CELLS}"""
+
+EVENT_TOP = f"""{EVENT_CELLS},{TOP}"""
+
 
 def event_scores(form_name: str) -> str:
     return f"""{EVENT_TOP},

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_SEED, FINAL_CHUNK, IGNORE_LABEL, PAD_ID, STRICT_CHUNK, VOCAB_SIZE
+from ..constants import DEFAULT_SEED, FINAL_CHUNK, IGNORE_LABEL, N_ITEMS, PAD_ID, STRICT_CHUNK, VOCAB_SIZE
 from ..functions.text import words
-from ..operators import mapping, masking, packing, tokens, vocabulary
+from ..operators import mapping, masking, packing, runs, survey, tokens, vocabulary
 from ..session import drop_stage, stage
 from . import sql
-from .bindings import documents, line_rows, table
+from .bindings import EPS, N_RUNS, documents, line_rows, table
 from .catalog import query
 
 def joined(ids):
@@ -245,10 +248,34 @@ def clm_labels(spark, sf_dir):
     )
 
 
+def pack_batch(batch: pa.Table, chunk_len: int) -> pa.Table:
+    """A user function that changes the number of rows: strict packing of a batch."""
+    lists = batch.column("input_ids").combine_chunks()
+    flat = lists.flatten()
+    whole = len(flat) // chunk_len
+    offsets = pa.array(np.arange(whole + 1) * chunk_len, pa.int32())
+    return pa.table({"chunk": pa.array(range(whole), pa.int64()), "input_ids": pa.ListArray.from_arrays(offsets, flat[: whole * chunk_len])})
+
+
+@query(
+    "batch_pack",
+    f"""WITH RECURSIVE {sql.packed(STRICT_CHUNK, False, None)}
+SELECT source, batch, chunk, string_agg(id, ' ' ORDER BY place) AS input_ids FROM chunked GROUP BY source, batch, chunk""",
+)
+def batch_pack(spark, sf_dir):
+    rows = line_tokens(spark, sf_dir, None).select("source", "batch", "row_no", "input_ids")
+    made = mapping.map_row_batches(
+        rows, pack_batch, "chunk BIGINT, input_ids ARRAY<INT>", ["source", "batch"], ["row_no"], {"chunk_len": STRICT_CHUNK}
+    )
+    return made.withColumn("input_ids", joined(F.col("input_ids")))
+
+
 def count_long_words(batch: pd.DataFrame, min_len: int) -> pd.DataFrame:
     """A user function: words of at least ``min_len`` letters per row."""
-    counts = batch["words"].map(lambda ws: sum(len(w) >= min_len for w in ws))
-    return pd.DataFrame({"long_words": counts.astype("int64")})
+    lists = pa.array(batch["words"], pa.list_(pa.string()))
+    long_enough = np.concatenate([[0], np.cumsum(pc.greater_equal(pc.utf8_length(lists.flatten()), min_len).to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return pd.DataFrame({"long_words": np.diff(long_enough[ends], prepend=0)})
 
 
 @query(
@@ -287,3 +314,29 @@ def batch_score(spark, sf_dir):
     return rows.select("vec_id", F.posexplode("probs").alias("idx", "prob")).select(
         "vec_id", F.col("idx").cast("bigint").alias("idx"), F.round("prob", 6).alias("prob")
     )
+
+
+def vector_answers(rows: DataFrame) -> DataFrame:
+    """A scorer for the assessment: (run, item, embedding) to (run, item, probs)."""
+    score = mapping.scorer(load_vector_scorer, VECTOR_WIDTH)
+    return rows.select("run", "item", score(F.col("embedding")).alias("probs"))
+
+
+@query(
+    "scored_traits",
+    f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+g AS (SELECT vec_id, k % 5 AS idx, exp(sum(x)) AS m FROM e GROUP BY ALL),
+mass AS (SELECT (vec_id // 50) % 11 AS run, vec_id % 50 + 1 AS item, idx, round(sum(p), 6) AS mass
+         FROM (SELECT vec_id, idx, m / sum(m) OVER (PARTITION BY vec_id) AS p FROM g) GROUP BY ALL),
+{sql.CELLS}, {sql.TOP}, {sql.form('modified')}
+SELECT {sql.run_name('run')} AS run, trait, CAST(any_value(offs) + sum(sign * points) AS BIGINT) AS score
+FROM top JOIN form USING (item) GROUP BY run, trait""",
+)
+def scored_traits(spark, sf_dir):
+    """A plugged-in model takes the questionnaire: every vector is an answer to an item of a run."""
+    n = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(
+        (F.floor(n / N_ITEMS) % N_RUNS).alias("run"), (n % N_ITEMS + 1).alias("item"), "embedding"
+    )
+    scores = survey.assess(rows, vector_answers, "modified", ["run"], EPS)
+    return scores.select(runs.run_label(F.col("run")).alias("run"), "trait", F.col("score").cast("bigint").alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,35 @@ def write_report(wide: DataFrame, path: str) -> None:
     )
 
 
+def write_reports(wide: DataFrame, path: str, name: str = "corpus") -> list[str]:
+    """One result CSV per model: ``path``/<name>.csv, each with header, base, seeds, mean and stdev in
+    this order. The files are written under a temporary folder, a task per model, and put in
+    place by renaming, so a reader sees whole files only; files of the same name are replaced.
+    The driver lists files, one per model."""
+    spark = wide.sparkSession
+    columns = [F.col(slug(t)).alias(t) for t in TRAITS]
+    rows = wide.select(F.col(name).alias("_name"), "ord", "seed", *columns)
+    # A model's rows lie in one task and are sorted there, so partitionBy gives it one file.
+    rows = rows.repartition("_name").sortWithinPartitions("_name", "ord").drop("ord")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    out = fs_path(path)
+    files = out.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs_path(out, f"_writing-{uuid.uuid4().hex}")
+    rows.write.partitionBy("_name").option("header", True).csv(held.toString())
+    made = []
+    for folder in files.globStatus(fs_path(held, "_name=*")):
+        label = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().removeprefix("_name="))
+        parts = files.globStatus(fs_path(folder.getPath(), "part-*"))
+        if len(parts) != 1:
+            raise RuntimeError(f"{len(parts)} files for {label}")
+        target = fs_path(out, f"{label.replace('/', '_')}.csv")
+        files.delete(target, False)
+        files.rename(parts[0].getPath(), target)
+        made.append(target.toString())
+    files.delete(held, True)
+    return sorted(made)
+
+
 def append_log(scores: DataFrame, path: str) -> None:
     """Append-only log of (run, epoch, trait, score)."""
     scores.select("run", "epoch", "trait", "score").write.mode("append").parquet(path)

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,64 @@ def test_report_log_and_json_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).first()["run"] == "r"
 
 
+def test_one_report_file_per_model(spark, tmp_path):
+    names = ["src1", "src2", "a b/c", "ext_pos_essays"]
+    rows = [(c, run, t, k * 100 + j * 10 + s) for k, c in enumerate(names) for run, s in (("557", 4), ("base", 1), ("5904", 2)) for j, t in enumerate(TRAITS)]
+    scores = spark.createDataFrame(rows, "corpus string, run string, trait string, score bigint").repartition(7)
+    wide = runs.wide_report(runs.with_statistics(scores, ["corpus"]), ["corpus"])
+    for _ in range(2):  # a second time replaces the files
+        made = writers.write_reports(wide, str(tmp_path / "out"))
+        assert len(made) == 4 and sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == [
+            "a b_c.csv", "ext_pos_essays.csv", "src1.csv", "src2.csv",
+        ]
+    for k, name in enumerate(names):
+        lines = (tmp_path / "out" / f"{name.replace('/', '_')}.csv").read_text().splitlines()
+        assert lines[0] == "seed," + ",".join(TRAITS)
+        assert [x.split(",")[0] for x in lines[1:]] == ["base", "5904", "557", "mean", "stdev"]
+        assert [float(x.split(",")[2]) for x in lines[1:]] == [k * 100 + 11, k * 100 + 12, k * 100 + 14, k * 100 + 13, 1]
+
+
+def test_batches_that_change_the_number_of_rows(spark):
+    """Every batch is one call, in order, whatever the partitions; a batch may vanish."""
+
+    def halves(batch: pa.Table, least: int) -> pa.Table:
+        total = batch.column("n").to_pylist()
+        return pa.table({"first": total[:1] * (len(total) // least), "size": [len(total)] * (len(total) // least)})
+
+    rows = [("a" if i % 3 else None, i // 10, i, 1000 - i) for i in range(45)]
+    df = spark.createDataFrame(rows, "corpus string, batch bigint, row_no bigint, n bigint")
+    results = []
+    for parts in (1, 6):
+        out = mapping.map_row_batches(df.repartition(parts), halves, "first BIGINT, size BIGINT", ["corpus", "batch"], ["row_no"], {"least": 4})
+        assert out.columns == ["corpus", "batch", "first", "size"]
+        results.append(sorted(map(tuple, out.collect()), key=repr))
+    want = []
+    for key in sorted({r[:2] for r in rows}, key=repr):
+        own = [r for r in rows if r[:2] == key]
+        want += [(*key, own[0][3], len(own))] * (len(own) // 4)
+    assert results == [sorted(want, key=repr)] * 2
+
+
+def test_strict_join(spark):
+    from corpuslens.operators.labels import join_text_scores
+
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "key bigint, text string")
+    whole = [(k, t, 0.5) for k in (1, 2) for t in ("x", "y z")]
+
+    def joined(rows, **how):
+        scores = spark.createDataFrame(rows, "key bigint, trait string, diff double")
+        return sorted(map(tuple, join_text_scores(texts, scores, "key", ["x", "y z"], **how).select("key", "text", "x", "y_z").collect()))
+
+    fail = {"missing_text": "fail", "missing_trait": "fail"}
+    assert joined(whole, **fail) == joined(whole) == [(1, "a", 0.5, 0.5), (2, "b", 0.5, 0.5)]
+    with pytest.raises(Exception, match="score without a text: 3"):
+        joined([*whole, (3, "x", 1.0)], **fail)
+    for rows in (whole[:-1], whole[:2]):  # one trait missing; a text without any
+        with pytest.raises(Exception, match="text without a score: 2"):
+            joined(rows, **fail)
+        assert joined(rows, missing_text="fail")[0] == (1, "a", 0.5, 0.5)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

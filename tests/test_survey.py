@@ -113,9 +113,36 @@ def test_unknown_model_fails(spark):
 def test_nested_json(spark):
     import json
 
-    df = records(spark, [("r", i, i % 5) for i in range(1, 51)]).withColumn("epoch", F.lit(0))
-    row = runs.records_by_epoch(df.drop("mass", "points"), ["run", "epoch"]).first()
-    data = json.loads(row["items"])
-    assert len(data) == 50
-    assert data["7"]["min_score_word"] == ANSWERS[2]
-    assert len(data["7"]["prob"]) == 5
+    df = records(spark, [(run, i, i % 5) for run in "rs" for i in range(1, 51)]).withColumn("epoch", F.lit(0))
+    df = df.unionByName(df.withColumn("epoch", F.lit(10))).drop("mass", "points").withColumn("sentence", F.concat(F.lit("no "), "item"))
+    rows = {r["run"]: json.loads(r["epochs"]) for r in runs.records_by_epoch(df, ["run"]).collect()}
+    assert rows.keys() == {"r", "s"} and all(d.keys() == {"0", "10"} and len(d["10"]) == 50 for d in rows.values())
+    assert rows["r"]["0"]["7"]["min_score_word"] == ANSWERS[2] and len(rows["r"]["0"]["7"]["prob"]) == 5
+    assert rows["s"]["10"]["9"]["sentence"] == "no 9"
+    back = runs.records_from_json(runs.records_by_epoch(df, ["run"]), ["run"], "sentence: string, prob: array<double>, min_score_word: string")
+    columns = ["run", "epoch", "item", "sentence", "prob", "min_score_word"]
+    assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, df.select(columns).collect()))
+
+
+def test_smoothing_is_free_of_scale(spark):
+    rows = [(s, [m * s for m in (3.0, 0.0, 1.0, 0.5, 0.5)]) for s in (1e-15, 1.0, 1e9)] + [(0.0, [0.0] * 5)]
+    out = {r["s"]: r["prob"] for r in survey.answer_probs(spark.createDataFrame(rows, "s double, mass array<double>")).collect()}
+    assert out[0.0] == [0.2] * 5
+    for s in (1e-15, 1.0, 1e9):
+        assert out[s] == pytest.approx([0.6, 2e-10, 0.2, 0.1, 0.1], rel=1e-6, abs=1e-9)
+
+
+def test_a_plugged_in_scorer_takes_the_questionnaire(spark):
+    """An item's rows add up, an item without rows is answered by the first of equal answers."""
+    rows = [("a", i, float(k)) for i in range(1, 50) for k in range(2)] + [("b", 50, 0.0)]
+    df = spark.createDataFrame(rows, "run string, item bigint, x double")
+
+    def scorer(rows):
+        one = F.lit(1.0)
+        return rows.select("run", "item", F.array(F.col("x") * 0, F.col("x") * 0, one, F.col("x") * 0.5, F.col("x") * 0).alias("probs"))
+
+    scores = {(r["run"], r["trait"]): r["score"] for r in survey.assess(df, scorer, "original", ["run"]).collect()}
+    assert len(scores) == 10 and {s for (run, t), s in scores.items() if run == "a" and t != "openness to experience"} == {20}
+    assert scores["a", "openness to experience"] == 22  # item 50 raises it and has five points
+    offsets = {t: 5 * sum(s for i, x, s in form_rows("original") if x == t) + TRAIT_OFFSETS["original"][t] for t in TRAITS}
+    assert {t: s for (run, t), s in scores.items() if run == "b" and t != "openness to experience"} == {t: o for t, o in offsets.items() if t != "openness to experience"}

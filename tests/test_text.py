@@ -7,40 +7,27 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as tx
 from corpuslens.operators import labels, statements
 
-TEXTS = [
-    "",
-    "\n",
-    "one line",
-    "Joey: (to Ross) Hi  there\n\n \t \nMONICA:\tWhat [looks] (x] now (open\nMr. X: go\n(All laugh)\n",
-    "t1\r\nt2\r\nbody\n\n  \nmore text\nlast",
-    "a\n\nb\n",
-    "   　\n x \n",
-]
-
-
-def inked(line):
-    return line.strip() != ""
-
-
-def py_lines(text):
-    return text.replace("\r\n", "\n").replace("\r", "\n").splitlines(keepends=True) if text else []
-
-
-def keepends(text):
-    body = text.replace("\r\n", "\n").replace("\r", "\n")
-    parts = body.split("\n")
-    out = [p + "\n" for p in parts[:-1]]
-    return out + ([parts[-1]] if parts[-1] else [])
-
-
-def script(text):
-    return "\n".join(
-        re.sub(r"([\(\[]).*?([\)\]])", "", " ".join(x.split()[1:])) for x in keepends(text) if x.strip()
-    )
+# text: lines, script, book, news, compact book; each worked by hand
+CLEANED = {
+    "": ([], "", "", "", ""),
+    "one": (["one"], "", "", "one", ""),
+    "A: hi (waves) you\n\n \t\nB:  see   it ": (
+        ["A: hi (waves) you", "", " \t", "B:  see   it "], "hi  you\nsee it", "B:  see   it ", "A: hi (waves) you\n B:  see   it ", "B:  see   it ",
+    ),
+    "T\r\nby X\r\rC1\r\n(all gone]\r\nend\r\n": (
+        ["T", "by X", "", "C1", "(all gone]", "end"], "\nX\n\ngone]\n",
+        "C1\n\n(all gone]\n\nend\n", "T\n by X\n C1\n (all gone]\n end\n", "C1\n(all gone]\nend\n",
+    ),
+    "J: [laughs] no (a] b) c\n": (["J: [laughs] no (a] b) c"], " no  b) c", "", "J: [laughs] no (a] b) c\n", ""),
+    "R: open ( stays\u00a0\n\u2003\nS: x": (
+        ["R: open ( stays\u00a0", "\u2003", "S: x"], "open ( stays\nx", "S: x", "R: open ( stays\u00a0\n S: x", "S: x",
+    ),
+    "a\nb\nc\n\nd": (["a", "b", "c", "", "d"], "\n\n\n", "c\n\nd", "a\n b\n c\n d", "c\nd"),
+}
 
 
 def test_cleaners(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, text string")
+    df = spark.createDataFrame(list(enumerate(CLEANED)), "i int, text string")
     text = F.col("text")
     rows = df.select(
         "i",
@@ -51,13 +38,7 @@ def test_cleaners(spark):
         tx.clean_book(text, compact=True).alias("compact"),
     ).collect()
     for r in rows:
-        t = TEXTS[r["i"]]
-        kept = keepends(t)
-        assert r["lines"] == [x.rstrip("\n") for x in kept]
-        assert r["script"] == script(t)
-        assert r["book"] == "\n".join(x for x in kept[2:] if inked(x))
-        assert r["compact"] == "".join(x for x in kept[2:] if inked(x))
-        assert r["news"] == " ".join(x for x in kept if inked(x))
+        assert tuple(r)[1:] == list(CLEANED.values())[r["i"]], list(CLEANED)[r["i"]]
 
 
 def test_sentences(spark):
