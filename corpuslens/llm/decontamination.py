@@ -1,23 +1,31 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. The seeds of a test item are all its runs of three words. Copies with words changed keep
-   few of them and nobody knows which, so none is left out, however common it is.
-2. A document that holds a seed gets a window around it, as wide as the item and a margin.
-   Windows of one item that touch are one window. A window that holds too few of the item's
-   words for the score is not aligned: no alignment matches more words than those.
-3. Words of item and window are locally aligned (match 2, other word or gap -1). The score
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. The seeds of a test item are its rare runs of three words: those in at most ``RARE_TIMES`` as many
+   documents (plus ``RARE_DOCS``) as its typical run that occurs at all, and in few items. Being
+   relative, the rule leaves seeds to an item that leaked into most documents.
+2. Copies with words changed may keep only common runs. They are found by their words: an alignment
+   that scores enough matches so many words of the item that some number of its rarer three
+   quarters must be among them (``needed``); a document that holds those is looked at too. So
+   no run shared by many texts and items multiplies them, and no copy is lost by being common.
+3. A document gets a window around each seed, as wide as the item and a margin. Windows of one item
+   that touch are one window. A window that holds too few of the item's words for the score
+   is not aligned: no alignment matches more words than those.
+4. Words of item and window are locally aligned (match 2, other word or gap -1). The score
    is the alignment's share of a perfect one, so copies with words changed, dropped or put
    in score high and chance hits low.
 
 The benchmark is taken in blocks of a fixed number of bytes: each block is small enough to
-be sent to every task, and further blocks cost further passes. Documents are only read.
+be sent to every task, and further blocks cost further passes. A block takes two passes: one
+counts the documents that hold its runs and words. Documents are only read.
 
 Missing or empty texts, and items without words, match nothing. An item of fewer than eight
-words must be there as a whole. Repeated rows are found each.
+words must be there as a whole. Repeated rows are found each. Of equal alignments the one that
+ends first in item and text is reported.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,55 +33,145 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .wordhash import ngrams, slices, words
 
 SEED_WORDS = 3
+#: A run is rare beside its item's typical one, and in at most so many items.
+RARE_TIMES, RARE_DOCS, SHARED_ITEMS = 20, 20, 50
 MATCH, OTHER, GAP = 2, -1, -1
 SCORE = 0.45
 LEAST_WORDS = 8
 BLOCK_BYTES = 8 << 20
 
 
-class Items(NamedTuple):
-    """A block of test items. ``grams`` are sorted; each row of the other two arrays that
-    ``bounds`` gives for a gram is an item and a place in it."""
+class Index(NamedTuple):
+    """Sorted hashes; each row of the other two arrays that ``bounds`` gives for a hash is an item
+    and a place in it."""
 
-    ids: list
-    words: list[np.ndarray]
-    grams: np.ndarray
+    keys: np.ndarray
     bounds: np.ndarray
     item: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
 
 
-def _sieve(grams: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << 20, bool)
-    table[grams & np.uint64(0xFFFFF)] = True
-    return table
+class Items(NamedTuple):
+    """A block of test items: their words, the index of their runs and that of their words, and how
+    many of an item's indexed words a document must hold."""
+
+    ids: list
+    words: list[np.ndarray]
+    runs: Index
+    single: Index
+    needed: np.ndarray
+
+
+def index(keys: np.ndarray, item: np.ndarray, place: np.ndarray) -> Index:
+    order = np.lexsort((place, item, keys))
+    keys, item, place = keys[order], item[order], place[order]
+    unique, start = np.unique(keys, return_index=True)
+    sieve = np.zeros(1 << 20, bool)
+    sieve[unique & np.uint64(0xFFFFF)] = True
+    return Index(unique, np.append(start, len(keys)), item, place, sieve)
+
+
+def least_words(n: int, least: float = SCORE) -> int:
+    """Words of an item of ``n`` that an alignment has to match."""
+    return max(int(np.ceil(least * n - 1e-9)), min(LEAST_WORDS, n))
 
 
 def prepare(ids: list, texts: list[str | None]) -> Items:
     found = words(pa.array(texts, pa.string()))
     gram, row, first = ngrams(found.hashes, found.bounds, SEED_WORDS)
-    order = np.lexsort((first, row, gram))
-    gram, row, first = gram[order], row[order], first[order]
-    unique, start = np.unique(gram, return_index=True)
     own = [found.hashes[a:b] for a, b in zip(found.bounds, found.bounds[1:])]
-    return Items(ids, own, unique, np.append(start, len(gram)), row, first - found.bounds[row], _sieve(unique))
+    item = np.repeat(np.arange(len(own)), np.diff(found.bounds))
+    place = np.arange(len(item)) - found.bounds[item]
+    return Items(ids, own, index(gram, row, first - found.bounds[row]), index(found.hashes, item, place), np.zeros(len(own), np.int64))
 
 
-def lookup(items: Items, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which elements of ``grams`` are seeds, and which."""
-    if not len(items.grams):
+def lookup(held: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which elements of ``hashes`` are in the index, and where."""
+    if not len(held.keys):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    maybe = np.flatnonzero(items.sieve[grams & np.uint64(0xFFFFF)])
-    at = np.minimum(np.searchsorted(items.grams, grams[maybe]), len(items.grams) - 1)
-    hit = items.grams[at] == grams[maybe]
+    maybe = np.flatnonzero(held.sieve[hashes & np.uint64(0xFFFFF)])
+    at = np.minimum(np.searchsorted(held.keys, hashes[maybe]), len(held.keys) - 1)
+    hit = held.keys[at] == hashes[maybe]
     return maybe[hit], at[hit]
 
 
+def postings(held: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element of ``hashes``, item, place in the item) of all hits."""
+    which, at = lookup(held, hashes)
+    n = np.diff(held.bounds)[at]
+    entry = np.repeat(held.bounds[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(which, n), held.item[entry], held.place[entry]
+
+
+def document_frequencies(texts: DataFrame, items: Items) -> list[np.ndarray]:
+    """In how many documents each run and each word of the block occurs."""
+    held = texts.sparkSession.sparkContext.broadcast(tuple(items))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Items(*held.value)
+        totals = [np.zeros(len(x.keys), np.int64) for x in (own.runs, own.single)]
+        for batch in batches:
+            for _, part in slices(batch.column(0)):
+                found = words(part)
+                gram, row, _ = ngrams(found.hashes, found.bounds, SEED_WORDS)
+                rows = np.repeat(np.arange(len(part)), np.diff(found.bounds))
+                for held_index, total, hashes, of in ((own.runs, totals[0], gram, row), (own.single, totals[1], found.hashes, rows)):
+                    which, at = lookup(held_index, hashes)
+                    pairs = np.unique(of[which] * len(held_index.keys) + at)
+                    np.add.at(total, pairs % max(1, len(held_index.keys)), 1)
+        for kind, total in enumerate(totals):
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind)), pa.array(some), pa.array(total[some])], ["kind", "g", "n"])
+
+    sums = texts.mapInArrow(count, "kind long, g long, n long").groupBy("kind", "g").agg(F.sum("n").alias("n")).toPandas()
+    out = []
+    for kind, held_index in enumerate((items.runs, items.single)):
+        own = sums[sums["kind"] == kind]
+        out.append(np.zeros(len(held_index.keys), np.int64))
+        out[-1][own["g"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+    return out
+
+
+def choose_seeds(items: Items, run_docs: np.ndarray, word_docs: np.ndarray, least: float = SCORE) -> Items:
+    """Leave rare runs and the rarer words of each item in the indexes."""
+
+    def spread(held: Index, of_key: np.ndarray) -> np.ndarray:
+        return np.repeat(of_key, np.diff(held.bounds))
+
+    def items_with(held: Index) -> np.ndarray:
+        first = np.ones(len(held.item), bool)
+        key = spread(held, np.arange(len(held.keys)))
+        first[1:] = (held.item[1:] != held.item[:-1]) | (key[1:] != key[:-1])
+        return np.bincount(key[first], minlength=len(held.keys))
+
+    runs, single = items.runs, items.single
+    docs = spread(runs, run_docs)
+    occurs = docs > 0
+    typical = np.ones(len(items.ids))
+    by = np.lexsort((docs[occurs], runs.item[occurs]))
+    own, sorted_docs = runs.item[occurs][by], docs[occurs][by]
+    ids, start, n = np.unique(own, return_index=True, return_counts=True)
+    typical[ids] = sorted_docs[start + (n - 1) // 2]
+    keep = occurs & (docs <= RARE_TIMES * typical[runs.item] + RARE_DOCS) & (spread(runs, items_with(runs)) <= SHARED_ITEMS)
+    rare = index(spread(runs, runs.keys)[keep], runs.item[keep], runs.place[keep])
+
+    lengths = np.array([len(w) for w in items.words], np.int64)
+    rarer = -(-lengths * 3 // 4)
+    by = np.lexsort((single.place, spread(single, items_with(single)), spread(single, word_docs), single.item))
+    starts = np.cumsum(lengths) - lengths
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by)) - np.repeat(starts, lengths)
+    keep = (rank < rarer[single.item]) & (spread(single, word_docs) > 0)
+    needed = np.array([least_words(n, least) for n in lengths.tolist()], np.int64) - (lengths - rarer)
+    return items._replace(runs=rare, single=index(spread(single, single.keys)[keep], single.item[keep], single.place[keep]), needed=np.maximum(needed, 1))
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: (score, words of the item, words of the window up to its end).
 
@@ -111,13 +209,21 @@ def leaks_in(column: pa.Array, items: Items, least: float = SCORE) -> list[tuple
     """(row, item, score, first word, end word) of the best alignment per row and item."""
     found = words(column)
     gram, row, first = ngrams(found.hashes, found.bounds, SEED_WORDS)
-    which, seed = lookup(items, gram)
-    n = np.diff(items.bounds)[seed]
-    hit = np.repeat(which, n)
-    at = np.repeat(items.bounds[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item, begin = items.item[at], first[hit] - found.bounds[row[hit]] - items.place[at]
-    order = np.lexsort((begin, item, row[hit]))
-    rows, item, begin = row[hit][order], item[order], begin[order]
+    hit, item, place = postings(items.runs, gram)
+    by_run = row[hit], item, first[hit] - found.bounds[row[hit]] - place
+    hit, item, place = postings(items.single, found.hashes)
+    own_row = np.searchsorted(found.bounds, hit, "right") - 1
+    # Which places of an item a text holds: equal words of the item count as often as they stand in it.
+    longest = max(map(len, items.words), default=1) or 1
+    pair = own_row * max(1, len(items.ids)) + item
+    distinct = np.unique(pair * longest + place) // longest
+    pairs, count = np.unique(distinct, return_counts=True)
+    enough_of = pairs[count >= items.needed[pairs % max(1, len(items.ids))]]
+    looked_at = np.isin(pair, enough_of)
+    by_word = own_row[looked_at], item[looked_at], (hit - found.bounds[own_row] - place)[looked_at]
+    rows, item, begin = (np.concatenate(x) for x in zip(by_run, by_word))
+    order = np.lexsort((begin, item, rows))
+    rows, item, begin = rows[order], item[order], begin[order]
     cuts = np.flatnonzero((np.diff(rows) != 0) | (np.diff(item) != 0)) + 1
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(rows)]):
@@ -162,6 +268,7 @@ def _leaks(
     for k in range(blocks):
         chosen = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = prepare([r["item_id"] for r in chosen], [r["text"] for r in chosen])
+        items = choose_seeds(items, *document_frequencies(docs.select(body.alias("text")), items), least)
         held = spark.sparkContext.broadcast(tuple(items))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -180,7 +287,7 @@ def _leaks(
                             ["doc_id", "t", "item_id", "score", "first_word", "end_word"],
                         )
 
-        batch_type = _arrow_type(item_kind)
+        batch_type = to_arrow_type(benchmark.schema[item_id].dataType)
         some = docs.select(doc_id, F.xxhash64(body).alias("t"), body.alias("text")).mapInArrow(
             search, f"doc_id {kind}, t long, item_id {item_kind}, score double, first_word long, end_word long"
         )
@@ -188,13 +295,10 @@ def _leaks(
     return found.withColumnRenamed("doc_id", doc_id).withColumnRenamed("item_id", item_id)
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SCORE) -> DataFrame:
     """The rows of ``docs`` whose own text holds no test item."""
-    leaked = _leaks(docs, benchmark, doc_id, text, "item_id", "text", least).select(F.col(doc_id).alias("_id"), F.col("t").alias("_t")).distinct()
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t"))
-    return hashed.join(leaked, same, "left_anti").drop("_h")
+    # A drawn name, so that no column of docs can have it.
+    own, row = f"k{uuid.uuid4().hex}", f"r{uuid.uuid4().hex}"
+    leaked = _leaks(docs, benchmark, doc_id, text, "item_id", "text", least).select(F.struct(F.col(doc_id).alias("a"), "t").alias(own)).distinct()
+    known = F.struct(F.col(doc_id).alias("a"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("t"))
+    return docs.withColumn(row, known).join(leaked, F.col(row).eqNullSafe(F.col(own)), "left_anti").drop(row)

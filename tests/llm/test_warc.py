@@ -34,7 +34,7 @@ def test_messy_rows(spark):
                           (5, "t", "y"), (5, "u", "z"), (6, "u", "\r\n\r\nWARC/1.1\r\n" * 2000)])
     kinds = sorted((str(r[0]), r[1], r[2], r[3]) for r in rows)
     assert kinds == [
-        ("1", "revisit", 2, 0), ("2", "response", None, 0), ("5", "response", None, 1), ("5", "response", None, 1),
+        ("1", "revisit", 2, 0), ("2", "response", None, 0), *[("5", "response", None, 1)] * 4,
         ("6", "response", None, 28000), ("None", "response", None, 1), ("None", "revisit", 2, 0),
     ]
     assert run(spark, [])[0] == []
