@@ -3,10 +3,9 @@
 1. The seeds of a test item are its rare runs of three words: those in at most ``RARE_TIMES`` as many
    documents (plus ``RARE_DOCS``) as its typical run that occurs at all, and in few items. Being
    relative, the rule leaves seeds to an item that leaked into most documents.
-2. Copies with words changed may keep only common runs. They are found by their words: an alignment
-   that scores enough matches so many words of the item that some number of its rarer three
-   quarters must be among them (``needed``); a document that holds those is looked at too. So
-   no run shared by many texts and items multiplies them, and no copy is lost by being common.
+2. Copies with words changed may keep only common runs. A document that shares such a run is looked
+   at only if it holds as many of the item's words as an alignment that scores enough has to
+   match, which loses nothing and is counted for all pairs at once on sorted hashes.
 3. A document gets a window around each seed, as wide as the item and a margin. Windows of one item
    that touch are one window. A window that holds too few of the item's words for the score
    is not aligned: no alignment matches more words than those.
@@ -16,7 +15,7 @@
 
 The benchmark is taken in blocks of a fixed number of bytes: each block is small enough to
 be sent to every task, and further blocks cost further passes. A block takes two passes: one
-counts the documents that hold its runs and words. Documents are only read.
+counts the documents that hold its runs. Documents are only read.
 
 Missing or empty texts, and items without words, match nothing. An item of fewer than eight
 words must be there as a whole. Repeated rows are found each. Of equal alignments the one that
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .wordhash import ngrams, slices, words
+from .wordhash import Words, mix, ngrams, slices, words
 
 SEED_WORDS = 3
 #: A run is rare beside its item's typical one, and in at most so many items.
@@ -58,14 +57,12 @@ class Index(NamedTuple):
 
 
 class Items(NamedTuple):
-    """A block of test items: their words, the index of their runs and that of their words, and how
-    many of an item's indexed words a document must hold."""
+    """A block of test items: their words and the indexes of their rare and of their common runs."""
 
     ids: list
     words: list[np.ndarray]
-    runs: Index
-    single: Index
-    needed: np.ndarray
+    rare: Index
+    common: Index
 
 
 def index(keys: np.ndarray, item: np.ndarray, place: np.ndarray) -> Index:
@@ -83,12 +80,11 @@ def least_words(n: int, least: float = SCORE) -> int:
 
 
 def prepare(ids: list, texts: list[str | None]) -> Items:
+    """All runs count as rare until documents are counted."""
     found = words(pa.array(texts, pa.string()))
     gram, row, first = ngrams(found.hashes, found.bounds, SEED_WORDS)
     own = [found.hashes[a:b] for a, b in zip(found.bounds, found.bounds[1:])]
-    item = np.repeat(np.arange(len(own)), np.diff(found.bounds))
-    place = np.arange(len(item)) - found.bounds[item]
-    return Items(ids, own, index(gram, row, first - found.bounds[row]), index(found.hashes, item, place), np.zeros(len(own), np.int64))
+    return Items(ids, own, index(gram, row, first - found.bounds[row]), index(gram[:0], row[:0], row[:0]))
 
 
 def lookup(held: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,75 +97,77 @@ def lookup(held: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return maybe[hit], at[hit]
 
 
-def postings(held: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(element of ``hashes``, item, place in the item) of all hits."""
-    which, at = lookup(held, hashes)
+def postings(held: Index, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hit, item, place in the item) of all entries of the hits of ``lookup``."""
     n = np.diff(held.bounds)[at]
     entry = np.repeat(held.bounds[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     return np.repeat(which, n), held.item[entry], held.place[entry]
 
 
-def document_frequencies(texts: DataFrame, items: Items) -> list[np.ndarray]:
-    """In how many documents each run and each word of the block occurs."""
+def document_frequencies(texts: DataFrame, items: Items) -> np.ndarray:
+    """In how many documents each run of the block occurs."""
     held = texts.sparkSession.sparkContext.broadcast(tuple(items))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Items(*held.value)
-        totals = [np.zeros(len(x.keys), np.int64) for x in (own.runs, own.single)]
+        own = Items(*held.value).rare
+        total = np.zeros(len(own.keys), np.int64)
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 found = words(part)
                 gram, row, _ = ngrams(found.hashes, found.bounds, SEED_WORDS)
-                rows = np.repeat(np.arange(len(part)), np.diff(found.bounds))
-                for held_index, total, hashes, of in ((own.runs, totals[0], gram, row), (own.single, totals[1], found.hashes, rows)):
-                    which, at = lookup(held_index, hashes)
-                    pairs = np.unique(of[which] * len(held_index.keys) + at)
-                    np.add.at(total, pairs % max(1, len(held_index.keys)), 1)
-        for kind, total in enumerate(totals):
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind)), pa.array(some), pa.array(total[some])], ["kind", "g", "n"])
-
-    sums = texts.mapInArrow(count, "kind long, g long, n long").groupBy("kind", "g").agg(F.sum("n").alias("n")).toPandas()
-    out = []
-    for kind, held_index in enumerate((items.runs, items.single)):
-        own = sums[sums["kind"] == kind]
-        out.append(np.zeros(len(held_index.keys), np.int64))
-        out[-1][own["g"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+                which, at = lookup(own, gram)
+                pairs = np.unique(row[which] * len(own.keys) + at)
+                np.add.at(total, pairs % max(1, len(own.keys)), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["g", "n"])
+
+    sums = texts.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(items.rare.keys), np.int64)
+    out[sums["g"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     return out
 
 
-def choose_seeds(items: Items, run_docs: np.ndarray, word_docs: np.ndarray, least: float = SCORE) -> Items:
-    """Leave rare runs and the rarer words of each item in the indexes."""
-
-    def spread(held: Index, of_key: np.ndarray) -> np.ndarray:
-        return np.repeat(of_key, np.diff(held.bounds))
-
-    def items_with(held: Index) -> np.ndarray:
-        first = np.ones(len(held.item), bool)
-        key = spread(held, np.arange(len(held.keys)))
-        first[1:] = (held.item[1:] != held.item[:-1]) | (key[1:] != key[:-1])
-        return np.bincount(key[first], minlength=len(held.keys))
-
-    runs, single = items.runs, items.single
-    docs = spread(runs, run_docs)
+def choose_seeds(items: Items, run_docs: np.ndarray) -> Items:
+    """Tell rare runs from common ones; runs that no document holds are dropped."""
+    runs = items.rare
+    of_key = np.repeat(np.arange(len(runs.keys)), np.diff(runs.bounds))
+    docs = run_docs[of_key]
     occurs = docs > 0
     typical = np.ones(len(items.ids))
     by = np.lexsort((docs[occurs], runs.item[occurs]))
     own, sorted_docs = runs.item[occurs][by], docs[occurs][by]
     ids, start, n = np.unique(own, return_index=True, return_counts=True)
     typical[ids] = sorted_docs[start + (n - 1) // 2]
-    keep = occurs & (docs <= RARE_TIMES * typical[runs.item] + RARE_DOCS) & (spread(runs, items_with(runs)) <= SHARED_ITEMS)
-    rare = index(spread(runs, runs.keys)[keep], runs.item[keep], runs.place[keep])
-
+    new = np.ones(len(of_key), bool)
+    new[1:] = (runs.item[1:] != runs.item[:-1]) | (of_key[1:] != of_key[:-1])
+    n_items = np.bincount(of_key[new], minlength=len(runs.keys))
+    rare = (docs <= RARE_TIMES * typical[runs.item] + RARE_DOCS) & (n_items[of_key] <= SHARED_ITEMS)
+    parts = [index(runs.keys[of_key][keep], runs.item[keep], runs.place[keep]) for keep in (occurs & rare, occurs & ~rare)]
+    return items._replace(rare=parts[0], common=parts[1])
+
+
+def holding_enough(pairs: np.ndarray, items: Items, found: Words, least: float) -> np.ndarray:
+    """Those of the sorted pairs (row * items + item) whose text holds as many of the item's words as
+    an alignment has to match."""
+    n_items = len(items.ids)
+    row_of = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
+    held = np.unique(mix(found.hashes ^ mix(row_of.astype(np.uint64) + np.uint64(1))))
+    flat = np.concatenate([*items.words, np.zeros(0, np.uint64)])
     lengths = np.array([len(w) for w in items.words], np.int64)
-    rarer = -(-lengths * 3 // 4)
-    by = np.lexsort((single.place, spread(single, items_with(single)), spread(single, word_docs), single.item))
     starts = np.cumsum(lengths) - lengths
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by)) - np.repeat(starts, lengths)
-    keep = (rank < rarer[single.item]) & (spread(single, word_docs) > 0)
-    needed = np.array([least_words(n, least) for n in lengths.tolist()], np.int64) - (lengths - rarer)
-    return items._replace(runs=rare, single=index(spread(single, single.keys)[keep], single.item[keep], single.place[keep]), needed=np.maximum(needed, 1))
+    least_of = np.array([least_words(n, least) for n in lengths.tolist()], np.int64)
+    kept = []
+    for low in range(0, len(pairs), 20_000):
+        part = pairs[low : low + 20_000]
+        row, item = part // n_items, part % n_items
+        n = lengths[item]
+        ends = np.cumsum(n)
+        place = np.repeat(starts[item] - (ends - n), n) + np.arange(ends[-1])
+        key = mix(flat[place] ^ mix(np.repeat(row, n).astype(np.uint64) + np.uint64(1)))
+        at = np.minimum(np.searchsorted(held, key), len(held) - 1)
+        sums = np.concatenate([[0], np.cumsum(held[at] == key)])
+        kept.append(part[sums[ends] - sums[ends - n] >= least_of[item]])
+    return np.concatenate([*kept, pairs[:0]])
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -209,19 +207,25 @@ def leaks_in(column: pa.Array, items: Items, least: float = SCORE) -> list[tuple
     """(row, item, score, first word, end word) of the best alignment per row and item."""
     found = words(column)
     gram, row, first = ngrams(found.hashes, found.bounds, SEED_WORDS)
-    hit, item, place = postings(items.runs, gram)
-    by_run = row[hit], item, first[hit] - found.bounds[row[hit]] - place
-    hit, item, place = postings(items.single, found.hashes)
-    own_row = np.searchsorted(found.bounds, hit, "right") - 1
-    # Which places of an item a text holds: equal words of the item count as often as they stand in it.
-    longest = max(map(len, items.words), default=1) or 1
-    pair = own_row * max(1, len(items.ids)) + item
-    distinct = np.unique(pair * longest + place) // longest
-    pairs, count = np.unique(distinct, return_counts=True)
-    enough_of = pairs[count >= items.needed[pairs % max(1, len(items.ids))]]
-    looked_at = np.isin(pair, enough_of)
-    by_word = own_row[looked_at], item[looked_at], (hit - found.bounds[own_row] - place)[looked_at]
-    rows, item, begin = (np.concatenate(x) for x in zip(by_run, by_word))
+    n_items = max(1, len(items.ids))
+
+    def hits(held: Index, which: np.ndarray, at: np.ndarray):
+        hit, item, place = postings(held, which, at)
+        return row[hit], item, first[hit] - found.bounds[row[hit]] - place
+
+    rows, item, begin = hits(items.rare, *lookup(items.rare, gram))
+    which, at = lookup(items.common, gram)
+    if len(which):
+        # Every run of a text once: only pairs that can score are followed to all their places.
+        _, once = np.unique(row[which] * len(items.common.keys) + at, return_index=True)
+        hit, other, _ = postings(items.common, which[once], at[once])
+        rare_pairs, common_pairs = np.unique(rows * n_items + item), np.unique(row[hit] * n_items + other)
+        able = holding_enough(np.setdiff1d(common_pairs, rare_pairs, assume_unique=True), items, found, least)
+        able = np.concatenate([able, np.intersect1d(common_pairs, rare_pairs, assume_unique=True)])
+        some = np.isin(row[which], able // n_items)
+        more = hits(items.common, which[some], at[some])
+        keep = np.isin(more[0] * n_items + more[1], able)
+        rows, item, begin = (np.concatenate([a, b[keep]]) for a, b in zip((rows, item, begin), more))
     order = np.lexsort((begin, item, rows))
     rows, item, begin = rows[order], item[order], begin[order]
     cuts = np.flatnonzero((np.diff(rows) != 0) | (np.diff(item) != 0)) + 1
@@ -268,7 +272,7 @@ def _leaks(
     for k in range(blocks):
         chosen = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = prepare([r["item_id"] for r in chosen], [r["text"] for r in chosen])
-        items = choose_seeds(items, *document_frequencies(docs.select(body.alias("text")), items), least)
+        items = choose_seeds(items, document_frequencies(docs.select(body.alias("text")), items))
         held = spark.sparkContext.broadcast(tuple(items))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
