@@ -19,6 +19,8 @@ keeps a template only if no other document has it. Other columns pass through.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +121,16 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", te
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines of recurring templates cut from the text, and ``n_dropped_lines``."""
     scratch = Scratch(docs.sparkSession)
+    # Drawn names, so that no column of docs can have them.
+    own, row, drop = (f"{c}{uuid.uuid4().hex}" for c in "krd")
     cut = scratch.stage(repeated_lines(docs, scratch, doc_id, text), "cut").select(
-        F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("drop").alias("_drop")
+        F.struct(F.col("doc_id").alias("a"), "t").alias(own), F.col("drop").alias(drop)
     )
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = docs.withColumn("_h", F.xxhash64(body)).join(
-        cut, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left"
-    )
-    left = F.array_join(F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains("_drop", i)), "\n")
+    known = F.struct(F.col(doc_id).alias("a"), F.xxhash64(body).alias("t"))
+    joined = docs.withColumn(row, known).join(cut, F.col(row).eqNullSafe(F.col(own)), "left")
+    left = F.array_join(F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains(drop, i)), "\n")
     return joined.select(
-        *[F.when(F.col("_drop").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped_lines"),
+        *[F.when(F.col(drop).isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns],
+        F.coalesce(F.size(drop), F.lit(0)).alias("n_dropped_lines"),
     )

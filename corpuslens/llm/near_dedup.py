@@ -26,6 +26,7 @@ all its doc_ids are).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -438,14 +439,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     A row is known by its doc_id and its text, so unlike texts stay also where they share a
     doc_id or have none. Of rows that repeat both one stays."""
     signed, node_class = _classes(docs, doc_id, text, threshold)
-    kept = node_class.select("keeper.doc_id", "keeper.t").distinct()
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
-    rows = signed.groupBy("doc_id", "t").count()
-    named = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("_id", "_t", "count")
-    hashed = docs.withColumn("_h", F.xxhash64(_text_column(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t"))
-    once = hashed.join(named.filter("count = 1"), same, "left_semi").drop("_h")
+    kept = node_class.select(F.struct(F.col("keeper.doc_id").alias("a"), "keeper.t").alias("k")).distinct()
+    rows = signed.groupBy(F.struct(F.col("doc_id").alias("a"), "t").alias("r")).count()
+    # Drawn names, so that no column of docs can have them.
+    own, row = f"k{uuid.uuid4().hex}", f"r{uuid.uuid4().hex}"
+    named = rows.join(kept, F.col("r").eqNullSafe(F.col("k"))).select(F.col("k").alias(own), "count")
+    known = docs.withColumn(row, F.struct(F.col(doc_id).alias("a"), F.xxhash64(_text_column(text)).alias("t")))
+    same = F.col(row).eqNullSafe(F.col(own))
+    once = known.join(named.filter("count = 1"), same, "left_semi").drop(row)
     repeated = named.filter("count > 1")
     if repeated.isEmpty():
         return once
-    return once.unionByName(hashed.join(repeated, same, "left_semi").dropDuplicates([doc_id, "_h"]).drop("_h"))
+    return once.unionByName(known.join(repeated, same, "left_semi").dropDuplicates([row]).drop(row))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t long, form string, score double, offset int, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t long, form string, score double, offset int, h long, _id long, _t string, _h int, _drop string, item_id long, k int"
 TEXTS = [
     (1, None), (2, ""), (3, "   \n\n \t "), (4, "one"), (5, "Ünï çödé 漢字 😀 text of a few words here"),
     (6, "same words in this row\nand a second line of it"), (6, "same words in this row\nand a second line of it"),
@@ -13,7 +13,7 @@ TEXTS = [
 
 
 def messy(spark):
-    rows = [(i, t, None, None, None, 1, "f", 0.5, 3, None) for i, t in TEXTS]
+    rows = [(i, t, None, None, None, 1, "f", 0.5, 3, None, 1, None, 2, "d", 4, None) for i, t in TEXTS]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
