@@ -77,13 +77,14 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Pieces:
-    """Ids of chunks met before: sorted hashes and where the ids of each lie."""
+    """Ids of chunks met before: sorted hashes and where the ids of each lie. Its size is bounded;
+    chunks that come up when it is full are encoded in each slice anew."""
 
-    LIMIT = 2_000_000
+    LIMIT_BYTES = 24 << 20
 
     def __init__(self, sizes: np.ndarray):
         self.sizes = sizes
-        self.hashes, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, "<u4")
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +95,14 @@ class Pieces:
 
     def add(self, hashes: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         """``hashes`` are new."""
-        if len(self.hashes) >= self.LIMIT:
+        if not len(hashes) or 16 * (len(self.hashes) + len(hashes)) + 4 * (len(self.ids) + len(ids)) > self.LIMIT_BYTES:
             return
-        start = len(self.ids) + np.cumsum(count) - count
-        hashes = np.concatenate([self.hashes, hashes])
-        by = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[by]
-        self.start, self.count = np.concatenate([self.start, start])[by], np.concatenate([self.count, count])[by]
+        by = np.argsort(hashes)
+        start = (len(self.ids) + np.cumsum(count) - count)[by]
+        at = np.searchsorted(self.hashes, hashes[by])
+        self.hashes = np.insert(self.hashes, at, hashes[by])
+        self.start = np.insert(self.start, at, start.astype(np.int32))
+        self.count = np.insert(self.count, at, count[by].astype(np.int32))
         self.ids = np.concatenate([self.ids, ids])
 
 
@@ -171,7 +173,7 @@ def encode_by_chunks(column: pa.Array, tokenizer, known: Pieces) -> tuple[np.nda
 def encoded(column: pa.Array, path: str, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of every text of a column; missing ones are empty. ``end_id`` is appended.
 
-    Whole texts are encoded, a slice of some MB of them at a time.
+    Whole texts are encoded, a slice of about 1 MB of them at a time.
     """
     tokenizer = load(path)
     held = worker_cache()
@@ -179,7 +181,7 @@ def encoded(column: pa.Array, path: str, end_id: int | None = None) -> Iterator[
         held["cut", path] = Pieces(id_bytes(tokenizer)) if splits_at_spaces(tokenizer) else None
     known = held["cut", path]
     tail = np.array([] if end_id is None else [end_id], "<u4")
-    for first, part in slices(column, 8 << 20 if known is not None else 1 << 20):
+    for first, part in slices(column, 1 << 20):
         if known is not None:
             ids, bounds = encode_by_chunks(part, tokenizer, known)
             for i in range(len(part)):
