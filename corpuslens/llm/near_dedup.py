@@ -9,12 +9,17 @@
    four samples are the bucket keys. Two texts of similarity 0.8 share a bucket with
    probability 1 - (1 - 0.8^4)^14 = 0.9994.
 4. In each bucket all members are compared with its first and last one. What that leaves in
-   different components of a bucket is compared pair by pair, or, where this is more than
-   a few pairs per member, with new leaders (twice as many each turn) until it is not. So no pair of one bucket that
-   could join two classes is left out, and no bucket is capped. Pair by pair, members outside
-   a bucket's largest component are joined with the bucket in salted parts, so at most twice
-   the pairs that lie in different components are formed. The similarity is at most
-   the ratio of the two total weights, so pairs with too low a ratio need no text.
+   different components of a bucket is compared pair by pair, members outside a bucket's
+   largest component with the bucket in salted parts, so at most twice the pairs that lie in
+   different components are formed. The similarity is at most the ratio of the two total
+   weights, so pairs with too low a ratio need no text.
+   Where this is more than a few pairs per member, three steps come before it. The member
+   that was similar to most of what it met, as the original of many edited copies is, becomes
+   a leader too. Then the weight of the shingles that a node shares with any other node left
+   bounds its similarity to every one of them: copies with many edits of their own can have
+   no partner, and pairs are formed only between weights that the bounds allow. If that still
+   leaves more, new leaders are taken (twice as many each turn) until it does not. So no pair
+   of one bucket that could join two classes is left out, and no bucket is capped.
 5. Pairs are verified by their exact weighted Jaccard similarity; classes are the connected
    components of the pairs at or above the threshold.
 
@@ -26,6 +31,7 @@ all its doc_ids are).
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +59,10 @@ COUNT_BLOCK = 4_000_000
 FILTER_WORDS = 1 << 21
 #: Pairs of one bucket that are formed together; a bucket of more is dealt out in parts.
 PART_PAIRS = 100_000
+#: Weight cells from one weight to the least that is similar enough; pairs are formed cell by cell.
+CELLS = 4
+#: Pairs formed within the bounds, for each pair that may be compared; most fail a bound of their own.
+FORMED = 16
 
 
 def _text_column(text: str) -> Column:
@@ -347,6 +357,96 @@ def pairs_apart(placed: DataFrame) -> DataFrame:
     return few.join(every, ["bucket", "salt"]).select("x", "y")
 
 
+def shared_weights(nodes: DataFrame, texts: DataFrame, frequent) -> DataFrame:
+    """(fp, shared): what the shingles weigh that a node has in common with any other of ``nodes``.
+
+    Shingles of one node are all that is left after the first aggregation, so frequent ones,
+    counted where they are read, gather nowhere and nothing is joined with them.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in slices(batch.column(1)):
+                _, (gram, rows, counts, bounds) = shingle_counts(part)
+                at = pa.array(bounds.astype(np.int32))
+                hashes = pa.ListArray.from_arrays(at, pa.array(gram.view(np.int64)))
+                weight = pa.ListArray.from_arrays(at, pa.array(weights(gram, counts, held.value)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), hashes, weight], ["f", "h", "w"])
+
+    f = F.xxhash64("fp").alias("f")
+    own = texts.join(nodes.select("fp"), "fp").select(f, "text").mapInArrow(weigh, "f long, h array<long>, w array<double>")
+    each = own.select("f", F.explode(F.arrays_zip("h", "w")).alias("s")).select("f", "s.h", "s.w")
+    single = each.groupBy("h").agg(F.min("f").alias("f"), F.max("f").alias("last"), F.max("w").alias("w")).filter("f = last")
+    alone = single.groupBy("f").agg(F.sum("w").alias("alone"))
+    return nodes.withColumn("f", f).join(alone, "f", "left").select("fp", (F.col("w") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+
+
+def _weight_bounds(threshold: float) -> tuple[Column, Column]:
+    """The least and the largest weight of a partner: of weights v and w with a common part of
+    at most s, the similarity is at most v / w, w / v and s / (v + w - s)."""
+    slack = 1e-6
+    return F.col("w") * (threshold - slack), F.col("shared") * (1 + 1 / (threshold - slack)) - F.col("w") * (1 - slack)
+
+
+def _cell(w: Column, threshold: float) -> Column:
+    return F.floor(F.log(w) * (CELLS / -math.log(min(threshold, 0.99)))).cast("int")
+
+
+class BoundedPairs:
+    """Pairs of a bucket whose weights and shared weights allow the similarity.
+
+    ``rest``: (bucket, fp, w, root, largest, shared). Members outside a bucket's largest
+    component look for partners in the weight cells that their bounds reach.
+    """
+
+    def __init__(self, rest: DataFrame, threshold: float, scratch: Scratch):
+        low, high = _weight_bounds(threshold)
+        rest = rest.select("bucket", "fp", "w", "root", "largest", "shared").filter(high >= low)
+        lists = rest.groupBy("fp").agg(F.collect_list("bucket").alias("buckets"))
+        rest = scratch.stage(rest.join(lists, "fp").withColumn("in_largest", F.col("root") == F.col("largest")), "bounded")
+        cells = F.explode(F.sequence(_cell(low, threshold), _cell(high, threshold)))
+        self.threshold, self.rest = threshold, rest
+        self.seekers = rest.filter("not in_largest").withColumn("cell", cells)
+        self.found = rest.withColumn("cell", _cell(F.col("w"), threshold))
+        at = ["bucket", "cell"]
+        n = self.seekers.groupBy(at).agg(F.count("*").alias("nx")).join(self.found.groupBy(at).agg(F.count("*").alias("ny")), at)
+        formed = F.col("nx") * F.col("ny")
+        salts = F.least(F.ceil(formed / PART_PAIRS), "ny").cast("int")
+        self.parts = scratch.stage(n.select(*at, formed.alias("formed"), salts.alias("salts")), "parts")
+
+    def formed(self) -> int:
+        return self.parts.agg(F.sum("formed")).first()[0] or 0
+
+    def pairs(self) -> DataFrame:
+        """(a, b), each pair in the first bucket that it shares."""
+        own = F.struct("fp", "w", "root", "shared", "buckets", "in_largest")
+        parts, t = self.parts.drop("formed"), self.threshold - 1e-6
+        salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+        few = self.seekers.join(parts, ["bucket", "cell"]).select("bucket", "cell", salt, own.alias("x")).alias("few")
+        part = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt")
+        every = self.found.join(parts, ["bucket", "cell"]).select("bucket", "cell", part, own.alias("y")).alias("every")
+        same = [F.col(f"few.{k}") == F.col(f"every.{k}") for k in ("bucket", "cell", "salt")]
+        # Both orders of a pair come up where neither is in the largest component.
+        once = F.col("y.in_largest") | (F.col("x.fp") < F.col("y.fp"))
+        common = F.least("x.shared", "y.shared")
+        near = _close(F.col("x.w"), F.col("y.w"), t) & (common * (1 + t) >= (F.col("x.w") + F.col("y.w")) * t)
+        first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("few.bucket")
+        apart = F.col("x.root") != F.col("y.root")
+        found = few.join(every, [*same, once, apart, near, first])
+        return found.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+
+
+def likely_centres(rest: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, lead): the member of each bucket with the largest share of links among its
+    compared pairs; ten more that fail count for every member, so few pairs prove little."""
+    links = (F.col("similarity") >= threshold - 1e-9).cast("int").alias("link")
+    ends = tested.select(F.explode(F.array("a", "b")).alias("fp"), links)
+    share = ends.groupBy("fp").agg((F.sum("link") / (F.count("*") + 10)).alias("share"))
+    order = F.struct(F.coalesce("share", F.lit(0.0)).alias("share"), "fp", "w", "root")
+    return rest.join(share, "fp", "left").groupBy("bucket").agg(F.max(order).alias("lead"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY,
     pairs_per_member: int = 4, spare_pairs: int = 1000,
@@ -390,7 +490,7 @@ def _classes(
     links = tested.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     rest = members.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
     classes = connected_components(links, scratch)
-    budget, turn = pairs_per_member * members.count() + spare_pairs, 0
+    budget, turn, shared = pairs_per_member * members.count() + spare_pairs, 0, None
     while True:
         placed = rest.join(classes, F.col("fp") == F.col("node"), "left").select(
             "bucket", "fp", "w", F.coalesce("root", "fp").alias("root")
@@ -401,21 +501,36 @@ def _classes(
         if not cost:
             break
         rest = scratch.stage(placed.join(apart.drop("pairs"), "bucket"), "rest")
+        pairs = lead = None
         if cost <= budget:
             # Both orders of a pair come up where neither is in the largest component.
             once = F.col("y.in_largest") | (F.col("x.fp") < F.col("y.fp"))
             pairs = pairs_apart(rest).filter(
                 once & (F.col("x.root") != F.col("y.root")) & _close(F.col("x.w"), F.col("y.w"), threshold)
             ).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+        elif turn == 0:
+            lead = likely_centres(rest, tested, threshold)
+        else:
+            if shared is None:
+                shared = scratch.stage(shared_weights(rest.select("fp", "w").distinct(), held, frequent), "shared")
+            bounded = BoundedPairs(rest.join(shared, "fp"), threshold, scratch)
+            if bounded.formed() <= FORMED * budget:
+                pairs = scratch.stage(bounded.pairs(), "pairs")
+                pairs = pairs if pairs.count() <= budget else None
+            if pairs is None:
+                # Twice as many leaders each turn keep the turns few.
+                order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "w", "root")
+                part = F.pmod(F.xxhash64(F.lit(turn), "fp"), F.lit(1 << turn - 1))
+                lead = bounded.rest.groupBy("bucket", part.alias("part")).agg(F.array(F.min(order), F.max(order)).alias("both"))
+                lead = lead.select("bucket", F.explode(F.array_distinct("both")).alias("lead"))
+                rest = bounded.rest
+        turn += 1
+        if lead is None:
             again = rest.limit(0)
         else:
-            # Twice as many leaders each turn keep the turns few. A leader is compared with the
-            # members outside its component and needs no further comparison then.
-            order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "w", "root")
-            part = F.pmod(F.xxhash64(F.lit(turn), "fp"), F.lit(1 << turn))
-            turn += 1
-            lead = rest.groupBy("bucket", part.alias("part")).agg(F.array(F.min(order), F.max(order)).alias("both"))
-            lead = scratch.stage(lead.select("bucket", F.explode(F.array_distinct("both")).alias("lead")), "leaders")
+            # A leader is compared with the members outside its component and needs no
+            # further comparison then.
+            lead = scratch.stage(lead, "leaders")
             pairs = _pairs(rest.join(lead, "bucket").filter("root != lead.root"), "lead", threshold)
             again = rest.join(lead.select("bucket", "lead.fp"), ["bucket", "fp"], "left_anti")
         more = scratch.stage(verify(pairs.distinct(), held, frequent, threshold), "tested")

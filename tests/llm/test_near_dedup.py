@@ -152,6 +152,61 @@ def test_leaders_give_the_same_classes_as_pairs(spark):
     assert sorted(map(tuple, nd.near_duplicates(docs, pairs_per_member=0, spare_pairs=0).collect())) == expected
 
 
+def edited_copies(n, seed=11, length=90, most=9):
+    """Copies of one text with up to ``most`` words changed, some of them copies of copies."""
+    rng = random.Random(seed)
+    texts = [[f"b{i}" for i in range(length)]]
+    for _ in range(n - 1):
+        words = list(texts[0] if rng.random() < 0.8 else rng.choice(texts))
+        for _ in range(rng.randrange(most)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**7)}"
+        texts.append(words)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize("per_member", [0.5])
+def test_bounds_lose_no_class(spark, monkeypatch, per_member):
+    """With few pairs allowed a hot group goes through a central leader and the bounds; the
+    classes are those of all pairs."""
+    met = []
+    plain = nd.BoundedPairs.pairs
+    monkeypatch.setattr(nd.BoundedPairs, "pairs", lambda self: met.append(1) or plain(self))
+    rows = edited_copies(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert classes(nd.near_duplicates(docs, pairs_per_member=per_member, spare_pairs=0)) == brute(rows)
+    assert met
+
+
+def test_shared_weights(spark):
+    texts = ["a b c d e f", "a b c d e x", "p q r s t u v", "p q r s t u v p q r s t"]
+    df = spark.createDataFrame([(f"n{i}", t, 9.0) for i, t in enumerate(texts)], "fp string, text string, w double")
+    weigh = lambda nodes: {r["fp"]: r["shared"] for r in nd.shared_weights(nodes.select("fp", "w"), df.select("fp", "text"), (np.zeros(0, np.uint64), np.zeros(0))).collect()}
+    # A node's weight without that of the shingles which no other node has.
+    assert weigh(df) == {"n0": 8.0, "n1": 8.0, "n2": 9.0, "n3": 9.0 - 4}
+    assert weigh(df.filter("fp != 'n0'"))["n1"] == 7.0
+
+
+def test_bounded_pairs_are_the_pairs_within_the_bounds(spark, monkeypatch):
+    """Each pair of different components that the bounds allow, once, whatever the parts."""
+    monkeypatch.setattr(nd, "PART_PAIRS", 50)
+    rng = random.Random(8)
+    rows, nodes = [], {}
+    for i in range(120):
+        w = rng.uniform(20, 60)
+        root = "big" if rng.random() < 0.5 else f"r{i}"
+        nodes[f"f{i:03d}"] = (w, root, w * rng.uniform(0.7, 1), rng.sample(range(4), 2))
+    rows = [(b, fp, w, root, "big", s) for fp, (w, root, s, buckets) in nodes.items() for b in buckets]
+    rest = spark.createDataFrame(rows, "bucket long, fp string, w double, root string, largest string, shared double")
+    got = [tuple(r) for r in nd.BoundedPairs(rest, 0.8, Scratch(spark)).pairs().collect()]
+    expected = set()
+    for a, (wa, ra, sa, ba) in nodes.items():
+        for b, (wb, rb, sb, bb) in nodes.items():
+            s = min(sa, sb)
+            if a < b and ra != rb and set(ba) & set(bb) and min(wa, wb) >= 0.8 * max(wa, wb) and s >= 0.8 * (wa + wb - s):
+                expected.add((a, b))
+    assert len(got) == len(set(got)) and set(got) == expected and expected
+
+
 @pytest.mark.parametrize("sizes", [[400, 1], [60, 50, 3, 1, 1], [1] * 40, [300, 200]])
 def test_only_pairs_of_different_components_are_formed(spark, monkeypatch, sizes):
     """A component of a bucket is never joined with itself; the parts of a hot bucket are small."""
