@@ -17,8 +17,9 @@
    that was similar to most of what it met, as the original of many edited copies is, becomes
    a leader too. Then the weight of the shingles that a node shares with any other node left
    bounds its similarity to every one of them: copies with many edits of their own can have
-   no partner, and pairs are formed only between weights that the bounds allow. If that still
-   leaves more, new leaders are taken (twice as many each turn) until it does not. So no pair
+   no partner, and pairs are formed only between weights that the bounds allow and whose
+   1024 further samples, a bit of each, differ no more than those of similar texts do. If that
+   still leaves more, new leaders are taken (twice as many each turn) until it does not. So no pair
    of one bucket that could join two classes is left out, and no bucket is capped.
 5. Pairs are verified by their exact weighted Jaccard similarity; classes are the connected
    components of the pairs at or above the threshold.
@@ -57,6 +58,8 @@ COMMON_WEIGHT = 0.5
 COUNT_BLOCK = 4_000_000
 #: 64-bit words of the filter that keeps texts from moving: 16 MB whatever the data.
 FILTER_WORDS = 1 << 21
+#: 64-bit words of one-bit samples by which the pairs of hot buckets are told apart.
+BIT_WORDS = 16
 #: Pairs of one bucket that are formed together; a bucket of more is dealt out in parts.
 PART_PAIRS = 100_000
 #: Weight cells from one weight to the least that is similar enough; pairs are formed cell by cell.
@@ -163,13 +166,13 @@ def _gamma_quantiles() -> np.ndarray:
     return np.interp((np.arange(65536) + 0.5) / 65536, p, x).astype(np.float32)
 
 
-def sample(gram: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int, n_samples: int) -> np.ndarray:
-    """Consistent weighted samples: for each row and sample the hash of (shingle, level)."""
+def sample(gram: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int, n_samples: int, skip: int = 0) -> np.ndarray:
+    """Consistent weighted samples after the first ``skip``: for each row and sample the hash of (shingle, level)."""
     r_of = _gamma_quantiles()
     inverse_r = 1 / r_of
     best = np.full((n_samples, n_rows), np.inf, np.float32)
     found = np.zeros((n_samples, n_rows), np.uint64)
-    seeds = mix(np.arange(101, 101 + n_samples, dtype=np.uint64))
+    seeds = mix(np.arange(101 + skip, 101 + skip + n_samples, dtype=np.uint64))
     u16, u24, u40, u48 = (np.uint64(k) for k in (16, 24, 40, 48))
     for low in range(0, len(gram), 1 << 15):
         g, row = gram[low : low + (1 << 15)], rows[low : low + (1 << 15)]
@@ -198,6 +201,15 @@ def sample(gram: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int,
     return found
 
 
+def sample_bits(gram: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+    """(row, word): one bit of each of 64 samples a word, other samples than those of the buckets."""
+    out, place = np.empty((n_rows, BIT_WORDS), np.uint64), np.arange(64, dtype=np.uint64)[:, None]
+    for k in range(BIT_WORDS):
+        drawn = sample(gram, rows, weight, n_rows, 64, BANDS * ROWS + 64 * k)
+        out[:, k] = np.bitwise_or.reduce((drawn & np.uint64(1)) << place, axis=0)
+    return out
+
+
 def band_keys(samples: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """(row, band) bucket keys; the band number is part of the key."""
     out = np.empty((samples.shape[1], bands), np.uint64)
@@ -274,15 +286,26 @@ def least_agreeing(threshold: float) -> int:
     return int(np.floor(n * threshold - 5 * np.sqrt(n * threshold * (1 - threshold))))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, frequent, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs of nodes whose samples allow the similarity."""
+def most_differing(threshold: float) -> int:
+    """One-bit samples that differ at most: half of the samples that do not agree, and five
+    standard deviations above the mean, as in ``least_agreeing``."""
+    n, p = 64 * BIT_WORDS, (1 - threshold) / 2
+    return int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))
+
+
+def allowed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of nodes whose samples allow the similarity."""
     sketches = texts.select("fp", "sketch")
-    pairs = (
+    return (
         pairs.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
         .filter(_agreeing("sa", "sb") >= least_agreeing(threshold))
         .select("a", "b")
     )
+
+
+def verify(pairs: DataFrame, texts: DataFrame, frequent, threshold: float) -> DataFrame:
+    """(a, b, similarity) of pairs of nodes."""
     held = pairs.sparkSession.sparkContext.broadcast(frequent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,6 +405,27 @@ def shared_weights(nodes: DataFrame, texts: DataFrame, frequent) -> DataFrame:
     return nodes.withColumn("f", f).join(alone, "f", "left").select("fp", (F.col("w") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
 
 
+def able_nodes(nodes: DataFrame, texts: DataFrame, frequent, threshold: float, scratch: Scratch) -> DataFrame:
+    """(fp, shared, bits) of the nodes that can have a partner among ``nodes``."""
+    held = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in slices(batch.column(2), 1 << 20):
+                _, (gram, rows, counts, _) = shingle_counts(part)
+                bits = sample_bits(gram, rows, weights(gram, counts, held.value), len(part))
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * BIT_WORDS)
+                own = batch.slice(first, len(part))
+                words_of = pa.ListArray.from_arrays(ends, pa.array(bits.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), words_of], ["fp", "shared", "bits"])
+
+    low, high = _weight_bounds(threshold)
+    known = scratch.stage(shared_weights(nodes, texts, frequent), "shared")
+    able = nodes.join(known, "fp").filter(high >= low).select("fp", "shared")
+    drawn = able.join(texts.select("fp", "text"), "fp").mapInArrow(draw, "fp string, shared double, bits array<long>")
+    return scratch.stage(drawn, "able")
+
+
 def _weight_bounds(threshold: float) -> tuple[Column, Column]:
     """The least and the largest weight of a partner: of weights v and w with a common part of
     at most s, the similarity is at most v / w, w / v and s / (v + w - s)."""
@@ -394,15 +438,15 @@ def _cell(w: Column, threshold: float) -> Column:
 
 
 class BoundedPairs:
-    """Pairs of a bucket whose weights and shared weights allow the similarity.
+    """Pairs of a bucket whose weights, shared weights and bits allow the similarity.
 
-    ``rest``: (bucket, fp, w, root, largest, shared). Members outside a bucket's largest
+    ``rest``: (bucket, fp, w, root, largest, shared, bits). Members outside a bucket's largest
     component look for partners in the weight cells that their bounds reach.
     """
 
     def __init__(self, rest: DataFrame, threshold: float, scratch: Scratch):
         low, high = _weight_bounds(threshold)
-        rest = rest.select("bucket", "fp", "w", "root", "largest", "shared").filter(high >= low)
+        rest = rest.select("bucket", "fp", "w", "root", "largest", "shared", "bits").filter(high >= low)
         lists = rest.groupBy("fp").agg(F.collect_list("bucket").alias("buckets"))
         rest = scratch.stage(rest.join(lists, "fp").withColumn("in_largest", F.col("root") == F.col("largest")), "bounded")
         cells = F.explode(F.sequence(_cell(low, threshold), _cell(high, threshold)))
@@ -420,7 +464,7 @@ class BoundedPairs:
 
     def pairs(self) -> DataFrame:
         """(a, b), each pair in the first bucket that it shares."""
-        own = F.struct("fp", "w", "root", "shared", "buckets", "in_largest")
+        own = F.struct("fp", "w", "root", "shared", "bits", "buckets", "in_largest")
         parts, t = self.parts.drop("formed"), self.threshold - 1e-6
         salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
         few = self.seekers.join(parts, ["bucket", "cell"]).select("bucket", "cell", salt, own.alias("x")).alias("few")
@@ -433,7 +477,9 @@ class BoundedPairs:
         near = _close(F.col("x.w"), F.col("y.w"), t) & (common * (1 + t) >= (F.col("x.w") + F.col("y.w")) * t)
         first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("few.bucket")
         apart = F.col("x.root") != F.col("y.root")
-        found = few.join(every, [*same, once, apart, near, first])
+        differing = [F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BIT_WORDS)]
+        alike = sum(differing[1:], differing[0]) <= most_differing(self.threshold)
+        found = few.join(every, [*same, once, apart, near, alike, first])
         return found.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
 
 
@@ -484,9 +530,8 @@ def _classes(
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("dt") == F.col("t"))
     held = scratch.stage(d.join(wanted, same).select("fp", "sketch", "text").dropDuplicates(["fp"]), "texts")
 
-    tested = scratch.stage(
-        verify(_pairs(members, "low", threshold).union(_pairs(members, "high", threshold)).distinct(), held, frequent, threshold), "tested"
-    )
+    pairs = _pairs(members, "low", threshold).union(_pairs(members, "high", threshold)).distinct()
+    tested = scratch.stage(verify(allowed(pairs, held, threshold), held, frequent, threshold), "tested")
     links = tested.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     rest = members.filter("fp != low.fp and fp != high.fp").select("bucket", "fp", "w")
     classes = connected_components(links, scratch)
@@ -502,6 +547,7 @@ def _classes(
             break
         rest = scratch.stage(placed.join(apart.drop("pairs"), "bucket"), "rest")
         pairs = lead = None
+        drawn = False
         if cost <= budget:
             # Both orders of a pair come up where neither is in the largest component.
             once = F.col("y.in_largest") | (F.col("x.fp") < F.col("y.fp"))
@@ -512,11 +558,12 @@ def _classes(
             lead = likely_centres(rest, tested, threshold)
         else:
             if shared is None:
-                shared = scratch.stage(shared_weights(rest.select("fp", "w").distinct(), held, frequent), "shared")
+                shared = able_nodes(rest.select("fp", "w").distinct(), held, frequent, threshold, scratch)
             bounded = BoundedPairs(rest.join(shared, "fp"), threshold, scratch)
             if bounded.formed() <= FORMED * budget:
                 pairs = scratch.stage(bounded.pairs(), "pairs")
                 pairs = pairs if pairs.count() <= budget else None
+                drawn = pairs is not None
             if pairs is None:
                 # Twice as many leaders each turn keep the turns few.
                 order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "w", "root")
@@ -533,7 +580,9 @@ def _classes(
             lead = scratch.stage(lead, "leaders")
             pairs = _pairs(rest.join(lead, "bucket").filter("root != lead.root"), "lead", threshold)
             again = rest.join(lead.select("bucket", "lead.fp"), ["bucket", "fp"], "left_anti")
-        more = scratch.stage(verify(pairs.distinct(), held, frequent, threshold), "tested")
+        # The bits have said more already than the samples of the buckets could.
+        pairs = pairs if drawn else allowed(pairs.distinct(), held, threshold)
+        more = scratch.stage(verify(pairs, held, frequent, threshold), "tested")
         links = links.union(more.filter(F.col("similarity") >= threshold - 1e-9).select("a", "b"))
         classes = connected_components(links, scratch)
         rest = again.select("bucket", "fp", "w")

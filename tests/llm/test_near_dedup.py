@@ -127,6 +127,23 @@ def test_sampling_estimates_similarity():
     assert abs((got[0] == got[1]).mean() - true) < 0.04
 
 
+def test_bits_differ_by_half_of_what_is_not_shared():
+    rng = np.random.default_rng(6)
+    for share in (0.3, 0.6, 0.8, 0.9):
+        differing = []
+        for _ in range(20):
+            keys, base = rng.integers(0, 1 << 62, 200).astype(np.uint64), rng.uniform(0.5, 2, 200)
+            other = np.concatenate([keys[: int(200 * share)], rng.integers(0, 1 << 62, 200 - int(200 * share)).astype(np.uint64)])
+            common = base[: int(200 * share)].sum()
+            bits = [nd.sample_bits(g, np.zeros(200, np.int64), base, 1)[0] for g in (keys, other)]
+            n = sum(int(a ^ b).bit_count() for a, b in zip(*bits))
+            same = common / (2 * base.sum() - common)
+            differing.append(n / 1024 - (1 - same) / 2)
+            assert same < 0.8 or n <= nd.most_differing(0.8)
+        assert abs(np.mean(differing)) < 0.015
+    assert nd.most_differing(0.8) == 151 and nd.most_differing(1.0) == 0
+
+
 @pytest.mark.parametrize("block", [0, 60, 10_000])
 def test_components(spark, block):
     edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("hub", f"s{i}") for i in range(50)] + [("x", "x"), ("y", "z")]
@@ -194,17 +211,22 @@ def test_bounded_pairs_are_the_pairs_within_the_bounds(spark, monkeypatch):
     for i in range(120):
         w = rng.uniform(20, 60)
         root = "big" if rng.random() < 0.5 else f"r{i}"
-        nodes[f"f{i:03d}"] = (w, root, w * rng.uniform(0.7, 1), rng.sample(range(4), 2))
-    rows = [(b, fp, w, root, "big", s) for fp, (w, root, s, buckets) in nodes.items() for b in buckets]
-    rest = spark.createDataFrame(rows, "bucket long, fp string, w double, root string, largest string, shared double")
+        bits = [-1 if rng.random() < 0.1 else 1 << rng.randrange(40) for _ in range(nd.BIT_WORDS)]
+        nodes[f"f{i:03d}"] = (w, root, w * rng.uniform(0.7, 1), rng.sample(range(4), 2), bits)
+    rows = [(b, fp, w, root, "big", s, bits) for fp, (w, root, s, buckets, bits) in nodes.items() for b in buckets]
+    rest = spark.createDataFrame(rows, "bucket long, fp string, w double, root string, largest string, shared double, bits array<long>")
     got = [tuple(r) for r in nd.BoundedPairs(rest, 0.8, Scratch(spark)).pairs().collect()]
     expected = set()
-    for a, (wa, ra, sa, ba) in nodes.items():
-        for b, (wb, rb, sb, bb) in nodes.items():
+    unlike = 0
+    for a, (wa, ra, sa, ba, xa) in nodes.items():
+        for b, (wb, rb, sb, bb, xb) in nodes.items():
             s = min(sa, sb)
             if a < b and ra != rb and set(ba) & set(bb) and min(wa, wb) >= 0.8 * max(wa, wb) and s >= 0.8 * (wa + wb - s):
-                expected.add((a, b))
-    assert len(got) == len(set(got)) and set(got) == expected and expected
+                differing = sum(((u ^ v) & (1 << 64) - 1).bit_count() for u, v in zip(xa, xb))
+                unlike += differing > nd.most_differing(0.8)
+                if differing <= nd.most_differing(0.8):
+                    expected.add((a, b))
+    assert unlike and len(got) == len(set(got)) and set(got) == expected and expected
 
 
 @pytest.mark.parametrize("sizes", [[400, 1], [60, 50, 3, 1, 1], [1] * 40, [300, 200]])
