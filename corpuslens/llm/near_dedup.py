@@ -324,7 +324,7 @@ def verify(pairs: DataFrame, texts: DataFrame, frequent, threshold: float) -> Da
     )
 
 
-def _held_filter(keys: DataFrame):
+def held_filter(keys: DataFrame):
     """A test on the hashes ``h`` of ``keys``: true for all of them and for some others.
 
     Its size is fixed. Beyond some 10^8 keys it lets most rows through, so an exact join has
@@ -422,7 +422,10 @@ def able_nodes(nodes: DataFrame, texts: DataFrame, frequent, threshold: float, s
     low, high = _weight_bounds(threshold)
     known = scratch.stage(shared_weights(nodes, texts, frequent), "shared")
     able = nodes.join(known, "fp").filter(high >= low).select("fp", "shared")
-    drawn = able.join(texts.select("fp", "text"), "fp").mapInArrow(draw, "fp string, shared double, bits array<long>")
+    # Drawing takes much time for few bytes, so the number of tasks must not follow the bytes.
+    spark = texts.sparkSession
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    drawn = able.join(texts.select("fp", "text"), "fp").repartition(n_tasks, "fp").mapInArrow(draw, "fp string, shared double, bits array<long>")
     return scratch.stage(drawn, "able")
 
 
@@ -526,7 +529,7 @@ def _classes(
     wanted = scratch.stage(members.select("fp").distinct().join(nodes.select("fp", "n.doc_id", "n.t", "n.sketch"), "fp"), "wanted")
     d = docs.select(F.col(doc_id).alias("d"), _text_column(text).alias("text")).withColumn("dt", F.xxhash64("text"))
     # Only texts that take part in a comparison are shuffled.
-    d = d.filter(_held_filter(wanted.select(F.xxhash64("doc_id", "t").alias("h")))(F.xxhash64("d", "dt")))
+    d = d.filter(held_filter(wanted.select(F.xxhash64("doc_id", "t").alias("h")))(F.xxhash64("d", "dt")))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("dt") == F.col("t"))
     held = scratch.stage(d.join(wanted, same).select("fp", "sketch", "text").dropDuplicates(["fp"]), "texts")
 

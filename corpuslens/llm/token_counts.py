@@ -8,7 +8,7 @@ sums over batches: documents are never read again.
 A commit is idempotent: a batch becomes visible by one rename to a name made of its id, and
 an id that is there already changes nothing, whether the first attempt was ours, another
 writer's or one whose answer was lost. ``compact`` folds batches into one table that
-remembers their ids.
+remembers their ids; readers and writers need not wait for it.
 
 A missing text has no tokens. Missing sources and languages are keys of their own. Repeated
 rows count each. Keys whose totals are all zero are left out.
@@ -16,7 +16,6 @@ rows count each. Keys whose totals are all zero are left out.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -98,48 +97,75 @@ class TokenRollup:
     def _batch_name(batch_id: str) -> str:
         return "batch-" + quote(batch_id, safe="").replace(".", "%2E").replace("%", "=")
 
-    def committed(self) -> set[str]:
-        """Names of all batches that count, compacted or not."""
-        names = set(self._names("batch"))
-        for state in self._names("state")[-1:]:
-            folded = self.spark.read.parquet(f"{self.folder}/{state}").filter("batch IS NOT NULL").select("batch")
-            names |= {r["batch"] for r in folded.collect()}
-        return names
+    def _folded(self, state: str | None, names: list[str] | None = None) -> DataFrame:
+        """Names of the batches that a state holds, of ``names`` only where given."""
+        if state is None:
+            return self.spark.createDataFrame([], "batch string")
+        held = self.spark.read.schema(f"{_DELTA}, batch string").parquet(f"{self.folder}/{state}").filter("batch IS NOT NULL")
+        return (held if names is None else held.filter(F.col("batch").isin(names))).select("batch")
+
+    def _snapshot(self) -> tuple[str | None, list[str], list[str]]:
+        """The last state, and the batches that lie beside it: those to add to it, and those
+        it holds already.
+
+        Batches are listed first. One that a compaction folds meanwhile is in the state that is
+        listed then, so it counts once, as a batch or in the state.
+        """
+        names = self._names("batch")
+        state = (self._names("state") or [None])[-1]
+        held = {r["batch"] for r in self._folded(state, names).collect()} if names else set()
+        return state, [n for n in names if n not in held], sorted(held)
+
+    def committed(self, batch_id: str) -> bool:
+        """Whether a batch counts, compacted or not; only that id is looked up."""
+        name = self._batch_name(batch_id)
+        # In this order: a batch is in a state before its folder goes.
+        if self._fs.exists(self._path(f"{self.folder}/{name}")):
+            return True
+        return not self._folded((self._names("state") or [None])[-1], [name]).isEmpty()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add the signed rows of a batch; False if that batch was there already."""
-        name = self._batch_name(batch_id)
-        if name in self.committed():
+        if self.committed(batch_id):
             return False
         summed = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return self._publish(summed, name)
-
-    def _deltas(self) -> tuple[DataFrame, list[str]]:
-        """All rows that count, and the names of the batches they come from."""
-        rows, folded = self.spark.createDataFrame([], _DELTA), set()
-        for state in self._names("state")[-1:]:
-            table = self.spark.read.parquet(f"{self.folder}/{state}")
-            folded = {r["batch"] for r in table.filter("batch IS NOT NULL").select("batch").collect()}
+        return self._publish(summed, self._batch_name(batch_id))
+
+    def _sums(self, state: str | None, fresh: list[str]) -> DataFrame:
+        """Totals of a state and of batches that are not in it."""
+        rows = self.spark.createDataFrame([], _DELTA)
+        if state is not None:
+            table = self.spark.read.schema(f"{_DELTA}, batch string").parquet(f"{self.folder}/{state}")
             rows = rows.unionByName(table.filter("batch IS NULL").drop("batch"))
-        fresh = [n for n in self._names("batch") if n not in folded]
         if fresh:
             rows = rows.unionByName(self.spark.read.schema(_DELTA).parquet(*[f"{self.folder}/{n}" for n in fresh]))
-        return rows, sorted({*folded, *fresh})
-
-    def totals(self) -> DataFrame:
-        """(source, lang, version, n_docs, n_tokens)."""
         return (
-            self._deltas()[0].groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
             .filter("n_docs != 0 OR n_tokens != 0")
         )
 
+    def totals(self) -> DataFrame:
+        """(source, lang, version, n_docs, n_tokens) of the batches that count now.
+
+        The rows may be read later: what they come from stays until the compaction after the
+        next one. After that reading them fails; it never gives less."""
+        state, fresh, _ = self._snapshot()
+        return self._sums(state, fresh)
+
     def compact(self) -> None:
-        """Fold all batches into one table; safe to repeat and to lose half-way."""
-        _, names = self._deltas()
-        last = max([int(re.sub(r"\D", "", n)) for n in self._names("state")], default=0)
-        listed = self.spark.createDataFrame([(n,) for n in names], "batch string")
-        table = self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(listed, allowMissingColumns=True)
-        if self._publish(table, f"state-{last + 1:09d}"):
-            for n in self._names("batch"):
-                if n in names:
-                    delete_path(self.spark, f"{self.folder}/{n}")
+        """Fold all batches into one table; safe to repeat, to lose half-way and to run beside
+        commits, readers and other compactions.
+
+        Exactly the batches of one listing are summed and named. Batches go once the state
+        before holds them, and so do the states before that one, so whoever listed a
+        folder a compaction ago still finds everything."""
+        state, fresh, held = self._snapshot()
+        older = [n for n in self._names("state") if state is not None and n < state]
+        if fresh:
+            ids = self._folded(state).unionByName(self.spark.createDataFrame([(n,) for n in fresh], "batch string"))
+            table = self._sums(state, fresh).withColumn("batch", F.lit(None).cast("string")).unionByName(ids, allowMissingColumns=True)
+            last = int(state.removeprefix("state-")) if state else 0
+            if not self._publish(table, f"state-{last + 1:09d}"):
+                return
+        for name in [*held, *older]:
+            delete_path(self.spark, f"{self.folder}/{name}")

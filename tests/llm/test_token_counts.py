@@ -46,6 +46,98 @@ def test_rename_decides_between_two_writers(spark):
     assert totals(rollup) == {("a", "en", "v"): (1, 1)}
 
 
+def one(spark, n):
+    return rows(spark, ("a", "en", "v", 1, n))
+
+
+def test_a_batch_committed_during_a_compaction_counts_once(spark, monkeypatch):
+    rollup = tc.TokenRollup(spark, Scratch(spark).path("rollup"))
+    rollup.commit("1", one(spark, 5))
+    plain = rollup._publish
+
+    def publish(df, name):
+        monkeypatch.setattr(rollup, "_publish", plain)
+        tc.TokenRollup(spark, rollup.folder).commit("2", one(spark, 10))
+        return plain(df, name)
+
+    monkeypatch.setattr(rollup, "_publish", publish)
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "v"): (2, 15)}
+    rollup.compact()
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "v"): (2, 15)}
+    assert rollup._names("batch") == [] and len(rollup._names("state")) == 1
+
+
+def test_a_batch_committed_between_two_listings_counts_once(spark, monkeypatch):
+    """Names are listed twice, batches and states; whatever happens in between, nothing counts twice or gets lost."""
+    for folded in (False, True):
+        rollup = tc.TokenRollup(spark, Scratch(spark).path("rollup"))
+        other = tc.TokenRollup(spark, rollup.folder)
+        rollup.commit("1", one(spark, 5))
+        plain, calls = rollup._names, []
+
+        def names(kind):
+            found = plain(kind)
+            calls.append(kind)
+            if len(calls) == 1:
+                other.commit("2", one(spark, 10))
+                if folded:
+                    other.compact()
+            return found
+
+        monkeypatch.setattr(rollup, "_names", names)
+        seen = totals(rollup)
+        assert seen == {("a", "en", "v"): (2, 15) if folded else (1, 5)} and calls[0] == "batch"
+        calls.clear()
+        rollup.commit("3", one(spark, 20))
+        rollup.compact()
+        assert totals(other) == {("a", "en", "v"): (3, 35)}
+
+
+def test_a_reader_outlives_a_compaction(spark):
+    rollup = tc.TokenRollup(spark, Scratch(spark).path("rollup"))
+    rollup.commit("1", one(spark, 5))
+    early = rollup.totals()
+    rollup.compact()
+    assert [tuple(r[3:]) for r in early.collect()] == [(1, 5)]
+    rollup.commit("2", one(spark, 6))
+    middle = rollup.totals()
+    rollup.compact()
+    assert [tuple(r[3:]) for r in middle.collect()] == [(2, 11)]
+    assert not rollup.commit("1", one(spark, 7)) and rollup.committed("2") and not rollup.committed("9")
+
+
+def test_two_compactions_at_once_and_one_lost_half_way(spark, monkeypatch):
+    rollup = tc.TokenRollup(spark, Scratch(spark).path("rollup"))
+    other = tc.TokenRollup(spark, rollup.folder)
+    rollup.commit("1", one(spark, 5))
+    plain = rollup._publish
+
+    def publish(df, name):
+        other.compact()
+        return plain(df, name)
+
+    monkeypatch.setattr(rollup, "_publish", publish)
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "v"): (1, 5)} and len(rollup._names("state")) == 1
+    monkeypatch.setattr(rollup, "_publish", plain)
+    rollup.commit("2", one(spark, 6))
+
+    def lost(df, name):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(rollup, "_publish", lost)
+    try:
+        rollup.compact()
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(rollup, "_publish", plain)
+    assert totals(rollup) == {("a", "en", "v"): (2, 11)}
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "v"): (2, 11)}
+
+
 def n_tokens(text):
     return len(load(default_tokenizer()).encode(text or "", add_special_tokens=False).ids)
 
