@@ -1,7 +1,8 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line is parsed by its number of tokens, then by its first three tokens; tokens with a
-digit count as a variable field. Lines that agree so far are in one leaf. Within a leaf a
+digit count as a variable field, but a line of nothing but such tokens has no fixed one to be
+a template by: it keeps its numbers and recurs only as it is. Lines that agree so far are in one leaf. Within a leaf a
 token is constant at its place if at least two and three tenths of the leaf's distinct
 lines have it there, else it is a variable field too; a line of six or more tokens whose
 constants make up four fifths takes this generalised template, any other line keeps its
@@ -37,10 +38,12 @@ _SPACE = r" \t\r\f\x0B"
 
 
 def masked(line: Column) -> Column:
-    """The line with tokens that hold a digit replaced, trimmed, single blanks between tokens."""
+    """The line with tokens that hold a digit replaced, trimmed, single blanks between tokens.
+    A line without any other token is all content: it keeps its numbers."""
     fields = F.regexp_replace(line, rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+", FIELD)
     plain = ~F.contains(line, F.lit("  ")) & ~F.rlike(line, F.lit(r"[0-9\t\r\f\x0B]"))
-    return F.trim(F.when(plain, line).otherwise(F.regexp_replace(fields, rf"[{_SPACE}]++", " ")))
+    fixed = F.rlike(line, F.lit(rf"(?<![^{_SPACE}])[^{_SPACE}0-9]++(?![^{_SPACE}])"))
+    return F.trim(F.when(plain, line).otherwise(F.regexp_replace(F.when(fixed, fields).otherwise(line), rf"[{_SPACE}]++", " ")))
 
 
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -87,7 +90,8 @@ def generalised(forms: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, t, drop): the numbers of the lines to drop from each text."""
     found = lines(docs, doc_id, text).withColumn("leaf", F.xxhash64("n", "lead")).withColumn("f", F.xxhash64("form"))
-    general = F.when(F.col("n") >= LEAST_GENERAL_TOKENS, F.col("form")).alias("form")
+    # Only lines that keep their numbers hold digits here.
+    general = F.when((F.col("n") >= LEAST_GENERAL_TOKENS) & ~F.rlike("form", F.lit("[0-9]")), F.col("form")).alias("form")
     table = scratch.stage(found.select("doc_id", "t", "line_no", "n", "leaf", "f", general), "lines")
 
     shared = table.groupBy("leaf").agg(
@@ -99,7 +103,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", te
     )
     mixed = leaves.filter("mixed").select("leaf")
     forms = scratch.stage(
-        table.filter(F.col("n") >= LEAST_GENERAL_TOKENS).select("leaf", "form").join(mixed, "leaf", "left_semi").distinct(),
+        table.filter("form IS NOT NULL").select("leaf", "form").join(mixed, "leaf", "left_semi").distinct(),
         "forms",
     )
     templates = generalised(forms).select("leaf", F.xxhash64("form").alias("f"), F.xxhash64("template").alias("template"))

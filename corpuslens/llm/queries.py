@@ -91,7 +91,8 @@ def packed(docs: DataFrame) -> DataFrame:
     r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line_no, line,
-         trim(regexp_replace(regexp_replace(line, '[^ \t\r\f\x0B0-9]*[0-9][^ \t\r\f\x0B]*', '<*>', 'g'), '[ \t\r\f\x0B]+', ' ', 'g')) AS form
+         trim(regexp_replace(CASE WHEN regexp_matches(line, '(^|[ \t\r\f\x0B])[^ \t\r\f\x0B0-9]+($|[ \t\r\f\x0B])')
+              THEN regexp_replace(line, '[^ \t\r\f\x0B0-9]*[0-9][^ \t\r\f\x0B]*', '<*>', 'g') ELSE line END, '[ \t\r\f\x0B]+', ' ', 'g')) AS form
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
 ), p AS (
@@ -102,7 +103,7 @@ WITH l AS (
 ), q AS (
   SELECT p.* FROM p JOIN shared USING (n, lead)
 ), forms AS (
-  SELECT n, lead, form, string_split(form, ' ') AS tokens FROM (SELECT DISTINCT n, lead, form FROM q WHERE n >= 6)
+  SELECT n, lead, form, string_split(form, ' ') AS tokens FROM (SELECT DISTINCT n, lead, form FROM q WHERE n >= 6 AND NOT regexp_matches(form, '[0-9]'))
 ), places AS (
   SELECT n, lead, form, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM forms
 ), sizes AS (

@@ -15,7 +15,8 @@ alone: reading one document touches only the blocks it lies in.
 Files are written in ascending doc_id order: file k of partition p comes before file k + 1
 and before partition p + 1. A task writes under a name of its own and renames at the end,
 so a repeated task leaves the same file. A missing text holds only the end id; repeated
-rows are stored each, in an order that depends on the text alone.
+rows are stored each, in an order that depends on the text alone. Rows are dealt out by
+doc_id and text, so those without doc_id, or of one doc_id, are many tasks' work.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def write_tokens(
 
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
+        .repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     )
     return ordered.mapInArrow(write, "path string, part long, k long, n_docs long, n_ids long")

@@ -26,6 +26,17 @@ def test_fields_with_digits_are_variable(spark):
     assert out[1] == "body b" and out[0].startswith("Posted")
 
 
+def test_rows_of_numbers_are_content(spark):
+    rows = [" ".join(str((i * 37 + k * k) % 97) for k in range(10)) for i in range(8)]
+    near = [f"1 2 3 4 5 6 7 8 9 {i}" for i in range(4)]
+    mixed = [f"row {i} 3 4\t5 6 7 8 9 {i}\nbody {chr(97 + i)}" for i in range(3)]
+    texts = [f"{r}\nown {chr(97 + i)}" for i, r in enumerate(rows)] + [f"{rows[0].replace(' ', '  ')}\nown x"] + near + mixed
+    out = cut(spark, texts)
+    assert [out[i] for i in range(8)] == texts[:8] and out[8] == "own x"
+    assert [out[9 + i] for i in range(4)] == near
+    assert out[13] == mixed[0] and out[14] == "body b" and out[15] == "body c"
+
+
 def test_words_that_vary_in_a_leaf_are_variable(spark):
     who = "anna boris carla david".split()
     out = cut(spark, [f"this page was last changed by {w} and is part of the archive\nbody {w}" for w in who])

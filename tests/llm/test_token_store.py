@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import queries
 from corpuslens.llm import token_store as ts
@@ -63,3 +64,23 @@ def test_messy_rows_over_many_files(spark):
     assert order == sorted(order, key=lambda d: (d is not None, d))
     none = scratch.stage(ts.write_tokens(empty(spark), scratch.path("y")), "files")
     assert ts.read_tokens(spark, none).collect() == []
+
+
+def test_rows_without_id_are_dealt_out(spark):
+    scratch = Scratch(spark)
+    rows = [(None, f"text {i} of nobody") for i in range(3000)] + [(7, f"text {i} of one") for i in range(3000)] + [(i, f"own {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = scratch.stage(ts.write_tokens(docs, scratch.path("tokens")), "files")
+        assert files.count() >= 6 and files.agg(F.max("n_docs")).first()[0] < 2500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = ts.read_tokens(spark, files).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    ends = [r["start"] + len(r["ids"]) // 4 for r in back]
+    assert [0, *ends[:-1]] == [r["start"] for r in back]
+    plain = load(default_tokenizer())
+    expected = sorted(((i is not None, i or 0), tuple([*plain.encode(t, add_special_tokens=False).ids, 2])) for i, t in rows)
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in back)
+    assert got == expected
