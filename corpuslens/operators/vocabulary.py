@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,10 +21,11 @@ MARK = "##"
 #: Letters of the longest entry of a vocabulary of frequent pieces, and how many endings it has.
 LONGEST_PIECE = 32
 ENDINGS = 2000
-#: Symbols of the words that one round of training may look at on the driver (some 200 MB), and
-#: the pairs it ranks.
-LOOK_AHEAD = 2_000_000
+#: Symbols of the words that one round of training may look at on the driver (flat arrays of some
+#: 10 bytes a symbol), and the pairs it ranks.
+LOOK_AHEAD = 8_000_000
 CANDIDATES = 1 << 15
+_SLICE = 1 << 20
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -177,9 +179,10 @@ def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFr
             hit = firsts[np.minimum(np.searchsorted(firsts, pair), len(firsts) - 1)] == pair
             sums = np.concatenate([[0], np.cumsum(hit)])
             touched = np.flatnonzero(sums[np.maximum(offsets[1:] - 1, offsets[:-1])] > sums[offsets[:-1]])
-            now, was = batch.column(0).to_pylist(), [None] * batch.num_rows
-            for k in touched.tolist():
-                symbols, least = now[k], 0
+            now = batch.column(0).take(pa.array(touched)).to_pylist()
+            was = list(now)
+            for k, symbols in enumerate(was):
+                least = 0
                 while True:
                     ranks = [r for p in zip(symbols, symbols[1:]) for r in places.get(p, ()) if r >= least]
                     if not ranks:
@@ -187,16 +190,19 @@ def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFr
                     least = min(ranks)
                     symbols = merge_pair(symbols, *held.value[least])
                     least += 1
-                if len(symbols) < len(now[k]):
-                    was[k], now[k] = now[k], symbols
-            ids = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(now, ids), batch.column(1), pa.array(was, ids)], ["s", "n", "was"])
+                now[k] = symbols
+            ids, names = pa.list_(pa.int32()), ["s", "n", "was"]
+            rest = np.ones(batch.num_rows, bool)
+            rest[touched] = False
+            same = batch.filter(pa.array(rest))
+            yield pa.RecordBatch.from_arrays([*same.columns, pa.nulls(same.num_rows, ids)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(now, ids), batch.column(1).take(pa.array(touched)), pa.array(was, ids)], names)
 
     return words.select("s", "n").mapInArrow(apply, "s array<int>, n bigint, was array<int>")
 
 
 def leading_merges(
-    words: list[list[int]], weights: list[int], covered: list[tuple[int, int, int]],
+    words: list[list[int]] | pa.ListArray, weights: list[int] | pa.Array, covered: list[tuple[int, int, int]],
     bound: tuple[int, int, int] | None, vocab: list[str], size: int,
 ) -> list[tuple[int, int, int]]:
     """The merges that one-at-a-time training takes next, as far as these words can tell.
@@ -205,33 +211,44 @@ def leading_merges(
     b, n) or is not there. A pair of a new symbol lies in these words alone, so its count is known. A
     pair that grows without being covered may have up to ``bound``'s count elsewhere; when that
     would make it the next, the round ends. ``vocab`` grows by the new symbols.
+
+    The symbols stay in one flat array, a word's own being rewritten in its place, and only the
+    words of covered and new pairs are indexed.
     """
+    lists = words if isinstance(words, pa.ListArray) else pa.array(words, pa.list_(pa.int32()))
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+    flat = array("i", values.tobytes())
+    starts = array("q", (offsets[:-1] - offsets[0]).astype(np.int64).tobytes())
+    lengths = array("i", np.diff(offsets).astype(np.int32).tobytes())
+    weights = array("q", np.asarray(weights, np.int64).tobytes())
+    exact = {(a, b): n for a, b, n in covered}
+    where: dict[tuple[int, int], array] = defaultdict(lambda: array("i"))
+    where.update(_rows_of_pairs(values, offsets - offsets[0], covered))
+
     ids = {t: i for i, t in enumerate(vocab)}
     known = len(vocab)
-    counts: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for k, symbols in enumerate(words):
-        for p in zip(symbols, symbols[1:]):
-            counts[p] += weights[k]
-            where[p].append(k)
-    exact = {(a, b) for a, b, _ in covered}
-    at_start = {p: n for p, n in counts.items() if p not in exact}
+    delta: dict[tuple[int, int], int] = defaultdict(int)
     most = bound[2] if bound else 0
 
     def entry(p):
-        n = counts[p]
-        if p not in exact and p[0] < known and p[1] < known:
-            n = most + n - at_start.get(p, 0)
+        if p in exact:
+            n = exact[p] + delta[p]
+        elif p[0] >= known or p[1] >= known:
+            n = delta[p]
+        else:
+            n = most + delta[p] if delta[p] > 0 else 0
         return -n, vocab[p[0]], vocab[p[1]], *p
 
-    heap = [entry(p) for p in exact if counts[p]]
+    heap = [entry(p) for p in exact if p in where]
     heapq.heapify(heap)
+    pushed: dict[tuple[int, int], int] = {}
     end = (-bound[2], vocab[bound[0]], vocab[bound[1]]) if bound else None
     merges = []
     while heap and len(vocab) < size:
         best = heapq.heappop(heap)
         a, b = best[3:]
-        if best != entry((a, b)) or not counts[a, b]:
+        if best != entry((a, b)) or not best[0]:
             continue  # its count has changed since; the newer entry counts
         if end and (best[:3] > end or (a, b) not in exact and a < known and b < known):
             break
@@ -243,25 +260,57 @@ def leading_merges(
         merges.append((a, b, z))
         changed = set()
         for k in set(where.pop((a, b))):
-            old = words[k]
+            start, length = starts[k], lengths[k]
+            old = flat[start : start + length].tolist()
             new = merge_pair(old, a, b, z)
-            if len(new) == len(old):
+            if len(new) == length:
                 continue
-            n, words[k] = weights[k], new
+            flat[start : start + len(new)] = array("i", new)
+            n, lengths[k] = weights[k], len(new)
             for p in zip(old, old[1:]):
-                counts[p] -= n
+                delta[p] -= n
                 changed.add(p)
             for p in zip(new, new[1:]):
-                counts[p] += n
+                delta[p] += n
+                changed.add(p)
                 if z in p or p == (a, b):
                     where[p].append(k)
-                changed.add(p)
         for p in changed:
-            if counts[p] > 0 and (p in exact or p[0] >= known or p[1] >= known or counts[p] > at_start.get(p, 0)):
-                heapq.heappush(heap, entry(p))
+            now = entry(p)
+            if not now[0]:
+                pushed.pop(p, None)
+            elif pushed.get(p) != now[0]:
+                pushed[p] = now[0]
+                heapq.heappush(heap, now)
     return merges
 
 
+def _rows_of_pairs(values: np.ndarray, offsets: np.ndarray, covered: list[tuple[int, int, int]]) -> dict[tuple[int, int], array]:
+    """The words that hold each covered pair, by slices of the flat symbols."""
+    keys = np.array([a << 32 | b for a, b, _ in covered], np.int64)
+    by = np.argsort(keys)
+    keys, found = keys[by], []
+    for low in range(0, max(len(values) - 1, 0), _SLICE):
+        part = values[low : low + _SLICE + 1].astype(np.int64)
+        pair = part[:-1] << 32 | part[1:]
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == pair)
+        row = np.searchsorted(offsets, hit + low, side="right") - 1
+        inside = hit + low + 1 < offsets[row + 1]
+        found.append((by[at[hit[inside]]].astype(np.int32), row[inside].astype(np.int32)))
+    if not found:
+        return {}
+    rank, row = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(rank, kind="stable")
+    rank, row = rank[order], row[order]
+    edges = np.searchsorted(rank, np.arange(len(covered) + 1))
+    return {
+        (a, b): array("i", row[low:high].tobytes())
+        for (a, b, _), low, high in zip(covered, edges[:-1].tolist(), edges[1:].tolist())
+        if high > low
+    }
+
+
 def safe_merges(ranked: list[tuple[int, int, int]], vocab: list[str], size: int, complete: bool) -> list[tuple[int, int, int]]:
     """The leading pairs that one-at-a-time merging would also take next, by their counts alone.
 
@@ -310,6 +359,8 @@ def train_vocabulary(counts: DataFrame, size: int = VOCAB_SIZE, look_ahead: int
         if not ranked:
             break
         merges = _next_merges(words, ranked, vocab, size, look_ahead)
+        if len(vocab) >= size:
+            break
         after = stage(_merge_words(words, merges))
         changed = after.where("was IS NOT NULL")
         deltas = _pair_rows(changed, "was", -1).unionByName(_pair_rows(changed, "s"))
@@ -337,17 +388,14 @@ def _symbol_ids(counts: DataFrame, vocab: list[str]) -> DataFrame:
 def _next_merges(words: DataFrame, ranked: list[tuple[int, int, int]], vocab: list[str], size: int, look_ahead: int):
     complete = len(ranked) < CANDIDATES
     holding = _first_pair(words, ranked)
-    # How many symbols the words of the first 1, 3, 7, .. pairs have.
-    sizes = holding.groupBy(F.floor(F.log2(F.col("first") + 1)).alias("k")).agg(F.sum(F.size("s")).alias("symbols")).collect()
-    total, reach = 0, 0
-    for r in sorted(sizes, key=lambda r: r["k"]):
-        total += r["symbols"]
-        if total > look_ahead:
-            break
-        reach = 2 ** (r["k"] + 1) - 1
+    # How many symbols each pair's words add: at most CANDIDATES rows.
+    sizes = holding.groupBy("first").agg(F.sum(F.size("s")).alias("symbols")).toArrow()
+    added = np.zeros(len(ranked), np.int64)
+    added[sizes.column("first").to_numpy()] = sizes.column("symbols").to_numpy()
+    reach = int(np.searchsorted(np.cumsum(added), look_ahead, side="right"))
     reach = min(reach, len(ranked) if complete else len(ranked) - 1)
     if not reach:
         return safe_merges(ranked, vocab, size, complete)
-    seen = holding.where(F.col("first") < reach).select("s", "n").toArrow()
+    seen = holding.where(F.col("first") < reach).select("s", "n").toArrow().combine_chunks()
     bound = ranked[reach] if reach < len(ranked) else None
-    return leading_merges(seen.column("s").to_pylist(), seen.column("n").to_pylist(), ranked[:reach], bound, vocab, size)
+    return leading_merges(seen.column("s").chunk(0), seen.column("n").chunk(0), ranked[:reach], bound, vocab, size)

@@ -92,6 +92,24 @@ def test_look_ahead_equals_one_merge_at_a_time():
         assert vocab == expected, trial
 
 
+def test_last_round_of_training_rewrites_no_word(spark, monkeypatch):
+    counts = vocabulary.word_counts(spark.createDataFrame([(TEXT,)], "text string"))
+    known = {r["word"]: r["n"] for r in counts.collect()}
+    monkeypatch.setattr(vocabulary, "_merge_words", lambda *_: pytest.fail("the vocabulary is full"))
+    assert vocabulary.train_vocabulary(counts, 66) == brute_force_vocabulary(known, 66)
+
+
+def test_look_ahead_reads_arrow_lists():
+    import pyarrow as pa
+
+    vocab = [*SPECIAL_TOKENS, "a", "##b", "##c"]
+    words = pa.array([[0], [5, 6, 7], [5, 6], [6, 7, 6, 7]], pa.list_(pa.int32())).slice(1)
+    merges = vocabulary.leading_merges(words, pa.array([3, 1, 2]), [(6, 7, 7), (5, 6, 4)], None, vocab, 99)
+    # ##b ##c seven times, then a ##bc three times, then ##bc ##bc twice, then a ##b once.
+    assert merges == [(6, 7, 8), (5, 8, 9), (8, 8, 10), (5, 6, 11)]
+    assert vocab[8:] == ["##bc", "abc", "##bcbc", "ab"]
+
+
 def test_encoding_equals_library(spark):
     from tokenizers import Tokenizer
     from tokenizers.models import WordPiece
