@@ -87,8 +87,8 @@ def sentences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters of any script."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
+    """Lower-case runs of letters of any script; the common ones are named first, for speed."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z\p{L}]+"), 0)
 
 
 def fill_mask(text: Column, word: Column) -> Column:

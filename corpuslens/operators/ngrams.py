@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from .skew import hot_key_join, salted_join
 ALPHA = 1.0
 END = ""  # follows the last word of a text
 ANY = "*"  # stands for every following word; no word holds it
+SLICE_WORDS = 1 << 19  # of the texts counted at a time
 
 
 def ngram_counts(df: DataFrame, n: int, groups: Sequence[str], text: str = "text") -> DataFrame:
@@ -58,6 +60,43 @@ def word_pairs(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFr
     return explode_rows(tokens, keep, pairs, "_p").select(*keep, "_p.*")
 
 
+def counted_pairs(df: DataFrame, keep: Sequence[str], text: str = "text", second: bool = True) -> DataFrame:
+    """(keep, w1, w2, n): the rows of ``word_pairs`` counted inside the tasks, slice by slice of the
+    texts, so the rows can be dealt out by pair at once; equal rows of other slices remain. Without
+    ``second``, ``w2`` is ``ANY`` for every following word."""
+    tokens = df.select(*keep, words(F.col(text)).alias("_w"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "_w")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("_w")), 0).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(sizes, dtype=np.int64) - 1) // SLICE_WORDS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                if sizes[low:high].any():
+                    yield count_slice(batch.slice(low, high - low), sizes[low:high])
+
+    def count_slice(rows: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        head = np.zeros(rows.num_rows, np.int64)
+        for name in keep:
+            coded = rows.column(name).dictionary_encode(null_encoding="encode")
+            head = head * len(coded.dictionary) + coded.indices.to_numpy()
+        _, some, head = np.unique(head, return_index=True, return_inverse=True)
+        coded = rows.column("_w").flatten().dictionary_encode()
+        known = pa.concat_arrays([coded.dictionary, pa.array([END, ANY], coded.dictionary.type)])
+        last, span = len(known) - 2, len(known)
+        first = coded.indices.to_numpy().astype(np.int64)
+        after = np.append(first[1:], last) if second else np.full(len(first), last + 1)
+        after[np.cumsum(sizes)[sizes > 0] - 1] = last
+        key, n = np.unique((np.repeat(head, sizes) * span + first) * span + after, return_counts=True)
+        heads = pa.array(some[key // (span * span)])
+        columns = [rows.column(name).take(heads) for name in keep]
+        columns += [known.take(pa.array(c)) for c in (key // span % span, key % span)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], [*keep, "w1", "w2", "n"])
+
+    return tokens.mapInArrow(count, f"{types}, w1 string, w2 string, n bigint")
+
+
 def training_sides(
     df: DataFrame, id_col: str, corpus: str, seeds: Sequence[int], parts: int = 85
 ) -> DataFrame:
@@ -73,11 +112,13 @@ def training_sides(
     return salted_join(df, by_corpus, [corpus], [id_col]).withColumn("sides", bits).drop("_cuts")
 
 
-def run_counts(pairs: DataFrame, keys: Sequence[str], n_seeds: int) -> DataFrame:
-    """Per key: ``n`` over the whole corpus and ``train``, its count on each seed's side."""
-    sums = [F.sum(F.shiftright("sides", i).bitwiseAND(1)) for i in range(n_seeds)]
+def run_counts(pairs: DataFrame, keys: Sequence[str], n_seeds: int, n: Column | None = None) -> DataFrame:
+    """Per key: ``n`` over the whole corpus and ``train``, its count on each seed's side. A row
+    stands for ``n`` occurrences, for one by default."""
+    n = F.lit(1) if n is None else n
+    sums = [F.sum(n * F.shiftright("sides", i).bitwiseAND(1)) for i in range(n_seeds)]
     return pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[s.cast("bigint").alias(f"_t{i}") for i, s in enumerate(sums)]
+        F.sum(n).cast("bigint").alias("n"), *[s.cast("bigint").alias(f"_t{i}") for i, s in enumerate(sums)]
     ).select(*keys, "n", F.array(*[F.col(f"_t{i}") for i in range(n_seeds)]).alias("train"))
 
 
@@ -86,14 +127,20 @@ def vocabulary_size(df: DataFrame, text: str = "text") -> DataFrame:
     return explode_rows(df, [], words(F.col(text)), "_w").agg(F.countDistinct("_w").alias("v"))
 
 
+def _by_hash(*keys: str):
+    """A window over equal keys; rows are sorted by one number before the words are compared."""
+    return Window.partitionBy(F.xxhash64(*keys), *keys)
+
+
 def adapted_counts(df: DataFrame, id_col: str, corpus: str, seed: int, epochs: int) -> DataFrame:
     """The pairs of each corpus with their count in the base model and in the model
     adapted for 1..``epochs`` epochs (columns ``epoch_0`` ..)."""
     sided = training_sides(df, id_col, corpus, [seed])
-    pairs = word_pairs(sided, [corpus, "sides"]).where(F.col("w2") != END)
-    counts = run_counts(pairs, [corpus, "w1", "w2"], 1)
+    # One shuffle, by pair: it serves the counts of each corpus and the sum over the corpora.
+    pairs = counted_pairs(sided, [corpus, "sides"]).where(F.col("w2") != END).repartition("w1", "w2")
+    counts = run_counts(pairs, [corpus, "w1", "w2"], 1, F.col("n"))
     own, train = F.col("n"), F.col("train")[0]
-    other = F.sum("n").over(Window.partitionBy("w1", "w2")) - own
+    other = F.sum("n").over(_by_hash("w1", "w2")) - own
     adapted = counts.withColumn("_base", other)
     steps = [(F.col("_base") + e * train).alias(f"epoch_{e}") for e in range(epochs + 1)]
     return adapted.select(corpus, "w1", "w2", *steps)
@@ -301,39 +348,41 @@ def heldout_perplexity(
     pairs in one task.
     """
     sided = training_sides(df, id_col, corpus, seeds)
-    counts = stage(
-        run_counts(word_pairs(sided, [corpus, "sides"]), [corpus, "w1", "w2"], len(seeds))
-    )
+    # Each is dealt out once, by pair or word, which serves the counts of a corpus and of all.
+    pairs = counted_pairs(sided, [corpus, "sides"]).where(F.col("w2") != END).repartition("w1", "w2")
+    counts = run_counts(pairs, [corpus, "w1", "w2"], len(seeds), F.col("n"))
+
     def log_sums(rows: DataFrame, extra: Column, out: str) -> DataFrame:
-        """Sum of test count times log count per corpus, seed and epoch; a row per pair and seed
-        that tests it, with the epochs as columns of the one aggregate."""
-        sides = F.transform(
-            "train",
-            lambda t, i: F.struct(i.alias("i"), (F.col("n") - t).alias("test"), t.alias("train")),
-        )
-        seen = F.filter(sides, lambda s: s["test"] > 0)
-        tested = explode_rows(rows.withColumn("_x", extra), [corpus, "base", "_x"], seen, "_s")
-        count = F.col("base") + F.col("_x")
-        logs = [F.sum(F.col("_s.test") * F.ln(count + e * F.col("_s.train"))) for e in range(epochs + 1)]
-        sums = tested.groupBy(corpus, F.col("_s.i").alias("_i")).agg(
-            F.array(*logs).alias("_logs"), F.sum("_s.test").alias("tokens")
+        """Sum of test count times log count per corpus, seed and epoch. Most rows have few
+        different counts, so rows of equal counts are counted before they are dealt to the
+        seeds, and each pair of counts takes its logs once."""
+        equal = rows.groupBy(corpus, "base", "n", "train").agg(F.count("*").alias("_rows"))
+        sides = F.array(
+            *[
+                F.struct(F.lit(i).alias("i"), (F.col("n") - F.col("train")[i]).alias("test"), F.col("train")[i].alias("train"))
+                for i in range(len(seeds))
+            ]
         )
+        tested = equal.select(corpus, "base", "_rows", F.explode(sides).alias("_s")).where(F.col("_s.test") > 0)
+        alike = tested.groupBy(
+            corpus, "base", F.col("_s.i").alias("_i"), F.col("_s.test").alias("test"), F.col("_s.train").alias("train")
+        ).agg(F.sum("_rows").alias("_rows"))
+        weight = F.col("_rows") * F.col("test")
+        count = F.col("base") + extra
+        logs = [F.sum(weight * F.ln(count + e * F.col("train"))) for e in range(epochs + 1)]
+        sums = alike.groupBy(corpus, "_i").agg(F.array(*logs).alias("_logs"), F.sum(weight).alias("tokens"))
         return sums.select(corpus, "_i", "tokens", F.posexplode("_logs").alias("epoch", out))
 
-    inner = F.col("w2") != END
-    base2 = F.sum("n").over(Window.partitionBy("w1", "w2")) - F.col("n")
-    upper = log_sums(counts.where(inner).withColumn("base", base2), F.lit(ALPHA), "_upper")
+    base2 = F.sum("n").over(_by_hash("w1", "w2")) - F.col("n")
+    upper = log_sums(counts.withColumn("base", base2), F.lit(ALPHA), "_upper")
 
-    firsts = counts.groupBy(corpus, "w1").agg(
-        F.sum(F.when(inner, F.col("n")).otherwise(0)).alias("n"),
-        F.array(
-            *[F.sum(F.when(inner, F.col("train")[i]).otherwise(0)) for i in range(len(seeds))]
-        ).alias("train"),
-    )
-    base1 = F.sum("n").over(Window.partitionBy("w1")) - F.col("n")
-    v = counts.agg(F.countDistinct("w1").alias("v")).withColumn("_one", F.lit(1))
-    firsts = firsts.withColumn("base", base1).withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one")
-    lower = log_sums(firsts, ALPHA * F.col("v"), "_lower").drop("tokens")
+    # A word that only ends texts has no pair, but is one of the ``v`` words.
+    starts = counted_pairs(sided, [corpus, "sides"], second=False).repartition("w1")
+    inner = F.when(F.col("w2") != END, F.col("n")).otherwise(F.lit(0))
+    firsts = run_counts(starts, [corpus, "w1"], len(seeds), inner)
+    firsts = stage(firsts.withColumn("base", F.sum("n").over(_by_hash("w1")) - F.col("n")))
+    v = firsts.agg(F.countDistinct("w1")).first()[0]
+    lower = log_sums(firsts, F.lit(ALPHA * v), "_lower").drop("tokens")
     return upper.join(lower, [corpus, "_i", "epoch"]).select(
         corpus,
         F.get(F.array(*map(F.lit, seeds)), F.col("_i")).alias("seed"),

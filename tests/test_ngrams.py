@@ -148,3 +148,26 @@ def test_a_sentence_without_an_answer_word_is_masked_in_the_middle(spark):
         ("He saw [MASK] sea and the sky.", 0, "saw", "sea"), ("He saw the sea and [MASK] sky.", 0, "and", "sky"),
         ("No such [MASK] here.", -1, "such", "here"), ("Two [MASK]", -1, "two", None),
     ]
+
+
+def test_pairs_counted_in_tasks_equal_single_pairs(spark, monkeypatch):
+    rows = [("a", 1, "x y x y. x"), ("a", 1, "x y"), (None, 0, "x y"), ("b", 1, None), ("b", 3, ""), ("b", 3, "z " * 40)]
+    df = spark.createDataFrame(rows, "corpus string, sides int, text string")
+    keys = ["corpus", "sides", "w1", "w2"]
+    single = ngrams.word_pairs(df, keys[:2]).groupBy(*keys).count()
+    for words in (1 << 19, 3):
+        monkeypatch.setattr(ngrams, "SLICE_WORDS", words)
+        counted = ngrams.counted_pairs(df, keys[:2]).groupBy(*keys).agg({"n": "sum"})
+        assert sorted(map(str, map(tuple, counted.collect()))) == sorted(map(str, map(tuple, single.collect())))
+    alone = ngrams.counted_pairs(df, ["corpus"], second=False)
+    assert {r["w2"] for r in alone.collect()} == {ngrams.ANY, ngrams.END}
+
+
+def test_pairs_are_dealt_out_once(spark):
+    df = spark.createDataFrame([(i, f"c{i % 2}", "a b c a b") for i in range(20)], "id long, corpus string, text string")
+    adapted = ngrams.adapted_counts(df, "id", "corpus", 7, 2)
+    heldout = ngrams.heldout_perplexity(df, "id", "corpus", [7, 8], 2)
+    for result in (adapted, heldout):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "w2" in line]
+        assert len(dealt) == 1, plan
