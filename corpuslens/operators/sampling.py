@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_key
+from ..session import stage
 from .ranking import Size, draw_cuts, position_bucket, rank_cuts, shuffled_position, within
 from .skew import salted_join
 
@@ -102,6 +103,7 @@ def split_chunks(
     chunks: DataFrame, keys: Sequence[str], seeds: Sequence[int], train: Size, test: Size, groups: Sequence[str] = ()
 ) -> DataFrame:
     """The side of every packed chunk, per seed: ``groups``, ``keys``, seed, split. A chunk is
-    drawn by all of its key columns; only keys are moved, and the chunks meet their side by them."""
-    named = chunks.select(*groups, *keys, F.concat_ws(":", *groups, *keys).alias("_id"))
+    drawn by all of its key columns; only keys are moved, and the chunks meet their side by them.
+    The keys are read several times, so they are staged: the chunks are packed once."""
+    named = stage(chunks.select(*groups, *keys, F.concat_ws(":", *groups, *keys).alias("_id")))
     return split_rows(named, "_id", seeds, train, test, groups, keep_rest=True).drop("_id")

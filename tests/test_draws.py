@@ -100,3 +100,16 @@ def test_skew_joins_equal_plain_join(spark, rows, how):
     hot = hot_key_join(rows, small, "g", ["id"], how).select("g", "id", "n").collect()
     assert sorted(map(tuple, salted), key=repr) == want
     assert sorted(map(tuple, hot), key=repr) == want
+
+
+def test_chunks_are_computed_once_for_their_split(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    chunks = spark.range(100).selectExpr("id % 2 AS source", "id AS batch").mapInArrow(count, "source long, batch long")
+    sides = sampling.split_chunks(chunks, ["batch"], [1, 2], sampling.share(85, 100), sampling.share(15, 100, "ceil"), ["source"])
+    assert sides.count() == 200 and made.value == 100
