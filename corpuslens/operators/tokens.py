@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from ..constants import CLS_ID, PAD_ID, SEP_ID, UNK_ID
 from ..functions.text import BLANK
 
 WORD = r"\p{L}\p{M}\p{N}_"
+#: What a task remembers of the words it has matched.
+MATCHED_BYTES = 64_000_000
 
 
 def pre_tokens(text: Column) -> Column:
@@ -39,12 +41,29 @@ def longest_match(word: str, vocab: dict[str, int], longest: int) -> list[int]:
     return ids
 
 
-def match_batch(rows: pa.ListArray, vocab: dict[str, int]) -> pa.StructArray:
+class Matched(dict):
+    """Word -> pieces, matched when first asked for. Holds at most some 64 MB of words."""
+
+    def __init__(self, vocab: dict[str, int]):
+        super().__init__()
+        self.vocab, self.longest, self.held = vocab, max(map(len, vocab), default=0), 0
+
+    def __missing__(self, word: str) -> list[int]:
+        pieces = longest_match(word, self.vocab, self.longest)
+        self.held += 200 + 4 * len(word) + 8 * len(pieces)
+        if self.held > MATCHED_BYTES:
+            self.clear()
+            self.held = 0
+        self[word] = pieces
+        return pieces
+
+
+def match_batch(rows: pa.ListArray, vocab: dict[str, int] | Matched) -> pa.StructArray:
     """Pieces of a batch of word lists. Each distinct word is matched once; the rest is
     array arithmetic."""
+    matched = vocab if isinstance(vocab, Matched) else Matched(vocab)
     coded = rows.flatten().dictionary_encode()
-    longest = max(map(len, vocab), default=0)
-    found = [longest_match(w, vocab, longest) for w in coded.dictionary.to_pylist()]
+    found = [matched[w] for w in coded.dictionary.to_pylist()]
     counts = np.array([len(f) for f in found], dtype="int64")
     pieces = np.fromiter((i for f in found for i in f), dtype="int32", count=counts.sum())
     first = np.cumsum(counts) - counts
@@ -76,8 +95,10 @@ def encode(df: DataFrame, vocab: Sequence[str], text: str = "text") -> DataFrame
     table = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
 
     @F.arrow_udf("ids array<int>, word_ids array<int>")
-    def pieces(batch: pa.Array) -> pa.Array:
-        return match_batch(batch, table.value)
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matched = Matched(table.value)
+        for batch in batches:
+            yield match_batch(batch, matched)
 
     return (
         df.withColumn("_e", pieces(pre_tokens(F.col(text))))
@@ -116,9 +137,13 @@ def segment_ids(ids: Column, second: Column | None = None) -> Column:
     return first if second is None else F.concat(first, F.array_repeat(F.lit(1), F.size(second) + 1))
 
 
+def is_special(token: Column) -> Column:
+    return token.isin(CLS_ID, SEP_ID, PAD_ID)
+
+
 def special_mask(ids: Column) -> Column:
     """1 on special tokens."""
-    return F.transform(ids, lambda x: x.isin(CLS_ID, SEP_ID, PAD_ID).cast("int"))
+    return F.transform(ids, lambda x: is_special(x).cast("int"))
 
 
 def token_rows(df: DataFrame, vocab: Sequence[str], text: str = "text", max_len: int | None = None) -> DataFrame:

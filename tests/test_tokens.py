@@ -221,3 +221,35 @@ def test_frequent_pieces_lose_nothing(spark):
         assert spelled == r["w"] if r["id"] == 0 else spelled == ["[UNK]"]
     with pytest.raises(ValueError, match="letters"):
         vocabulary.frequent_pieces(counts, 40)
+
+
+def test_a_task_matches_a_word_once(monkeypatch):
+    import pyarrow as pa
+
+    asked, plain = [], tokens.longest_match
+    monkeypatch.setattr(tokens, "longest_match", lambda w, *rest: asked.append(w) or plain(w, *rest))
+    vocab = {"a": 5, "##b": 6, "ab": 7}
+    rows = pa.array([["ab", "abb", "ab"], None, ["x"]], pa.list_(pa.string()))
+    matched = tokens.Matched(vocab)
+    first, again = (tokens.match_batch(rows, matched).to_pylist() for _ in range(2))
+    assert first == again == tokens.match_batch(rows, vocab).to_pylist()
+    assert [r["ids"] for r in first] == [[7, 7, 6, 7], [], [0]]
+    assert sorted(asked[:3]) == ["ab", "abb", "x"] and len(asked) == 6  # three more for the plain call
+    monkeypatch.setattr(tokens, "MATCHED_BYTES", 1)
+    assert tokens.match_batch(rows, tokens.Matched(vocab)).to_pylist() == first
+
+
+def test_masking_turns_a_key_into_a_number_only_for_random_tokens(spark):
+    import hashlib
+
+    chunks = spark.createDataFrame([("k", [CLS_ID, *range(5, 60), SEP_ID])], "k string, input_ids array<int>")
+    for probability in (0.0, 0.15, 1.0):
+        out = masking.mlm_mask(chunks, F.col("k"), 100, 7, 2, probability=probability)
+        row = out.first()
+        for i, x in enumerate(row["input_ids"]):
+            key = hashlib.md5(f"7:2:k:{i}".encode()).hexdigest()
+            h1, h2 = int(key[:8], 16), int(key[8:16], 16)
+            picked = x not in (CLS_ID, SEP_ID) and h1 < int(probability * (1 << 32))
+            masked = x if not picked or h2 >= int(0.9 * (1 << 32)) else MASK_ID if h2 < int(0.8 * (1 << 32)) else h1 % 100
+            assert (row["masked_ids"][i], row["labels"][i]) == (masked, x if picked else IGNORE_LABEL)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("conv(") == 1
