@@ -25,7 +25,11 @@ ENDINGS = 2000
 #: the pairs it ranks.
 LOOK_AHEAD = 2_000_000
 CANDIDATES = 1 << 15
+#: Leading pairs at which the first round cuts words, and how many times as many a later round may take.
+FIRST_REACH, GROWTH = 256, 4
 _SLICE = 1 << 20
+#: Pairs or runs that a task holds before it sums them.
+_HELD = 1 << 21
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -99,19 +103,59 @@ def merged(a: str, b: str) -> str:
     return a + (b[len(MARK):] if b.startswith(MARK) else b)
 
 
-def _pair_rows(words: DataFrame, column: str, sign: int = 1) -> DataFrame:
-    """(a, b, n) of every neighbour pair of symbol ids, n being the word's count."""
-    s = F.col(column)
-    pairs = F.transform(
-        F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))),
-        lambda x, i: F.struct(x.alias("a"), F.get(s, i + 1).alias("b")),
-    )
-    rows = explode_rows(words, ["n"], pairs, "_p")
-    return rows.select("_p.a", "_p.b", (sign * F.col("n")).alias("n"))
-
+def _flat(column: pa.ListArray | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a batch's words or runs in one array, and where each starts."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    if pa.types.is_binary(column.type):
+        _, ends, held = column.buffers()
+        offsets = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+        values = np.frombuffer(held, np.int32, offsets[-1])
+    else:
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        values = column.values.to_numpy()
+    return values[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
+
+
+def _pair_keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair that starts at each symbol as one number (-1 at the end of a word), and the word of
+    each symbol."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    keys = np.full(len(values), -1, np.int64)
+    keys[:-1] = np.where(row[:-1] == row[1:], values[:-1] << 32 | values[1:], -1)
+    return keys, row
+
+
+def _neighbours(words: DataFrame) -> DataFrame:
+    """(a, b, n) of all neighbour pairs of symbol ids, n being the sum of the words' counts. Pairs
+    are summed inside the tasks before they are dealt out."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, weights = (np.concatenate(x) for x in zip(*parts))
+        by = np.argsort(keys)
+        keys = keys[by]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.add.reduceat(weights[by], first)
+        ids = [pa.array((x).astype(np.int32)) for x in (keys[first] >> 32, keys[first] & 0xFFFFFFFF)]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(n)], ["a", "b", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, row = _pair_keys(*_flat(batch.column(0)))
+            some = np.flatnonzero(keys >= 0)
+            parts.append((keys[some], batch.column(1).to_numpy()[row[some]]))
+            held += len(some)
+            if held > _HELD:
+                yield summed(parts)
+                parts, held = [], 0
+        if held:
+            yield summed(parts)
 
-def _sum_pairs(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+    rows = words.select("s", "n").mapInArrow(count, "a int, b int, n bigint")
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _leading_pairs(pairs: DataFrame, vocab: list[str], most: int) -> list[tuple[int, int, int]]:
@@ -161,70 +205,198 @@ def merge_pair(symbols: list[int], a: int, b: int, z: int) -> list[int]:
     return out
 
 
+def merge_rows(values: np.ndarray, offsets: np.ndarray, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a batch after the merges, taken one after another. Words take their steps
+    side by side: each step makes the first merge that a word still holds."""
+    width = 1 + max(int(values.max(initial=0)), max(max(m) for m in merges))
+    a, b, z = np.array(merges, np.int64).T
+    count = len(merges)
+    steps = np.sort((a * width + b) * count + np.arange(count))
+    firsts, lengths = offsets[:-1].copy(), np.diff(offsets)
+    out = values.copy()
+    # Words that may still change, in rows of their own: their symbols, the row of each, the next merge.
+    word = np.flatnonzero(lengths > 1)
+    row = np.repeat(np.arange(len(word)), lengths[word])
+    now = values[np.repeat(lengths > 1, lengths)]
+    least = np.zeros(len(word), np.int64)
+    while len(word):
+        pair = np.where(row[:-1] == row[1:], now[:-1] * width + now[1:], -1)
+        wanted = pair * count + least[row[:-1]]
+        at = np.minimum(np.searchsorted(steps, wanted), count - 1)
+        hit = np.flatnonzero((steps[at] // count == pair) & (steps[at] >= wanted))
+        first = np.full(len(word), count, np.int64)
+        np.minimum.at(first, row[hit], steps[at[hit]] % count)
+        hit = hit[steps[at[hit]] % count == first[row[hit]]]
+        # Of overlapping places of one symbol twice, every other one from the left.
+        place = np.arange(len(hit))
+        streak = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
+        hit = hit[(place - np.maximum.accumulate(np.where(streak, place, 0))) % 2 == 0]
+        now[hit] = z[first[row[hit]]]
+        rest = np.ones(len(now), bool)
+        rest[hit + 1] = False
+        now, row = now[rest], row[rest]
+        # A word without a further merge, or of one symbol, is done.
+        size = np.bincount(row, minlength=len(word))
+        on = (first < count) & (size > 1)
+        done = np.flatnonzero(~on)
+        lengths[word[done]] = size[done]
+        ended = np.repeat(~on, size)
+        start = np.cumsum(size) - size
+        inside = np.arange(len(now)) - np.repeat(start, size)
+        out[(firsts[word[row]] + inside)[ended]] = now[ended]
+        now, row = now[~ended], (np.cumsum(on) - 1)[row[~ended]]
+        word, least = word[on], first[on] + 1
+    kept = np.arange(len(values)) - np.repeat(firsts, np.diff(offsets)) < np.repeat(lengths, np.diff(offsets))
+    return out[kept], np.concatenate([[0], np.cumsum(lengths)])
+
+
 def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """(s, n, was): words after the merges, taken one after another; ``was`` is null where nothing
-    changed. Only the words that hold a merged pair are touched."""
+    """(s, n): words after the merges. A word of one symbol holds no pair any more and goes."""
     held = words.sparkSession.sparkContext.broadcast(merges)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = defaultdict(list)
-        for rank, (a, b, _) in enumerate(held.value):
-            places[a, b].append(rank)
-        firsts = np.sort(np.array([a << 32 | b for a, b in places], np.int64))
         for batch in batches:
-            offsets = batch.column(0).offsets.to_numpy()
-            values = batch.column(0).values.to_numpy()
-            wide = values.astype(np.int64)
-            pair = wide[:-1] << 32 | wide[1:]
-            hit = firsts[np.minimum(np.searchsorted(firsts, pair), len(firsts) - 1)] == pair
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            touched = np.flatnonzero(sums[np.maximum(offsets[1:] - 1, offsets[:-1])] > sums[offsets[:-1]])
-            now = batch.column(0).take(pa.array(touched)).to_pylist()
-            was = list(now)
-            for k, symbols in enumerate(was):
-                least = 0
-                while True:
-                    ranks = [r for p in zip(symbols, symbols[1:]) for r in places.get(p, ()) if r >= least]
-                    if not ranks:
-                        break
-                    least = min(ranks)
-                    symbols = merge_pair(symbols, *held.value[least])
-                    least += 1
-                now[k] = symbols
-            ids, names = pa.list_(pa.int32()), ["s", "n", "was"]
-            rest = np.ones(batch.num_rows, bool)
-            rest[touched] = False
-            same = batch.filter(pa.array(rest))
-            yield pa.RecordBatch.from_arrays([*same.columns, pa.nulls(same.num_rows, ids)], names)
-            yield pa.RecordBatch.from_arrays([pa.array(now, ids), batch.column(1).take(pa.array(touched)), pa.array(was, ids)], names)
-
-    return words.select("s", "n").mapInArrow(apply, "s array<int>, n bigint, was array<int>")
+            if not batch.num_rows:
+                continue
+            values, offsets = merge_rows(*_flat(batch.column(0)), held.value)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+            out = pa.RecordBatch.from_arrays([lists, batch.column(1)], ["s", "n"])
+            yield out.filter(pa.array(np.diff(offsets) > 1))
+
+    return words.select("s", "n").mapInArrow(apply, "s array<int>, n bigint")
+
+
+def _runs(words: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame:
+    """(run, n): the longest parts of words in which all neighbours are one of ``pairs``, as bytes of
+    32-bit ids, and how often each occurs. ``words`` may be runs of more pairs."""
+    held = words.sparkSession.sparkContext.broadcast(np.sort(np.array([a << 32 | b for a, b, _ in pairs], np.int64)))
+
+    def cut(batch: pa.RecordBatch) -> pa.Table:
+        values, offsets = _flat(batch.column(0))
+        keys, row = _pair_keys(values, offsets)
+        known = held.value
+        on = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+        before = np.concatenate([[False], on[:-1]])
+        starts = np.flatnonzero(on & ~before)
+        ends = np.flatnonzero(~on & before)
+        size = 4 * np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        symbols = values[on | before].astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(size.astype(np.int32)), pa.py_buffer(symbols)])
+        return pa.table({"run": binary, "n": batch.column(1).to_numpy()[row[starts]]})
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(parts).group_by("run").aggregate([("n", "sum")])
+        return pa.table({"run": rows.column("run"), "n": rows.column("n_sum")})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts.append(cut(batch))
+            held += parts[-1].num_rows
+            if held > _HELD:
+                parts = [summed(parts)]
+                held = parts[0].num_rows
+                if held > _HELD // 2:
+                    yield from parts[0].to_batches()
+                    parts, held = [], 0
+        if held:
+            yield from summed(parts).to_batches()
+
+    rows = words.select(words.columns[0], "n").mapInArrow(find, "run binary, n bigint")
+    return rows.groupBy("run").agg(F.sum("n").alias("n"))
+
+
+class _Borders:
+    """What may hide where words were cut into runs.
+
+    A run ends between two symbols that are no covered pair. Merges on both sides make other pairs
+    of the two places, each at most as often as the cut pair (l, f) was there. So the pair (x, y) hides
+    at most the sum over the symbols l that x may have ended with, and those that y may have begun with,
+    when the round began. These are one each, unless a token was made in two ways; only then can a
+    pair both show in runs and hide between them, or hide more often than ``most``.
+    """
+
+    def __init__(self, covered: list[tuple[int, int, int]], rest: list[tuple[int, int, int]], floor: int):
+        self.most = self.floor = floor
+        self.cut: dict[tuple[int, int], int] = {(a, b): 0 for a, b, _ in covered}
+        self.after, self.before = defaultdict(set), defaultdict(set)
+        for a, b, n in rest:
+            self.cut[a, b] = n
+            self.after[a].add(b)
+            self.before[b].add(a)
+            self.most = max(self.most, n)
+        self.lasts: dict[int, frozenset[int]] = {}
+        self.firsts: dict[int, frozenset[int]] = {}
+        self.many_lasts: set[int] = set()
+        self.many_firsts: set[int] = set()
+
+    def hidden(self, x: int, y: int) -> int:
+        """How often the pair may be there between runs, where it also shows in them."""
+        if x not in self.many_lasts and y not in self.many_firsts:
+            return 0
+        return self._sum(self._lasts(x), self._firsts(y))
+
+    def make(self, a: int, b: int, z: int, new: bool) -> tuple[bool, bool]:
+        """(a, b) becomes z. Tells whether an older z may now end, or begin, with a further symbol."""
+        lasts, firsts = self._lasts(b), self._firsts(a)
+        if not new:
+            lasts, firsts = lasts | self._lasts(z), firsts | self._firsts(z)
+        ends, begins = not new and lasts != self._lasts(z), not new and firsts != self._firsts(z)
+        self.lasts[z], self.firsts[z] = lasts, firsts
+        if len(lasts) > 1:
+            self.many_lasts.add(z)
+        if len(firsts) > 1:
+            self.many_firsts.add(z)
+        if len(lasts) > 1 and (new or ends):
+            others = set().union(*(self.after.get(x, ()) for x in lasts))
+            single = max((self._sum(lasts, {y}) for y in others), default=0)
+            several = max((self._sum(lasts, self._firsts(y)) for y in self.many_firsts), default=0)
+            self.most = max(self.most, single, several, len(lasts) * self.floor)
+        if len(firsts) > 1 and (new or begins):
+            others = set().union(*(self.before.get(y, ()) for y in firsts))
+            single = max((self._sum({x}, firsts) for x in others), default=0)
+            several = max((self._sum(self._lasts(x), firsts) for x in self.many_lasts), default=0)
+            self.most = max(self.most, single, several, len(firsts) * self.floor)
+        return ends, begins
+
+    def _lasts(self, x: int) -> frozenset[int]:
+        return self.lasts.get(x) or frozenset((x,))
+
+    def _firsts(self, y: int) -> frozenset[int]:
+        return self.firsts.get(y) or frozenset((y,))
+
+    def _sum(self, lasts, firsts) -> int:
+        return sum(self.cut.get((x, y), self.floor) for x in lasts for y in firsts)
 
 
 def leading_merges(
-    words: list[list[int]] | pa.ListArray, weights: list[int] | pa.Array, covered: list[tuple[int, int, int]],
-    bound: tuple[int, int, int] | None, vocab: list[str], size: int,
+    words: list[list[int]] | pa.ListArray | pa.BinaryArray, weights: list[int] | pa.Array, covered: list[tuple[int, int, int]],
+    bound: tuple[int, int, int] | None, vocab: list[str], size: int, borders: _Borders | None = None,
 ) -> list[tuple[int, int, int]]:
     """The merges that one-at-a-time training takes next, as far as these words can tell.
 
     ``words`` are all words that hold a ``covered`` pair; every other pair comes after ``bound`` (a,
     b, n) or is not there. A pair of a new symbol lies in these words alone, so its count is known. A
     pair that grows without being covered may have up to ``bound``'s count elsewhere; when that
-    would make it the next, the round ends. ``vocab`` grows by the new symbols.
+    would make it the next, the round ends.
+
+    With ``borders`` they are the runs of covered pairs that words were cut into. The round then also
+    ends where a pair that hides between runs may be the next, or a part of the next one may hide.
 
     The symbols stay in one flat array, a word's own being rewritten in its place, and only the
     words of covered and new pairs are indexed.
     """
-    lists = words if isinstance(words, pa.ListArray) else pa.array(words, pa.list_(pa.int32()))
-    offsets = lists.offsets.to_numpy()
-    values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
-    flat = array("i", values.tobytes())
-    starts = array("q", (offsets[:-1] - offsets[0]).astype(np.int64).tobytes())
+    lists = words if isinstance(words, pa.Array) else pa.array(words, pa.list_(pa.int32()))
+    values, offsets = _flat(lists)
+    flat = array("i", values.astype(np.int32).tobytes())
+    starts = array("q", offsets[:-1].tobytes())
     lengths = array("i", np.diff(offsets).astype(np.int32).tobytes())
     weights = array("q", np.asarray(weights, np.int64).tobytes())
     exact = {(a, b): n for a, b, n in covered}
     where: dict[tuple[int, int], array] = defaultdict(lambda: array("i"))
-    where.update(_rows_of_pairs(values, offsets - offsets[0], covered))
+    where.update(_rows_of_pairs(values, offsets, covered))
 
     ids = {t: i for i, t in enumerate(vocab)}
     known = len(vocab)
@@ -234,10 +406,12 @@ def leading_merges(
     def entry(p):
         if p in exact:
             n = exact[p] + delta[p]
-        elif p[0] >= known or p[1] >= known:
+        elif borders or p[0] >= known or p[1] >= known:
             n = delta[p]
         else:
             n = most + delta[p] if delta[p] > 0 else 0
+        if borders and n:
+            n += borders.hidden(*p)
         return -n, vocab[p[0]], vocab[p[1]], *p
 
     heap = [entry(p) for p in exact if p in where]
@@ -250,15 +424,26 @@ def leading_merges(
         a, b = best[3:]
         if best != entry((a, b)) or not best[0]:
             continue  # its count has changed since; the newer entry counts
-        if end and (best[:3] > end or (a, b) not in exact and a < known and b < known):
+        if end and best[:3] > end:
+            break
+        if borders:
+            if merges and (-best[0] <= borders.most or borders.hidden(a, b)):
+                break
+        elif end and (a, b) not in exact and a < known and b < known:
             break
         token = merged(vocab[a], vocab[b])
-        if token not in ids:
+        fresh = token not in ids
+        if fresh:
             ids[token] = len(vocab)
             vocab.append(token)
         z = ids[token]
         merges.append((a, b, z))
         changed = set()
+        if borders:
+            ends, begins = borders.make(a, b, z, fresh)
+            # What may hide has grown for the pairs of z.
+            if ends or begins:
+                changed.update(p for p in where if ends and p[0] == z or begins and p[1] == z)
         for k in set(where.pop((a, b))):
             start, length = starts[k], lengths[k]
             old = flat[start : start + length].tolist()
@@ -341,35 +526,30 @@ def train_vocabulary(counts: DataFrame, size: int = VOCAB_SIZE, look_ahead: int
     """Learn a subword vocabulary of at most ``size`` tokens: special tokens, all letters (first and
     later ones), then the most frequent neighbour pair again and again, whatever its count.
 
-    A round takes many merges, the same ones as merging one at a time. The words that hold the
-    leading pairs, as many pairs as fit into ``look_ahead`` symbols, are indexed by pair, so
-    a merge touches only the words that hold it (``leading_merges``). Where even the first pair's
-    words are too many, the counts alone tell which merges are safe. Spark applies the merges
-    to the words that hold them, and the pair counts are kept and changed by these words' deltas.
+    A round takes many merges, the same ones as merging one at a time. Words are cut into runs of
+    the leading pairs, as many pairs as give ``look_ahead`` symbols in distinct runs; the runs are
+    indexed by pair, so a merge touches only those that hold it (``leading_merges``). Few words
+    are taken whole. Where even the first pair's are too many, the counts alone tell which
+    merges are safe. Spark applies the merges to the words and counts the pairs anew.
     """
     spark = counts.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = stage(counts)
     vocab = SPECIAL_TOKENS + _alphabet_list(counts, size)
-    words = held = stage(_symbol_ids(counts.repartition(tasks), vocab).where(F.size("s") > 1))
-    pairs = stage(_sum_pairs(_pair_rows(words, "s")))
+    words = stage(_symbol_ids(counts.repartition(tasks), vocab).where(F.size("s") > 1))
     drop_stage(counts)
+    reach = FIRST_REACH
     while len(vocab) < size:
-        ranked = _leading_pairs(pairs, vocab, CANDIDATES)
+        ranked = _leading_pairs(_neighbours(words), vocab, CANDIDATES)
         if not ranked:
             break
-        merges = _next_merges(words, ranked, vocab, size, look_ahead)
+        merges, reach = _next_merges(words, ranked, vocab, size, look_ahead, reach)
         if len(vocab) >= size:
             break
         after = stage(_merge_words(words, merges))
-        changed = after.where("was IS NOT NULL")
-        deltas = _pair_rows(changed, "was", -1).unionByName(_pair_rows(changed, "s"))
-        counted = stage(_sum_pairs(pairs.unionByName(deltas)))
-        drop_stage(held, pairs)
-        held, pairs = after, counted
-        # A word of one symbol holds no pair any more.
-        words = after.where(F.size("s") > 1).select("s", "n")
-    drop_stage(held, pairs)
+        drop_stage(words)
+        words = after
+    drop_stage(words)
     return vocab
 
 
@@ -385,8 +565,52 @@ def _symbol_ids(counts: DataFrame, vocab: list[str]) -> DataFrame:
     return counts.select("word", "n").mapInArrow(convert, "s array<int>, n bigint")
 
 
-def _next_merges(words: DataFrame, ranked: list[tuple[int, int, int]], vocab: list[str], size: int, look_ahead: int):
+def _next_merges(
+    words: DataFrame, ranked: list[tuple[int, int, int]], vocab: list[str], size: int, look_ahead: int, reach: int
+) -> tuple[list[tuple[int, int, int]], int]:
+    """The merges of a round, and the number of pairs to cut words at in the next one."""
     complete = len(ranked) < CANDIDATES
+    symbols = words.agg(F.sum(F.size("s"))).first()[0]
+    reach = min(reach, len(ranked) if complete else len(ranked) - 1)
+    if symbols > look_ahead and reach:
+        merges, taken, held = _merges_of_runs(words, ranked, vocab, size, look_ahead, reach, complete)
+        if merges:
+            return merges, max(1, int(taken * min(GROWTH, 0.8 * look_ahead / max(held, 1))))
+    return _merges_of_words(words, ranked, vocab, size, look_ahead, complete), reach
+
+
+def _merges_of_runs(
+    words: DataFrame, ranked: list[tuple[int, int, int]], vocab: list[str], size: int, look_ahead: int, reach: int, complete: bool
+) -> tuple[list[tuple[int, int, int]], int, int]:
+    """The merges that the runs of the first pairs tell, how many pairs these were, and the symbols of the
+    runs. No merges where whole words tell more: the first pairs are as frequent as the first one left out."""
+    floor = 0 if complete else ranked[-1][2]
+    runs, held = words, look_ahead + 1
+    while held > look_ahead:
+        if not reach or reach < len(ranked) and ranked[0][2] == ranked[reach][2]:
+            break
+        # Runs of fewer pairs are parts of the runs of more.
+        cut = stage(_runs(runs, ranked[:reach]))
+        if runs is not words:
+            drop_stage(runs)
+        runs, taken = cut, reach
+        held = runs.agg(F.sum(F.length("run"))).first()[0] // 4
+        reach = min(reach // 2, int(reach * look_ahead / held))
+    merges = []
+    if held <= look_ahead:
+        seen = runs.toArrow().combine_chunks()
+        bound = ranked[taken] if taken < len(ranked) else None
+        borders = _Borders(ranked[:taken], ranked[taken:], floor)
+        merges = leading_merges(seen.column("run").chunk(0), seen.column("n").chunk(0), ranked[:taken], bound, vocab, size, borders)
+    if runs is not words:
+        drop_stage(runs)
+    return merges, taken if merges else 0, held
+
+
+def _merges_of_words(
+    words: DataFrame, ranked: list[tuple[int, int, int]], vocab: list[str], size: int, look_ahead: int, complete: bool
+) -> list[tuple[int, int, int]]:
+    """The merges that whole words tell, or else the counts alone."""
     holding = _first_pair(words, ranked)
     # How many symbols each pair's words add: at most CANDIDATES rows.
     sizes = holding.groupBy("first").agg(F.sum(F.size("s")).alias("symbols")).toArrow()
