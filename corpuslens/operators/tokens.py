@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,24 @@ def pre_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+|[^{WORD}{space}]+"), 0)
 
 
-def longest_match(word: str, vocab: dict[str, int], longest: int) -> list[int]:
+def continuations(vocab: dict[str, int]) -> dict[str, int]:
+    """The pieces that continue a word, without their mark."""
+    return {t[2:]: i for t, i in vocab.items() if t.startswith("##")}
+
+
+def longest_match(word: str, vocab: dict[str, int], longest: int, later: dict[str, int] | None = None) -> list[int]:
     """Ids of the longest vocabulary pieces from left to right, or one unknown. No piece has
-    more than ``longest`` letters, so the time is linear in the length of the word."""
-    ids, start = [], 0
-    while start < len(word):
-        mark = "##" if start else ""
-        for end in range(min(len(word), start + longest), start, -1):
-            piece = vocab.get(mark + word[start:end])
+    more than ``longest`` letters, so the time is linear in the length of the word. ``later``:
+    the vocabulary's ``continuations``, where they are at hand."""
+    if later is None:
+        later = continuations(vocab)
+    ids, start, n, pieces = [], 0, len(word), vocab
+    while start < n:
+        for end in range(min(n, start + longest), start, -1):
+            piece = pieces.get(word[start:end])
             if piece is not None:
                 ids.append(piece)
-                start = end
+                start, pieces = end, later
                 break
         else:
             return [UNK_ID]
@@ -47,9 +55,10 @@ class Matched(dict):
     def __init__(self, vocab: dict[str, int]):
         super().__init__()
         self.vocab, self.longest, self.held = vocab, max(map(len, vocab), default=0), 0
+        self.later = continuations(vocab)
 
     def __missing__(self, word: str) -> list[int]:
-        pieces = longest_match(word, self.vocab, self.longest)
+        pieces = longest_match(word, self.vocab, self.longest, self.later)
         self.held += 200 + 4 * len(word) + 8 * len(pieces)
         if self.held > MATCHED_BYTES:
             self.clear()
@@ -64,23 +73,20 @@ def match_batch(rows: pa.ListArray, vocab: dict[str, int] | Matched) -> pa.Struc
     matched = vocab if isinstance(vocab, Matched) else Matched(vocab)
     coded = rows.flatten().dictionary_encode()
     found = [matched[w] for w in coded.dictionary.to_pylist()]
-    counts = np.array([len(f) for f in found], dtype="int64")
-    pieces = np.fromiter((i for f in found for i in f), dtype="int32", count=counts.sum())
-    first = np.cumsum(counts) - counts
-
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    n = counts[code]
-    ends = np.cumsum(n)
-    source = np.repeat(first[code] - (ends - n), n) + np.arange(n.sum())
-    row_ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
-    row_starts = np.concatenate([[0], row_ends[:-1]]).astype("int64")
-    place = np.arange(len(code)) - np.repeat(row_starts, row_ends - row_starts)
-    bounds = np.concatenate([[0], ends])[np.concatenate([[0], row_ends]).astype("int64")]
-    offsets = pa.array(bounds.astype("int32"))
+    ends = np.cumsum(np.fromiter(map(len, found), "int32", len(found)), dtype="int32")
+    pieces = np.fromiter(chain.from_iterable(found), "int32", ends[-1] if len(ends) else 0)
+    spelled = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(pieces))
+    spelled = spelled.take(coded.indices)
+
+    firsts = spelled.offsets.to_numpy()
+    row_sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    row_ends = np.cumsum(row_sizes, dtype="int64")
+    place = np.arange(len(spelled), dtype="int32") - np.repeat((row_ends - row_sizes).astype("int32"), row_sizes)
+    offsets = pa.array((firsts[np.concatenate([[0], row_ends])] - firsts[0]).astype("int32"))
     return pa.StructArray.from_arrays(
         [
-            pa.ListArray.from_arrays(offsets, pa.array(pieces[source])),
-            pa.ListArray.from_arrays(offsets, pa.array(np.repeat(place, n).astype("int32"))),
+            pa.ListArray.from_arrays(offsets, spelled.flatten()),
+            pa.ListArray.from_arrays(offsets, pa.array(np.repeat(place, np.diff(firsts)))),
         ],
         names=["ids", "word_ids"],
     )

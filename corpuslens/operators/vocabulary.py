@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,31 @@ def _count_pairs(split: DataFrame) -> DataFrame:
     )
 
 
+def _letters(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a batch's words in one array, and where each word starts."""
+    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points, np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(), dtype=np.int64)])
+
+
 def alphabet(counts: DataFrame) -> DataFrame:
     """(piece, n): every letter as the first of a word and as a later one, with its count there."""
-    seen = explode_rows(counts.select(symbols(F.col("word")).alias("_s"), "n"), ["n"], "_s", "piece")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points, offsets = _letters(batch.column(0))
+            keys = 2 * points + 1
+            keys[offsets[:-1]] -= 1
+            weights = np.repeat(batch.column(1).to_numpy(), np.diff(offsets))
+            letters, at = np.unique(keys, return_inverse=True)
+            n = np.zeros(len(letters), np.int64)
+            np.add.at(n, at, weights)
+            pieces = [MARK * (k & 1) + chr(k >> 1) for k in letters.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces), pa.array(n)], ["piece", "n"])
+
+    words = counts.where(F.length("word") > 0).select("word", F.col("n").cast("bigint").alias("n"))
+    seen = words.mapInArrow(count, "piece string, n bigint")
     later = F.startswith("piece", F.lit(MARK)) & (F.length("piece") > len(MARK))
     letter = F.when(later, F.substring("piece", len(MARK) + 1, 1)).otherwise(F.col("piece"))
     both = F.explode(F.array(letter, F.concat(F.lit(MARK), letter)))
@@ -554,13 +577,24 @@ def train_vocabulary(counts: DataFrame, size: int = VOCAB_SIZE, look_ahead: int
 
 
 def _symbol_ids(counts: DataFrame, vocab: list[str]) -> DataFrame:
-    held = counts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
+    """(s, n): the ids of each word's letters."""
+    ids = {t: i for i, t in enumerate(vocab)}
+    letters = sorted({t[-1] for t in vocab if len(t) == 1 or len(t) == len(MARK) + 1 and t.startswith(MARK)})
+    # Every letter has both forms.
+    forms = [np.array([ids[mark + c] for c in letters], np.int32) for mark in ("", MARK)]
+    held = counts.sparkSession.sparkContext.broadcast((np.array([ord(c) for c in letters], np.int64), *forms))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = held.value
+        points, first, later = held.value
         for batch in batches:
-            rows = [[ids[c if k == 0 else MARK + c] for k, c in enumerate(w)] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["s", "n"])
+            if not batch.num_rows:
+                continue
+            letters, offsets = _letters(batch.column(0))
+            at = np.searchsorted(points, letters)
+            symbols = later[at]
+            symbols[offsets[:-1]] = first[at[offsets[:-1]]]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(symbols))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["s", "n"])
 
     return counts.select("word", "n").mapInArrow(convert, "s array<int>, n bigint")
 

@@ -19,7 +19,7 @@ from .catalog import query
 
 def joined(ids):
     """An array as text, so that engines with unlike array types compare."""
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    return F.array_join(ids.cast("array<string>"), " ")
 
 
 def piece_vocabulary(df) -> list[str]:

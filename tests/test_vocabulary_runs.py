@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpuslens.operators import vocabulary
+from corpuslens.operators import tokens, vocabulary
 from tests.test_tokens import brute_force_vocabulary
 
 
@@ -108,3 +108,27 @@ def test_words_beyond_the_look_ahead_take_few_rounds(spark, monkeypatch, candida
     monkeypatch.setattr(vocabulary, "CANDIDATES", candidates)
     assert vocabulary.train_vocabulary(df, 150, look_ahead=1500) == brute_force_vocabulary(counts, 150)
     assert len(rounds) < 12
+
+
+def test_letters_of_any_plane_become_ids(spark):
+    counts = {"#": 2, "###": 1, "𝒳é𝒳": 4, "é": 3, "a𝒳": 5}
+    df = spark.createDataFrame([*counts.items(), (None, 9), ("", 9)], "word string, n bigint")
+    letters = Counter({form + c: 0 for w in counts for c in w for form in ("", "##")})
+    for w, n in counts.items():
+        for k, c in enumerate(w):
+            letters["##" * (k > 0) + c] += n
+    assert {r["piece"]: r["n"] for r in vocabulary.alphabet(df).collect()} == letters
+    vocab = vocabulary._alphabet_list(df, 99)
+    rows = vocabulary._symbol_ids(df.where("word <> ''"), vocab).collect()
+    spelled = sorted(([vocab[i] for i in r["s"]], r["n"]) for r in rows)
+    assert spelled == sorted((["##" * (k > 0) + c for k, c in enumerate(w)], n) for w, n in counts.items())
+
+
+def test_batches_of_none_and_of_missing_text():
+    for rows, want in (([], []), ([None, []], [[], []]), ([["ab", "x"], None, ["abab"]], [[7, 0], [], [7, 6]])):
+        got = tokens.match_batch(pa.array(rows, pa.list_(pa.string())), {"ab": 7, "##ab": 6, "a": 5}).to_pylist()
+        assert [r["ids"] for r in got] == want
+    sliced = pa.array([["x"], ["ab", "abab"], None], pa.list_(pa.string())).slice(1)
+    assert tokens.match_batch(sliced, {"ab": 7, "##ab": 6}).to_pylist() == [
+        {"ids": [7, 7, 6], "word_ids": [0, 1, 1]}, {"ids": [], "word_ids": []}
+    ]
